@@ -12,6 +12,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from functools import lru_cache
 from itertools import chain
@@ -21,13 +22,15 @@ from pyspark.sql import DataFrame
 
 from .common import texts
 
-_MEMO, _MEMO_WORD, _CHUNK = 200_000, 64, 1 << 18
+_MEMO, _MEMO_WORD, _CHUNK = 400_000, 64, 1 << 18
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+@lru_cache(maxsize=1)
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
+    hidden = sorted(set(range(256)).difference(shown))
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
@@ -37,11 +40,13 @@ class Merges:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.vocab, self.suffix = vocab, suffix
         self.rank = {tuple(m): i for i, m in enumerate(merges)}
-        self.parts: dict[str, tuple[str, str]] = {}
-        for a, b in self.rank:
-            self.parts.setdefault(a + b, (a, b))
         self.longest = max((self.width(t) for t in vocab), default=1)
+        made: dict[str, int] = {}  # the last merge that can make a token
+        #: Every merge comes after all that can make its parts, so a text's merges happen in order of rank.
+        self.ordered = all(made.get(a, -1) < i > made.get(b, -1) and made.update({a + b: i}) is None for i, (a, b) in enumerate(merges))
+        self._spine: dict[str, tuple[list, list] | None] = {}
         self._fits: dict[tuple[str, str], bool] = {}
+        self._last: dict[str, str] = {}
 
     def width(self, token: str) -> int:
         return len(token) - len(self.suffix) * bool(self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix))
@@ -50,27 +55,101 @@ class Merges:
         n = self.width(token)
         return [*token[: n - 1], token[n - 1 :]]
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """The plain rule: again and again the pair of lowest rank, the leftmost first."""
+    def merge(self, symbols: list[str], steps: list[tuple[int, int, int]] | None = None) -> list[str]:
+        """The plain rule: again and again the pair of lowest rank, the leftmost first. ``steps`` gets
+        (rank, place, tokens before it) for every merge."""
         s = list(symbols)
         while len(s) > 1:
             best, at = min((self.rank.get((s[i], s[i + 1]), 1 << 60), i) for i in range(len(s) - 1))
             if best == 1 << 60:
                 break
+            if steps is not None:
+                steps.append((best, at, len(s)))
             s[at : at + 2] = [s[at] + s[at + 1]]
         return s
 
+    def spines(self, token: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]]] | None:
+        """The tokens that stand at the left and right end while ``token`` is merged from its symbols, each with the
+        rank of the merge that consumes it; None if the merges make something else of the symbols."""
+        if token not in self._spine:
+            steps: list[tuple[int, int, int]] = []
+            symbols = self.symbols(token)
+            ends = None
+            if self.merge(symbols, steps) == [token]:
+                now, ends = list(symbols), ([], [])
+                for rank, at, n in steps:
+                    if at == 0:
+                        ends[0].append((now[0], rank))
+                    if at == n - 2:
+                        ends[1].append((now[-1], rank))
+                    now[at : at + 2] = [now[at] + now[at + 1]]
+                for own in ends:
+                    own.append((token, 1 << 60))
+            self._spine[token] = ends
+        return self._spine[token]
+
     def fits(self, a: str, b: str) -> bool:
-        """Whether a and b, put together, encode to a and b (with a empty: whether b encodes to itself)."""
-        key = (a, b)
-        known = self._fits.get(key)
+        """Whether a and b, put together, encode to a and b (with a empty: whether b encodes to itself).
+
+        They do unless, at some time, the tokens at their common edge merge before either is consumed on
+        its own side; of equal ranks the left one goes first.
+        """
+        if not a:
+            return self.spines(b) is not None
+        known = self._fits.get((a, b))
         if known is None:
+            known = self._apart(a, b)
             if len(self._fits) >= _MEMO:
                 self._fits.clear()
-            wanted = [a, b] if a else [b]
-            known = self._fits[key] = self.merge([*(self.symbols(a) if a else ()), *self.symbols(b)]) == wanted
+            self._fits[a, b] = known
         return known
 
+    def _apart(self, a: str, b: str) -> bool:
+        if not self.ordered:
+            return self.merge([*self.symbols(a), *self.symbols(b)]) == [a, b]
+        if (left := self.spines(a)) is None or (right := self.spines(b)) is None:
+            return False
+        x, y = left[1], right[0]
+        i = j = 0
+        while True:
+            (s, before), (t, until) = x[i], y[j]
+            r = self.rank.get((s, t))
+            if r is not None and r < before and r <= until:
+                return False
+            if i == len(x) - 1 and j == len(y) - 1:
+                return True
+            if before <= until:
+                i += 1
+            else:
+                j += 1
+
+    def last_token(self, prefix: str) -> str:
+        """The last token of a prefix without a word's end; the empty string's is empty."""
+        if not prefix:
+            return ""
+        known = self._last.get(prefix)
+        if known is None:
+            for n in range(min(self.longest, len(prefix)), 0, -1):
+                known = prefix[-n:]
+                if known in self.vocab and self.fits(self.last_token(prefix[:-n]), known):
+                    break
+            if len(self._last) >= _MEMO:
+                self._last.clear()
+            self._last[prefix] = known
+        return known
+
+    def short(self, word: str) -> list[str]:
+        """A short word's tokens by the same states as the stream's, asked from the end."""
+        for n in range(min(self.longest, len(word)), 0, -1):
+            token = word[-n:] + self.suffix
+            if token in self.vocab and self.fits(self.last_token(word[:-n]), token):
+                break
+        out, word = [token], word[:-n]
+        while word:
+            out.append(self.last_token(word))
+            word = word[: -len(out[-1])]
+        return out[::-1]
+
     def sufficient_lookahead(self) -> int:
         """Symbols after which no merge can still reach back: a change travels left over one token per
         link of a chain of merges with falling rank, and no chain is longer than the merge list's deepest
@@ -154,7 +233,7 @@ class StreamDecoder:
 
     def __init__(self, tokens: dict[int, str], mode: str = "spaced", suffix: str = ""):
         self.tokens, self.mode, self.suffix, self.first = tokens, mode, suffix, True
-        self.byte = {c: b for b, c in byte_alphabet().items()}
+        self.byte = {c: b for b, c in byte_alphabet().items()} if mode == "bytes" else {}
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids) -> str:
@@ -194,7 +273,13 @@ class WordTokenizer:
         self.memo = _Memo(self)
 
     def word(self, word: str):
-        """The ids of one pre-token, streamed."""
+        """The ids of one pre-token; a long one is streamed."""
+        vocab, symbols = self.merges.vocab, self.symbols
+        if len(word) <= _MEMO_WORD:
+            return map(vocab.__getitem__, self.merges.short(word.encode("utf-8", "replace").decode("latin-1").translate(symbols)))
+        return self._streamed(word)
+
+    def _streamed(self, word: str):
         stream, vocab = StreamEncoder(self.merges), self.merges.vocab
         for at in range(0, len(word), 4096):
             yield from map(vocab.__getitem__, stream.feed(word[at : at + 4096].encode("utf-8", "replace").decode("latin-1").translate(self.symbols)))
@@ -226,18 +311,25 @@ class WordTokenizer:
     def encode(self, text: str):
         """Lists of ids, one for each bounded part of the text."""
         for part, special in self.chunks(text):
-            yield [self.special[part]] if special else list(chain.from_iterable(map(self.memo.__getitem__, self.words.findall(self.normalise(part)))))
+            if special:
+                yield [self.special[part]]
+                continue
+            text = self.normalise(part)
+            # no pre-token crosses white space, so runs without any are looked up whole; \x1c to \x1f are white space to split() only
+            runs = self.words.findall(text) if _SEPARATORS.search(text) else text.split()
+            yield list(chain.from_iterable(map(self.memo.__getitem__, runs)))
 
 
 class _Memo(dict):
-    """Ids of words seen before, in bounded number and length."""
+    """Ids of runs of pre-tokens seen before, in bounded number and length."""
 
     def __init__(self, tokenizer: WordTokenizer):
         super().__init__()
         self.tokenizer = tokenizer
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.word(word))
+        parts = self.tokenizer.words.findall(word)
+        ids = tuple(self.tokenizer.word(word) if parts == [word] else chain.from_iterable(map(self.__getitem__, parts)))
         if len(word) <= _MEMO_WORD:
             if len(self) >= _MEMO:
                 self.clear()
@@ -246,7 +338,7 @@ class _Memo(dict):
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str | None = None) -> WordTokenizer:
+def tokenizer(path: str | None) -> WordTokenizer:
     if path is None:
         import public_tokenizers
 

@@ -211,7 +211,7 @@ def test_bpe_random(text):
 
 
 def test_bpe_stream_is_bounded():
-    tok, rng = bpe.tokenizer(), random.Random(3)
+    tok, rng = bpe.tokenizer(None), random.Random(3)
     for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ab", "e", "theandion"):
         word = "".join(rng.choice(alphabet) for _ in range(3000))
         stream, out, most = bpe.StreamEncoder(tok.merges), [], 0
@@ -224,7 +224,7 @@ def test_bpe_stream_is_bounded():
 
 
 def test_bytes_decoder():
-    tok = bpe.tokenizer()
+    tok = bpe.tokenizer(None)
     ids = [i for part in tok.encode("naïve 漢字 😀 don't") for i in part]
     decoder = bpe.StreamDecoder(tok.tokens, "bytes", "</w>")
     assert "".join([*(decoder.feed([i]) for i in ids), decoder.finish()]).split() == ["naïve", "漢字", "😀", "don", "'t"]
