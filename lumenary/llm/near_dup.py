@@ -2,10 +2,14 @@
 
 Pass 1 turns each whole text into its set of word shingles (64-bit hashes), a one-permutation
 signature and band keys. Texts with the same set form one class and go on as one row. Classes that
-share a band key meet in a bucket; a bucket proposes only the edges from one hub to its members, so
-n members cost n - 1 candidates. Every candidate is confirmed on the full sets. Members whose
-component has had no hub in the bucket yet elect the next hub, until each component in each bucket
-has had one; this is what finds links that the first star can't see.
+share a band key meet in a bucket. A bucket proposes the edges of one star, from its hub to each
+member, so n members cost n - 1 candidates; the hub of a large bucket is the member nearest to the
+consensus of its signatures, which is where a family of copies has its original. Every candidate is
+confirmed on the full sets.
+
+What a star can't see is settled exactly afterwards: members that the links so far don't join to
+their bucket's hub are compared with all members of the bucket, in small buckets as further
+candidates, in large ones in blocks that count common shingles by matrix products and return only links.
 """
 
 from __future__ import annotations
@@ -14,14 +18,19 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, texts
 from .graph import connected_components
 
 BANDS, ROWS = 30, 5
+#: Buckets of fewer classes than SMALL take the first one as hub; others find theirs by a consensus of SAMPLE signatures.
+SMALL, SAMPLE = 16, 64
+#: Members and shingles of a block when a large bucket's rest is compared.
+BLOCK, BLOCK_SHINGLES, DENSE = 1024, 1 << 20, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MEMO = 400_000
 
@@ -136,13 +145,89 @@ def _sets(k: int):
 
 
 def _alike(batches):
-    """Keep candidates whose signatures agree in half the bins or more: far below any pair of similarity
-    0.8, for which fewer than 75 of 150 agreements lie nine standard deviations out."""
+    """Keep candidates whose signatures agree in 65 of 100 bins or more; at similarity 0.8 fewer have
+    a probability of about 2e-6 with 150 bins."""
     for b in batches:
-        keep = [2 * np.count_nonzero((x := np.frombuffer(s.as_py(), np.uint16)) == np.frombuffer(t.as_py(), np.uint16)) >= len(x) for s, t in zip(b.column(2), b.column(3))]
+        keep = [100 * np.count_nonzero((x := np.frombuffer(s.as_buffer(), np.uint16)) == np.frombuffer(t.as_buffer(), np.uint16)) >= 65 * len(x) for s, t in zip(b.column(2), b.column(3))]
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _consensus(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The commonest value of each bin among a bucket's sampled signatures."""
+    sigs = np.sort(np.stack([np.frombuffer(s, np.uint16) for s in pdf.sig]), axis=0)
+    best, out = np.zeros(sigs.shape[1], np.int64), sigs[0].copy()
+    run = np.ones(sigs.shape[1], np.int64)
+    for before, now in zip(sigs, sigs[1:]):
+        run = np.where(before == now, run + 1, 1)
+        out, best = np.where(run > best, now, out), np.maximum(run, best)
+    return pd.DataFrame({"bucket": pdf.bucket.iloc[:1], "consensus": [out.astype(np.uint16).tobytes()]})
+
+
+def _agreement(batches):
+    for b in batches:
+        same = [np.count_nonzero(np.frombuffer(s.as_buffer(), np.uint16) == np.frombuffer(t.as_buffer(), np.uint16)) for s, t in zip(b.column(3), b.column(4))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(same, pa.int64())], names=["bucket", "class_id", "n", "same"])
+
+
+def _rest(percent: int):
+    """Links between two blocks of a bucket: all pairs of different components of which one side is open."""
+
+    def matrix(sets: list[np.ndarray], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(columns, flat), max(0, len(columns) - 1))
+        keep = columns[at] == flat if len(columns) else np.zeros(len(flat), bool)
+        return rows[keep], at[keep]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["side"] == i] for i in (0, 1)]
+        if not len(sides[1]):
+            sides[1] = sides[0]
+        sets = [[np.frombuffer(x, np.uint64) for x in side["set"]] for side in sides]
+        opened, label, ids = ([side[c].to_numpy() for side in sides] for c in ("open", "label", "class_id"))
+        if not len(ids[0]) or not len(ids[1]):
+            return pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})
+        seen = [np.unique(np.concatenate(x), return_counts=True) for x in sets]
+        columns, i, j = np.intersect1d(seen[0][0], seen[1][0], assume_unique=True, return_indices=True)
+        dense = np.maximum(seen[0][1][i], seen[1][1][j]) > DENSE
+        common = np.zeros((len(sets[0]), len(sets[1])), np.float32)
+        (r0, c0), (r1, c1) = (matrix(x, columns[~dense]) for x in sets)
+        o0, o1 = np.argsort(c0, kind="stable"), np.argsort(c1, kind="stable")
+        first, last = np.searchsorted(c1[o1], c0[o0], "left"), np.searchsorted(c1[o1], c0[o0], "right")
+        times = last - first
+        partner = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        np.add.at(common, (np.repeat(r0[o0], times), r1[o1][partner]), 1)
+        wide = columns[dense]
+        for at in range(0, len(wide), 2048):
+            parts = []
+            for x in sets:
+                part = wide[at : at + 2048]
+                r, c = matrix(x, part)
+                m = np.zeros((len(x), len(part)), np.float32)
+                m[r, c] = 1
+                parts.append(m)
+            common += parts[0] @ parts[1].T
+        sizes = [np.array([len(x) for x in side]) for side in sets]
+        union = sizes[0][:, None] + sizes[1][None] - common
+        linked = (100 * common >= percent * union) & (opened[0][:, None] | opened[1][None]) & (label[0][:, None] != label[1][None])
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = []
+        for a, b in zip(*np.nonzero(linked)):
+            x, y = find(label[0][a]), find(label[1][b])
+            if x != y:
+                parent[y] = x
+                out.append((ids[0][a], ids[1][b]))
+        return pd.DataFrame(out, columns=["u", "v"]).astype(np.int64)
+
+    return run
+
+
 def _confirm(percent: int):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -191,6 +276,35 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     return ordered.select("u", "v", "set").mapInArrow(_confirm(percent), "u long, v long").distinct()
 
 
+def _sized(pairs: DataFrame, a: str, b: str, percent: int) -> DataFrame:
+    """Sets of too different sizes can't be similar."""
+    return pairs.where(100 * F.least(a, b) >= percent * F.greatest(a, b))
+
+
+def _hubs(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """bucket, hub, hub_n: the member that agrees best with the consensus of a bounded sample of its bucket."""
+    sig = classes.select("class_id", "sig")
+    order = F.row_number().over(W.partitionBy("bucket").orderBy(F.xxhash64("class_id"), "class_id"))
+    sample = large.select("bucket", "class_id").withColumn("r", order).where(F.col("r") <= SAMPLE).drop("r").join(sig, "class_id")
+    consensus = sample.groupBy("bucket").applyInPandas(_consensus, "bucket long, consensus binary")
+    scored = large.join(consensus, "bucket").join(sig, "class_id").select("bucket", "class_id", "n", "sig", "consensus")
+    scored = scored.mapInArrow(_agreement, "bucket long, class_id long, n long, same long")
+    best = scored.groupBy("bucket").agg(F.max(F.struct("same", (-F.col("class_id")).alias("least"), "n")).alias("b"))
+    return best.select("bucket", (-F.col("b.least")).alias("hub"), F.col("b.n").alias("hub_n"))
+
+
+def _blocks(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between open members of large buckets and all others; a bucket's members are dealt to blocks
+    of bounded size, and each pair of blocks is one task's work."""
+    load = known.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = known.join(load, "bucket").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
+    other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    paired = dealt.withColumn("other", F.explode(other)).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "class_id", "label", "open"
+    )
+    return paired.join(sets, "class_id").groupBy("bucket", "i", "j").applyInPandas(_rest(percent), "u long, v long")
+
+
 def classify(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, per_band: int = ROWS, row: str | None = None) -> DataFrame:
     """One row per input row: row, doc_id, n_shingles, set_key, component_id, component_row.
 
@@ -211,39 +325,35 @@ def classify(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     )
     classes = materialize(groups, "classes")
     banded = classes.select("class_id", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = materialize(banded.join(shared, "bucket"), "buckets")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("class_id", "n")).alias("hub")).where("c > 1")
+    members = materialize(banded.join(shared, "bucket").select("bucket", "class_id", "n", "c", F.col("hub.class_id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
     wanted = classes.join(members.select("class_id").distinct(), "class_id").select("class_id", "set_key", "doc_id")
     source = texts(docs).withColumnRenamed("doc_id", "id")
     sets = wanted.join(source, wanted.doc_id.eqNullSafe(source.id)).select("class_id", "set_key", "text")
     sets = materialize(sets.mapInArrow(_sets(k), "class_id long, set binary"), "sets")
 
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("class_id", "n")).alias("hub"))
-    hubs = materialize(hubs.select("bucket", F.col("hub.class_id").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    used, tested, links = hubs, None, None
-    while True:
-        pairs = (
-            members.join(hubs, "bucket").where("class_id <> hub")
-            .where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-            .select(F.col("hub").alias("u"), F.col("class_id").alias("v")).distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, (F.least("u", "v") == F.col("a")) & (F.greatest("u", "v") == F.col("b")), "left_anti")
-        pairs = materialize(pairs, "pairs")
-        done = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
-        tested = done if tested is None else tested.union(done)
-        found = materialize(_verified(pairs, classes, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        comps = materialize(connected_components(links), "components")
-        named = members.join(comps, members.class_id == comps.node, "left").select("bucket", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
-        had = used.join(comps, used.hub == comps.node, "left").select("bucket", F.coalesce("component", "hub").alias("component"))
-        left = named.join(had, ["bucket", "component"], "left_anti")
-        hubs = left.groupBy("bucket").agg(F.min(F.struct("class_id", "n")).alias("hub"))
-        hubs = materialize(hubs.select("bucket", F.col("hub.class_id").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-        if hubs.isEmpty():
-            break
-        members = materialize(members.join(hubs.select("bucket"), "bucket", "left_semi"), "buckets")
-        used = materialize(used.join(hubs.select("bucket"), "bucket", "left_semi").union(hubs), "used")
+    # one star a bucket
+    small, large = members.where(F.col("c") < SMALL), members.where(F.col("c") >= SMALL).drop("hub", "hub_n")
+    hubs = materialize(_hubs(large, classes), "hubs")
+    starred = small.unionByName(large.join(hubs, "bucket")).where("class_id <> hub")
+    pairs = _sized(starred, "n", "hub_n", percent).select(F.col("hub").alias("u"), F.col("class_id").alias("v")).distinct()
+    links = materialize(_verified(pairs, classes, sets, percent), "links")
+    comps = materialize(connected_components(links), "components")
+
+    # the rest: members whose component isn't the hub's, against all members
+    of = comps.select(F.col("node").alias("class_id"), F.col("component"))
+    known = members.drop("hub", "hub_n").join(of, "class_id", "left").withColumn("label", F.coalesce("component", "class_id")).drop("component")
+    centre = members.where(F.col("c") < SMALL).select("bucket", "hub").distinct().unionByName(hubs.select("bucket", "hub"))
+    centre = centre.join(of.withColumnRenamed("class_id", "hub"), "hub", "left").select("bucket", F.coalesce("component", "hub").alias("centre"))
+    known = known.join(centre, "bucket").withColumn("open", F.col("label") != F.col("centre"))
+    unsettled = known.where("open").select("bucket").distinct()
+    known = materialize(known.join(unsettled, "bucket", "left_semi").select("bucket", "class_id", "n", "c", "label", "open"), "known")
+    few = known.where(F.col("c") < SMALL)
+    one, two = few.where("open").select("bucket", F.col("class_id").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu")), few.select("bucket", F.col("class_id").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"), "open")
+    pairs = _sized(one.join(two, "bucket").where("lu <> lv and (not open or u < v)"), "nu", "nv", percent).select("u", "v").distinct()
+    more = _verified(pairs, classes, sets, percent).union(_blocks(known.where(F.col("c") >= SMALL), sets, percent))
+    links = links.union(materialize(more, "links"))
+    comps = materialize(connected_components(links), "components")
 
     ids = classes.join(comps, classes.class_id == comps.node, "left").select("set_key", "class_id", "doc_id", "copies", "component")
     least = ids.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class_id")).alias("least"))
