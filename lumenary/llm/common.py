@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows sent to a Python worker at once and bytes of a row group, both small so that memory stays low with long texts.
+BATCH_ROWS, GROUP_BYTES = 1_000, 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,7 +37,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lumenary-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    batch = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(batch), BATCH_ROWS) if int(batch) > 0 else BATCH_ROWS)
+    try:
+        df.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, batch)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -32,22 +33,6 @@ SMALL, SAMPLE = 16, 64
 #: Members and shingles of a block when a large bucket's rest is compared.
 BLOCK, BLOCK_SHINGLES, DENSE = 1024, 1 << 20, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MEMO = 400_000
-
-
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= _MEMO:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_WORDS = _WordHash()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,7 +49,7 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(k, len(h))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - width + 1, width, np.uint64)
