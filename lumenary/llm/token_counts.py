@@ -204,15 +204,11 @@ def count_edited(docs: DataFrame, edits: Callable[[str], Iterable[Edit]] = masks
             for t in b.column(1):
                 text = (t.as_py() or b"").decode("utf-8", "replace")
                 changes = sorted(edits(text), reverse=True)
-                if changes:
-                    tree = CountTree(text, path)
-                    before = tree.total
-                    for start, end, new in changes:
-                        tree.edit(start, end, new)
-                    after, again = tree.total, tree.reencoded
-                else:
-                    before = after = len(_tools(path)[2].encode_ordinary(text))
-                    again = 0
+                tree = CountTree(text, path)
+                before = tree.total
+                for start, end, new in changes:
+                    tree.edit(start, end, new)
+                after, again = tree.total, tree.reencoded
                 for column, value in zip(out, (before, len(changes), after, again)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in out)], names=names)
