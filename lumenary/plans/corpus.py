@@ -29,13 +29,16 @@ def benchmark_containment(t: Tables):
     """Four words inside the passage (its first and last may be cut in the text) give the join its key; passages with
     fewer words are compared directly."""
 
-    def grams(c):
-        return F.filter(F.transform(c, lambda w, i: F.concat_ws(" ", F.slice(c, i + 1, 4))), lambda g: F.size(F.split(g, " ")) == 4)
+    def grams(words):
+        """Runs of four words, from four shifted slices: linear in the text."""
+        n = F.size(words) - 3
+        shifted = F.arrays_zip(*[F.slice(words, k, F.greatest(n, F.lit(0))).alias(f"w{k}") for k in (1, 2, 3, 4)])
+        return F.array_distinct(F.transform(shifted, lambda x: F.concat_ws(" ", x["w1"], x["w2"], x["w3"], x["w4"])))
 
     docs = t.documents.select("doc_id", text.norm(F.col("text")).alias("t"))
     items = t.benchmark.select("item_id", text.norm(F.col("text")).alias("b")).withColumn("w", F.split("b", " "))
     long = items.where(F.size("w") >= 6).select("item_id", "b", F.array_join(F.slice("w", 2, 4), " ").alias("anchor"))
-    found = docs.select("doc_id", F.explode(F.array_distinct(grams(F.split("t", " ")))).alias("anchor")).join(long, "anchor").select("doc_id", "item_id", "b").distinct()
+    found = docs.select("doc_id", F.explode(grams(F.split("t", " "))).alias("anchor")).join(long, "anchor").select("doc_id", "item_id", "b").distinct()
     hit = found.join(docs, "doc_id").where(F.col("t").contains(F.col("b"))).select("doc_id", "item_id")
     short = docs.join(items.where(F.size("w") < 6), F.col("t").contains(F.col("b"))).select("doc_id", "item_id")
     return hit.union(short)
