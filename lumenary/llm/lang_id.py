@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import remainder
@@ -19,8 +19,8 @@ from .common import remainder
 #: The labelled sample: characters and documents a language, and the longest document taken.
 SAMPLE_CHARS, SAMPLE_DOCS, SAMPLE_LONGEST = 24_000, 64, 20_000
 BLOCK, LETTERS, FOLDS = 256, 61, 5
-#: A phrase for about every second character: the text is in none of the learned languages.
-FOREIGN = 0.55
+#: More than a phrase for every second character, over this many phrases at least: none of the learned languages.
+FOREIGN, EVIDENCE = 0.55, 12
 
 
 def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
@@ -121,18 +121,18 @@ class Parser:
             np.add.at(out[:, k], owners[order], count)
         return out
 
-    def judge(self, texts_: list[str]) -> list[tuple[str, float, float]]:
-        """(language or und, score, phrases a character) for each text."""
+    def judge(self, texts_: list[str]) -> list[tuple[str, float, float, int]]:
+        """(language or und, score, phrases a character, phrases) for each text."""
         coded = [self.codes(t) for t in texts_]
-        out: list[tuple[str, float, float]] = []
+        out: list[tuple[str, float, float, int]] = []
         for (codes, letters), counts in zip(coded, self.phrases([c for c, _ in coded])):
             if not letters or not self.langs:
-                out.append(("und", 0.0, 1.0))
+                out.append(("und", 0.0, 1.0, 0))
                 continue
             rates = counts / len(codes)
             best = int(np.lexsort((np.arange(len(rates)), rates))[0])
             shares = (rates.min() / rates) ** 6
-            out.append((self.langs[best], float(shares[best] / shares.sum()), float(rates[best])))
+            out.append((self.langs[best], float(shares[best] / shares.sum()), float(rates[best]), int(counts[best])))
         return out
 
 
@@ -158,26 +158,31 @@ def learn(docs: DataFrame, chars: int = SAMPLE_CHARS, per_lang: int = SAMPLE_DOC
 
 
 def language(sample: tuple[tuple[str, str], ...]):
-    """A column function from text to (lang_pred, score, rate)."""
+    """A column function from text to (lang_pred, score, rate, phrases)."""
 
-    @F.pandas_udf("lang_pred string, score double, rate double")
+    @F.pandas_udf("lang_pred string, score double, rate double, phrases long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [t or "" for t in b]
-            yield pd.DataFrame([x for part in _portions(rows) for x in _parser(sample).judge(part)], columns=["lang_pred", "score", "rate"])
+            yield pd.DataFrame([x for part in _portions(rows) for x in _parser(sample).judge(part)], columns=["lang_pred", "score", "rate", "phrases"])
 
     return run
 
 
+def rejected(said: Column) -> Column:
+    """Whether a text has no letters or is, on enough evidence, in none of the learned languages."""
+    return (said["lang_pred"] == "und") | (said["rate"] > FOREIGN) & (said["phrases"] >= EVIDENCE)
+
+
 def identify(docs: DataFrame, sample: tuple[tuple[str, str], ...]) -> DataFrame:
-    """doc_id, lang_pred, score, rate for every row, from the whole text.
+    """doc_id, lang_pred, score, rate, phrases for every row, from the whole text.
 
-    ``und`` (score 0, rate 1) where the text is null or has no letter, or nothing was learned. ``rate`` is
+    ``und`` (score 0, rate 1, no phrase) where the text is null or has no letter, or nothing was learned. ``rate`` is
     the winner's phrases a character. Ties go to the language that comes first in the alphabet. Repeated
     rows and null ids pass through; other columns are ignored. No shuffle.
     """
     said = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language(sample)(F.col("text").cast("string")).alias("said"))
-    return said.select("doc_id", "said.lang_pred", "said.score", "said.rate")
+    return said.select("doc_id", "said.lang_pred", "said.score", "said.rate", "said.phrases")
 
 
 def _portions(rows: list[str], most: int = 4_000_000):

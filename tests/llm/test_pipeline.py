@@ -35,11 +35,11 @@ def test_columns(stages):
 def test_language_stage(spark, stages):
     before, after = stages[0]
     said = lang_id.identify(before, lang_id.learn(before))
-    keep = said.where("lang_pred <> 'und' and rate <= 0.55")
+    keep = said.where("lang_pred <> 'und' and (rate <= 0.55 or phrases < 12)")
     assert rows(after) == rows(before.join(keep.select("doc_id"), "doc_id", "left_semi"))
-    odd = docs_of(spark, [(10_000, "12 34 !!", None), (10_001, None, None), (10_002, "я не знаю этого языка совсем", None)]).select(*before.columns)
+    odd = docs_of(spark, [(10_000, "12 34 !!", None), (10_001, None, None), (10_002, "я не знаю этого языка совсем", None), (10_003, "A", None)]).select(*before.columns)
     mixed = before.unionByName(odd)
-    assert corpus_pipeline.identify_language(spark, mixed, "").where("doc_id >= 10000").count() == 0
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, mixed, "").where("doc_id >= 10000").collect()] == [10_003]
 
 
 def test_quality_stage(spark, stages):
