@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rejects texts without letters and texts that no learned language explains."""
     said = lang_id.language(lang_id.learn(docs))(F.col("text").cast("string"))
     judged = docs.select(F.struct("*").alias("row"), said.alias("said"))
-    return judged.where((F.col("said.lang_pred") != "und") & (F.col("said.rate") <= lang_id.FOREIGN)).select("row.*")
+    return judged.where(~lang_id.rejected(F.col("said"))).select("row.*")
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
