@@ -92,7 +92,7 @@ def _set_key(s: np.ndarray) -> bytes:
 
 
 def _signed(k: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64())), ("row", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64())), ("row", pa.int64()), ("at", pa.int64())])
 
     def run(batches):
         for b in batches:
@@ -108,7 +108,7 @@ def _signed(k: int, bands: int, rows: int):
                 else:
                     sigs.append(None)
                     bandss.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bandss, pa.list_(pa.int64())), b.column(2)], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bandss, pa.list_(pa.int64())), b.column(2), b.column(3)], schema=schema)
 
     return run
 
@@ -302,19 +302,20 @@ def classify(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     probability (1 - s**per_band)**bands, 7e-6 at s = 0.8 and 2e-8 at 0.85.
     """
     spark = docs.sparkSession
-    signed = texts(docs, row, rows=True).mapInArrow(_signed(k, bands, per_band), "doc_id long, n long, set_key binary, sig binary, bands array<long>, row long")
+    at = F.xxhash64("doc_id", "text").alias("at")  # finds a class's text again, whatever its doc_id
+    signed = texts(docs, row, rows=True).select("doc_id", "text", "row", at).mapInArrow(_signed(k, bands, per_band), "doc_id long, n long, set_key binary, sig binary, bands array<long>, row long, at long")
     signed = materialize(signed, "signed")
     groups = signed.where("n > 0").groupBy("set_key").agg(
         F.min("row").alias("class_id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
-        F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"),
+        F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min_by("at", "row").alias("at"),
     )
     classes = materialize(groups, "classes")
     banded = classes.select("class_id", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("class_id", "n")).alias("hub")).where("c > 1")
     members = materialize(banded.join(shared, "bucket").select("bucket", "class_id", "n", "c", F.col("hub.class_id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
-    wanted = classes.join(members.select("class_id").distinct(), "class_id").select("class_id", "set_key", "doc_id")
-    source = texts(docs).withColumnRenamed("doc_id", "id")
-    sets = wanted.join(source, wanted.doc_id.eqNullSafe(source.id)).select("class_id", "set_key", "text")
+    wanted = classes.join(members.select("class_id").distinct(), "class_id").select("class_id", "set_key", "at")
+    found = wanted.join(texts(docs).select(at, "text"), "at")
+    sets = found.groupBy("at", "class_id", "set_key").agg(F.first("text").alias("text")).select("class_id", "set_key", "text")
     sets = materialize(sets.mapInArrow(_sets(k), "class_id long, set binary"), "sets")
 
     # one star a bucket

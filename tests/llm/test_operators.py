@@ -113,7 +113,7 @@ def test_near_dedup_awkward(awkward, empty):
     assert all(r.n == 1 for r in parts)
 
 
-def test_near_dedup_chains(spark):
+def test_near_dedup_chains(spark, monkeypatch):
     """Chains of edits: links that no star of the first round shows."""
     rng, rows, at = random.Random(5), [], 0
     for _ in range(12):
@@ -125,10 +125,22 @@ def test_near_dedup_chains(spark):
             for _ in range(rng.choice([1, 2, 3])):
                 words[rng.randrange(len(words))] = f"t{rng.randrange(400)}"
     rng.shuffle(rows)
-    got = near_dup.near_duplicates(docs_of(spark, rows), k=2).collect()
+    docs = docs_of(spark, rows)
+    got = near_dup.near_duplicates(docs, k=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_near(rows, 2))
+    monkeypatch.setattr(near_dup, "SMALL", 3)  # every bucket of three or more by consensus, its rest in several blocks
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    got = near_dup.near_duplicates(docs, k=2).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_near(rows, 2))
 
 
+def test_near_dedup_many_null_ids(spark):
+    """Texts are found again by their content, so rows without an id don't meet each other."""
+    rows = [(None, f"left {i // 2} mid {i // 2} right {i // 2} end", "en") for i in range(3000)] + [(7, "left 5 mid 5 right 5 end", "en")] * 3
+    got = near_dup.near_duplicates(docs_of(spark, rows), k=2).collect()
+    assert len(got) == 3003 and sum(r.component_id == 7 for r in got) == 5 and {r.n_shingles for r in got} == {6}
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(2)
     for size, shared in ((5, 4), (40, 36), (4000, 3600)):
