@@ -166,7 +166,7 @@ def _rest(percent: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [pdf[pdf["side"] == i] for i in (0, 1)]
-        if not len(sides[1]):
+        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
             sides[1] = sides[0]
         sets = [[np.frombuffer(x, np.uint64) for x in side["set"]] for side in sides]
         opened, label, ids = ([side[c].to_numpy() for side in sides] for c in ("open", "label", "class_id"))
@@ -280,10 +280,15 @@ def _hubs(large: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _blocks(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between open members of large buckets and all others; a bucket's members are dealt to blocks
-    of bounded size, and each pair of blocks is one task's work."""
-    load = known.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = known.join(load, "bucket").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
-    other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    of bounded size, and each pair of blocks is one task's work. Settled members form blocks of their own, which
+    meet open blocks only, so that a bucket costs its open members times its size."""
+    blocks = lambda which: F.greatest(F.ceil(F.count(F.when(which, 1)) / BLOCK), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / BLOCK_SHINGLES))
+    load = known.groupBy("bucket").agg(blocks(F.col("open")).alias("opened"), blocks(~F.col("open")).alias("settled"))
+    deal = lambda n: F.pmod(F.xxhash64("class_id"), F.greatest(n, F.lit(1)))
+    block = F.when(F.col("open"), deal(F.col("opened"))).otherwise(F.col("opened") + deal(F.col("settled")))
+    last = F.when(F.col("open"), F.col("opened") + F.col("settled")).otherwise(F.col("opened")) - 1
+    dealt = known.join(load, "bucket").withColumn("block", block).withColumn("last", last)
+    other = F.sequence(F.lit(0).cast("long"), "last")
     paired = dealt.withColumn("other", F.explode(other)).select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "class_id", "label", "open"
     )
