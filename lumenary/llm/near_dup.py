@@ -117,12 +117,16 @@ def _sets(k: int):
     schema = pa.schema([("class_id", pa.int64()), ("set", pa.binary())])
 
     def run(batches):
+        done: set[int] = set()  # of this task: a repeated row gives its class's set once
         for b in batches:
             ids, sets = [], []
-            for c, key, t in zip(b.column(0), b.column(1), b.column(2)):
+            for c, key, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if c in done:
+                    continue
                 s = shingle_set(t.as_py(), k)
                 if _set_key(s) == key.as_py():
-                    ids.append(c.as_py())
+                    done.add(c)
+                    ids.append(c)
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
 
@@ -319,8 +323,7 @@ def classify(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     shared = banded.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("class_id", "n")).alias("hub")).where("c > 1")
     members = materialize(banded.join(shared, "bucket").select("bucket", "class_id", "n", "c", F.col("hub.class_id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
     wanted = classes.join(members.select("class_id").distinct(), "class_id").select("class_id", "set_key", "at")
-    found = wanted.join(texts(docs).select(at, "text"), "at")
-    sets = found.groupBy("at", "class_id", "set_key").agg(F.first("text").alias("text")).select("class_id", "set_key", "text")
+    sets = wanted.join(texts(docs).select(at, "text"), "at").select("class_id", "set_key", "text")
     sets = materialize(sets.mapInArrow(_sets(k), "class_id long, set binary"), "sets")
 
     # one star a bucket
