@@ -46,3 +46,16 @@ def smallest_container(points: DataFrame, boxes: DataFrame, point: str, holds: C
     """
     found = points.join(boxes, holds, "left").groupBy(point).agg(F.min(F.struct(area.alias("area"), "box_id")).alias("b"))
     return found.select(point, F.col("b.box_id").alias("box_id"), F.col("b.area").alias("area"))
+
+
+def delta_gate(old: DataFrame, new: DataFrame, key: str, columns: list[str], declared: DataFrame) -> DataFrame:
+    """verdict, field, n of all cells that differ: DECLARED if (key, field) is in ``declared``, else UNDECLARED; rows
+    of one side only have the field ``row``. One join of the two tables, one of the differences."""
+    a = old.select(key, F.struct(*columns).alias("a"))
+    b = new.select(key, F.struct(*columns).alias("b"))
+    cells = F.array_compact(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in columns]))
+    fields = F.when(F.col("a").isNull() | F.col("b").isNull(), F.array(F.lit("row"))).otherwise(cells)
+    changed = a.join(b, key, "full_outer").select(key, F.explode(fields).alias("field"))
+    known = declared.select(key, "field").distinct().withColumn("known", F.lit(True))
+    verdict = F.when(F.col("known"), "DECLARED").otherwise("UNDECLARED")
+    return changed.join(known, [key, "field"], "left").groupBy(verdict.alias("verdict"), "field").agg(F.count("*").alias("n"))

@@ -1,6 +1,6 @@
 """All queries of the engine's own operators."""
 
-from . import corpus, evaluation, retrieval
+from . import corpus, evaluation, retrieval, revision
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "retrieval"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "retrieval", "revision"]
