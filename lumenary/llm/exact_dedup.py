@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import materialize, texts
 
 KEYS_PER_SHARD = 100_000
+NO_ID = -(1 << 63)  # stands for a null id while groups are merged, where a null would turn ids into doubles
 _GROUP = "digest binary, keep_id long, keep_row long, group_size long"
 
 
@@ -43,7 +44,7 @@ def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
 def groups(rows: DataFrame) -> DataFrame:
     """One row per distinct digest; the winner has the largest doc_id (null is least), then the largest row."""
     top = F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "row"))
-    return rows.groupBy("digest").agg(top.alias("top"), F.count("*").alias("group_size")).select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"), "group_size")
+    return rows.groupBy("digest").agg(top.alias("top"), F.count("*").alias("group_size")).select("digest", F.coalesce(F.col("top.doc_id"), F.lit(NO_ID)).alias("keep_id"), F.col("top.row").alias("keep_row"), "group_size")
 
 
 class PerfectHash:
@@ -132,7 +133,7 @@ def _merge(batch: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     for table, rows, to in ((old, batch[member], at[member]), (beside, batch[spare >= 0], spare[spare >= 0])):
         if len(rows):
             was = table.iloc[to]
-            a, b = was.keep_id.fillna(-np.inf).to_numpy(), rows.keep_id.fillna(-np.inf).to_numpy()
+            a, b = was.keep_id.to_numpy(), rows.keep_id.to_numpy()
             wins = (b > a) | ((b == a) & (rows.keep_row.to_numpy() > was.keep_row.to_numpy()))
             for c in ("keep_id", "keep_row"):
                 col = table[c].to_numpy(copy=True)
@@ -154,7 +155,8 @@ def resolve(docs: DataFrame, row: str | None = None) -> DataFrame:
     """One row per input row: row, doc_id, digest, keep_id, keep_row, group_size.
 
     Rows up to the middle doc_id are the history, later ones (and null ids) the batch. Equal after
-    lower-casing A-Z only; null counts as empty. A repeated doc_id within a group is settled by row.
+    lower-casing A-Z only; null counts as empty. A repeated doc_id within a group is settled by row. The least
+    long counts as a null id.
     An empty table gives an empty result; other columns are ignored.
     """
     rows = digests(docs, row)
@@ -165,7 +167,7 @@ def resolve(docs: DataFrame, row: str | None = None) -> DataFrame:
     merged = materialize(merge(groups(rows.where(~old)), index, shards), "groups")
     many = merged.where("group_size > 1")
     return rows.join(many, "digest", "left").select(
-        "row", "doc_id", "digest", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        "row", "doc_id", "digest", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("keep_id"), F.lit(NO_ID))).alias("keep_id"),
         F.coalesce("keep_row", "row").alias("keep_row"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
     )
 

@@ -68,6 +68,14 @@ def test_exact_dedup(awkward, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
+def test_exact_dedup_long_ids(spark):
+    """Ids above 2^53 keep their digits beside null ids."""
+    big = (1 << 60) + 1
+    rows = [(big + i, f"text {i // 3 % 5}", "en") for i in range(45)] + [(None, "text 1", "en"), (None, "other", "en"), (None, "OTHER", "en")]
+    got = exact_dedup.exact_duplicates(docs_of(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == brute_exact(rows)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 20_000).astype(np.uint64))
     mph = exact_dedup.PerfectHash(keys)
