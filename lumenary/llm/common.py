@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder every executor can read: ``spark.checkpoint.dir``. Only a local master, whose executors share the
+    driver's disk, may leave it unset and gets a temporary one, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lumenary-")
         sc.setCheckpointDir(where)
     return where
@@ -63,6 +67,11 @@ def texts(docs: DataFrame, row: str | None = None, rows: bool = False) -> DataFr
     return docs.select(*columns)
 
 
+def bucket_count(rows: int) -> int:
+    """Buckets to rank ``rows`` in: both their number and their size grow as the square root of the rows."""
+    return max(1, math.isqrt(rows // 64))
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """doc_id, text, number and the whole row as ``whole``, written once so that the numbers hold."""
     kept = materialize(docs.select(F.struct("*").alias("whole"), F.monotonically_increasing_id().alias("number")), name)
