@@ -9,7 +9,6 @@ Every piece then finds its sequence from its rank among the pieces of its length
 
 from __future__ import annotations
 
-import math
 import zlib
 from functools import lru_cache
 
@@ -18,10 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, texts
+from .common import bucket_count, materialize, texts
 
 CAPACITY, END_ID = 2048, 1
-BUCKET_ROWS = 50_000
 _MARK = "<|endoftext|>"
 
 
@@ -143,17 +141,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
 
     A null or empty text is the one end id. Each id of each row lies in exactly one piece; rows with equal
     doc_ids are packed each for itself. Sequences are numbered from 0 without gaps and padded to
-    ``capacity`` after their last piece. Pieces of one length are ranked by bucket of about 50,000 rows, so that no length,
-    however common, is sorted in one task. Other columns are ignored; an empty table gives an empty result.
+    ``capacity`` after their last piece. A very long text is many full pieces and a rest; of pieces of equal length any
+    may come first. Pieces of one length, identical ones too, are dealt to as many buckets as that length's count
+    asks for and ranked by bucket, so that no length, however common, is sorted in one task. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    pieces = materialize(texts(docs).mapInArrow(_pieces(capacity, end_id, tokenizer), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    made = texts(docs).mapInArrow(_pieces(capacity, end_id, tokenizer), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = materialize(made.withColumn("number", F.monotonically_increasing_id()), "pieces")
     lengths = {r.length: r.c for r in pieces.groupBy("length").agg(F.count("*").alias("c")).collect()}  # at most ``capacity`` rows
-    buckets = max(1, math.ceil(max(lengths.values(), default=0) / BUCKET_ROWS))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    buckets = F.expr(f"element_at(array({','.join(str(bucket_count(lengths.get(n, 0))) for n in range(1, capacity + 1))}), int(length))")
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "number"), buckets))
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("c"))
     before = F.sum("c").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
-    order = W.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = dealt.withColumn("rank", F.row_number().over(order) - 1).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "bucket")
+    order = W.partitionBy("length", "bucket").orderBy("doc_id", "start", "number")
+    ranked = dealt.withColumn("rank", F.row_number().over(order) - 1).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "bucket", "number")
     return ranked.mapInArrow(_place(plan(lengths, capacity)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
