@@ -9,7 +9,12 @@ confirmed on the full sets.
 
 What a star can't see is settled exactly afterwards: members that the links so far don't join to
 their bucket's hub are compared with all members of the bucket, in small buckets as further
-candidates, in large ones in blocks that count common shingles by matrix products and return only links.
+candidates, in large ones in blocks that count common shingles by matrix products and return only links. Where
+very many members are open, they are unlike, and pairs that share one of their rarest shingles are the candidates.
+
+Bands can miss a pair, the more easily the smaller its sets. Sets of up to TINY shingles can be similar at 0.8 only if
+one is the other less one shingle, so they are joined exactly: a set's key meets the keys of sets less one.
+Before full sets are fetched, a parity sketch bounds a pair's difference from below; a pair it excludes can't be similar.
 """
 
 from __future__ import annotations
@@ -28,10 +33,12 @@ from .common import materialize, texts
 from .graph import connected_components
 
 BANDS, ROWS = 30, 5
+#: Bits of a set's parity sketch; sets up to TINY shingles are joined without bands.
+SKETCH, TINY = 2048, 9
 #: Buckets of fewer classes than SMALL take the first one as hub; others find theirs by a consensus of SAMPLE signatures.
 SMALL, SAMPLE = 16, 64
-#: Members and shingles of a block when a large bucket's rest is compared.
-BLOCK, BLOCK_SHINGLES, DENSE = 1024, 1 << 20, 16
+#: Members and shingles of a block when a large bucket's rest is compared; with more than WIDE open members it is joined by rarest shingles.
+BLOCK, BLOCK_SHINGLES, DENSE, WIDE, SALT = 1024, 1 << 20, 16, 1024, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,28 +94,47 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the number of shingles in each of SKETCH cells: two sketches differ in at most as many bits as their sets in shingles."""
+    return np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
+def tiny_keys(s: np.ndarray, percent: int) -> tuple[int | None, list[int]]:
+    """A small set's own key and those of the set less each one of its shingles, as far as such pairs are similar."""
+    if len(s) > TINY:
+        return None, []
+    with np.errstate(over="ignore"):
+        each = _mix(s * _ODD)
+        total = each.sum(dtype=np.uint64)
+        n = np.uint64(len(s))
+        own = int(_mix(np.array([total + n], np.uint64)).view(np.int64)[0]) if 100 * len(s) >= percent * (len(s) + 1) and len(s) < TINY else None
+        less = _mix(total - each + n - np.uint64(1)).view(np.int64).tolist() if 100 * (len(s) - 1) >= percent * len(s) else []
+    return own, less
+
+
 def _set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _signed(k: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64())), ("row", pa.int64()), ("at", pa.int64())])
+_SIGNED = "doc_id long, n long, set_key binary, sig binary, sketch binary, bands array<long>, own long, less array<long>, row long, at long"
+
+
+def _signed(k: int, bands: int, rows: int, percent: int):
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("sketch", pa.binary()), ("bands", longs), ("own", pa.int64()), ("less", longs), ("row", pa.int64()), ("at", pa.int64())])
 
     def run(batches):
         for b in batches:
-            n, keys, sigs, bandss = [], [], [], []
+            made: list[tuple] = []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), k)
-                n.append(len(s))
-                keys.append(_set_key(s))
                 if len(s):
                     sig = signature(s, bands * rows)
-                    sigs.append(sig.astype(np.uint16).tobytes())
-                    bandss.append(band_keys(sig, bands, rows))
+                    made.append((len(s), _set_key(s), sig.astype(np.uint16).tobytes(), sketch(s), band_keys(sig, bands, rows), *tiny_keys(s, percent)))
                 else:
-                    sigs.append(None)
-                    bandss.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bandss, pa.list_(pa.int64())), b.column(2), b.column(3)], schema=schema)
+                    made.append((0, _set_key(s), None, None, None, None, None))
+            columns = list(zip(*made)) if made else [()] * 7
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:8])), b.column(2), b.column(3)], schema=schema)
 
     return run
 
@@ -133,12 +159,18 @@ def _sets(k: int):
     return run
 
 
-def _alike(batches):
-    """Keep candidates whose signatures agree in 65 of 100 bins or more; at similarity 0.8 fewer have
-    a probability of about 2e-6 with 150 bins."""
-    for b in batches:
-        keep = [100 * np.count_nonzero((x := np.frombuffer(s.as_buffer(), np.uint16)) == np.frombuffer(t.as_buffer(), np.uint16)) >= 65 * len(x) for s, t in zip(b.column(2), b.column(3))]
-        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+def _possible(percent: int):
+    """Keep the pairs whose sketches leave them similar: a similar pair differs in at most (100 - percent) / (100 + percent) of
+    the sum of its sizes, and in no fewer shingles than its sketches in bits."""
+
+    def run(batches):
+        for b in batches:
+            sizes = b.column(2).to_numpy() + b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(sizes), SKETCH // 8) for c in (4, 5))
+            keep = (100 + percent) * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (100 - percent) * sizes
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _consensus(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -249,13 +281,9 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u hub, v member) whose full sets are similar enough. A hub's members are dealt over
     as many tasks as their number asks for, each with its own copy of the hub's set."""
-    sig = classes.select("class_id", "sig")
-    both = (
-        pairs.join(sig.withColumnRenamed("class_id", "u").withColumnRenamed("sig", "su"), "u")
-        .join(sig.withColumnRenamed("class_id", "v").withColumnRenamed("sig", "sv"), "v")
-        .select("u", "v", "su", "sv")
-    )
-    near = materialize(both.mapInArrow(_alike, "u long, v long"), "near")
+    of = classes.select("class_id", "n", "sketch")
+    both = pairs.join(of.toDF("u", "nu", "su"), "u").join(of.toDF("v", "nv", "sv"), "v").select("u", "v", "nu", "nv", "su", "sv")
+    near = materialize(both.mapInArrow(_possible(percent), "u long, v long"), "near")
     many = near.groupBy("u").agg(F.ceil(F.count("*") / 2000).alias("parts"))
     dealt = near.join(many, "u").select("u", "v", F.pmod(F.xxhash64("v"), "parts").alias("part"))
     s = sets.withColumnRenamed("class_id", "v")
@@ -291,7 +319,9 @@ def _blocks(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     deal = lambda n: F.pmod(F.xxhash64("class_id"), F.greatest(n, F.lit(1)))
     block = F.when(F.col("open"), deal(F.col("opened"))).otherwise(F.col("opened") + deal(F.col("settled")))
     last = F.when(F.col("open"), F.col("opened") + F.col("settled")).otherwise(F.col("opened")) - 1
-    dealt = known.join(load, "bucket").withColumn("block", block).withColumn("last", last)
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))  # a large bucket's members come to their load from several tasks
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("class_id"), F.lit(SALT)).cast("int"))
+    dealt = salted.join(load.withColumn("salt", salt), ["bucket", "salt"]).withColumn("block", block).withColumn("last", last)
     other = F.sequence(F.lit(0).cast("long"), "last")
     paired = dealt.withColumn("other", F.explode(other)).select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "class_id", "label", "open"
@@ -299,6 +329,34 @@ def _blocks(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return paired.join(sets, "class_id").groupBy("bucket", "i", "j").applyInPandas(_rest(percent), "u long, v long")
 
 
+def _exploded(batches):
+    for b in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(5)]
+        at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+        for i in range(0, len(flat), 1 << 16):
+            part = pa.array(at[i : i + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(part) for c in range(5)), pa.array(flat[i : i + (1 << 16)])], names=["bucket", "class_id", "n", "label", "open", "shingle"])
+
+
+def _by_rarest(known: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links of open members of buckets with very many of them. Two similar sets share a shingle among the rarest
+    n - ceil(percent * n / 100) + 1 of each, rarity being counted within the bucket; so each member is dealt by those, and only
+    members that meet are compared. Nothing similar is lost, and unlike members of a bucket, however many, don't meet."""
+    rows = known.select("bucket", "class_id", "n", "label", "open").join(sets, "class_id").select("bucket", "class_id", "n", "label", "open", "set")
+    each = materialize(rows.mapInArrow(_exploded, "bucket long, class_id long, n long, label long, open boolean, shingle long"), "shingles")
+    seen = each.groupBy("bucket", "shingle").agg(F.count("*").alias("times")).where("times > 1")
+    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    common = each.join(seen, ["bucket", "shingle"], "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    ordered = common.groupBy("bucket", "class_id", "n", "label", "open").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("s"))
+    rarest = ordered.withColumn("s", F.explode(F.slice("s", F.lit(1), length))).where("s.times > 1")
+    rarest = materialize(rarest.select("bucket", F.col("s.shingle").alias("shingle"), "class_id", "n", "label", "open"), "rarest")
+    one = rarest.where("open").select("bucket", "shingle", F.col("class_id").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
+    two = rarest.select("bucket", "shingle", F.col("class_id").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"), "open")
+    pairs = one.join(two, ["bucket", "shingle"]).where("lu <> lv and (not open or u < v)")
+    return _verified(_sized(pairs, "nu", "nv", percent).select("u", "v").distinct(), classes, sets, percent)
+
+
 def classify(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, per_band: int = ROWS, row: str | None = None) -> DataFrame:
     """One row per input row: row, doc_id, n_shingles, set_key, component_id, component_row.
 
@@ -307,22 +365,27 @@ def classify(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     shingle sets), ``component_row`` the one row of the component that may stand for it. Texts with the
     same set are one class. Null, empty and blank texts have the empty set and are linked with nothing,
     not even with each other. A null doc_id is larger than all others, and null if it stands alone.
-    Repeated rows are rows of one class. Other columns are ignored. Two similar texts are missed with
-    probability (1 - s**per_band)**bands, 7e-6 at s = 0.8 and 2e-8 at 0.85.
+    Repeated rows are rows of one class. Other columns are ignored; an empty table gives an empty result. Very long texts are
+    sets like others. Two similar texts of more than TINY shingles are missed if no band agrees, which has probability
+    (1 - s**per_band)**bands, 7e-6 at s = 0.8 and 2e-8 at 0.85; smaller sets and the members of a bucket are joined without loss.
     """
     spark = docs.sparkSession
     at = F.xxhash64("doc_id", "text").alias("at")  # finds a class's text again, whatever its doc_id
-    signed = texts(docs, row, rows=True).select("doc_id", "text", "row", at).mapInArrow(_signed(k, bands, per_band), "doc_id long, n long, set_key binary, sig binary, bands array<long>, row long, at long")
+    signed = texts(docs, row, rows=True).select("doc_id", "text", "row", at).mapInArrow(_signed(k, bands, per_band, percent), _SIGNED)
     signed = materialize(signed, "signed")
     groups = signed.where("n > 0").groupBy("set_key").agg(
         F.min("row").alias("class_id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
-        F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.min_by("at", "row").alias("at"),
+        F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("own").alias("own"), F.first("less").alias("less"), F.min_by("at", "row").alias("at"),
     )
     classes = materialize(groups, "classes")
     banded = classes.select("class_id", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("class_id", "n")).alias("hub")).where("c > 1")
     members = materialize(banded.join(shared, "bucket").select("bucket", "class_id", "n", "c", F.col("hub.class_id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
-    wanted = classes.join(members.select("class_id").distinct(), "class_id").select("class_id", "set_key", "at")
+    own = classes.where("own is not null").select(F.col("own").alias("key"), F.col("class_id").alias("u"))
+    tiny = classes.where("size(less) > 0").select(F.explode("less").alias("key"), F.col("class_id").alias("v")).join(own, "key").where("u <> v").select("u", "v").distinct()
+    tiny = materialize(tiny, "tiny")
+    met = members.select("class_id").union(tiny.select("u")).union(tiny.select("v")).distinct()
+    wanted = classes.join(met, "class_id").select("class_id", "set_key", "at")
     sets = wanted.join(texts(docs).select(at, "text"), "at").select("class_id", "set_key", "text")
     sets = materialize(sets.mapInArrow(_sets(k), "class_id long, set binary"), "sets")
 
@@ -330,7 +393,7 @@ def classify(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     small, large = members.where(F.col("c") < SMALL), members.where(F.col("c") >= SMALL).drop("hub", "hub_n")
     hubs = materialize(_hubs(large, classes), "hubs")
     starred = small.unionByName(large.join(hubs, "bucket")).where("class_id <> hub")
-    pairs = _sized(starred, "n", "hub_n", percent).select(F.col("hub").alias("u"), F.col("class_id").alias("v")).distinct()
+    pairs = _sized(starred, "n", "hub_n", percent).select(F.col("hub").alias("u"), F.col("class_id").alias("v")).union(tiny).distinct()
     links = materialize(_verified(pairs, classes, sets, percent), "links")
     comps = materialize(connected_components(links), "components")
 
@@ -345,7 +408,11 @@ def classify(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     few = known.where(F.col("c") < SMALL)
     one, two = few.where("open").select("bucket", F.col("class_id").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu")), few.select("bucket", F.col("class_id").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"), "open")
     pairs = _sized(one.join(two, "bucket").where("lu <> lv and (not open or u < v)"), "nu", "nv", percent).select("u", "v").distinct()
-    more = _verified(pairs, classes, sets, percent).union(_blocks(known.where(F.col("c") >= SMALL), sets, percent))
+    many = known.where(F.col("c") >= SMALL)
+    wide = materialize(many.groupBy("bucket").agg(F.count_if("open").alias("opened")).where(F.col("opened") > WIDE).select("bucket"), "wide")
+    more = _verified(pairs, classes, sets, percent).union(_blocks(many.join(wide, "bucket", "left_anti"), sets, percent))
+    if not wide.isEmpty():
+        more = more.union(_by_rarest(many.join(wide, "bucket", "left_semi"), classes, sets, percent))
     links = links.union(materialize(more, "links"))
     comps = materialize(connected_components(links), "components")
 

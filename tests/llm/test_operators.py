@@ -142,6 +142,47 @@ def test_near_dedup_chains(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_near(rows, 2))
 
 
+def test_near_dedup_short_texts(spark):
+    """Small sets at the threshold: every pair that differs by one word at an end."""
+    rng, rows = random.Random(11), []
+    for n in range(2, 12):
+        for _ in range(40):
+            words = [f"s{rng.randrange(5000)}" for _ in range(n)]
+            rows += [(len(rows), " ".join(words), "en"), (len(rows) + 1, " ".join([*words, f"s{rng.randrange(5000)}"]), "en"), (len(rows) + 2, " ".join(words[1:]), "en")]
+    rng.shuffle(rows)
+    got = near_dup.near_duplicates(docs_of(spark, rows), k=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_near(rows, 2))
+
+
+@pytest.mark.parametrize("wide", [5, 10_000])
+def test_near_dedup_unlike_bucket(spark, monkeypatch, wide):
+    """Many unlike texts in common buckets, with pairs among them that no star shows; joined by rarest shingles and in blocks."""
+    rng, rows = random.Random(12), []
+    shared = [f"c{i}" for i in range(45)]
+    for _ in range(150):
+        words = shared + [f"o{rng.randrange(10**6)}" for _ in range(35)]
+        rows.append((len(rows), " ".join(words), "en"))
+        if rng.random() < 0.3:
+            words[60] = f"o{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words), "en"))
+    rng.shuffle(rows)
+    monkeypatch.setattr(near_dup, "WIDE", wide)
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    monkeypatch.setattr(near_dup, "BLOCK", 32)
+    used = []
+    monkeypatch.setattr(near_dup, "_by_rarest", lambda *a, f=near_dup._by_rarest: used.append(1) or f(*a))
+    got = near_dup.near_duplicates(docs_of(spark, rows), k=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_near(rows, 2)) and bool(used) == (wide == 5)
+
+
+def test_sketch_bounds_the_difference():
+    rng = np.random.default_rng(3)
+    for n, d in ((5, 1), (300, 30), (5000, 900)):
+        base = np.unique(rng.integers(0, 1 << 63, n + d).astype(np.uint64))
+        x, y = (np.frombuffer(near_dup.sketch(s), np.uint8) for s in (base[d // 2 :], base[: len(base) - (d - d // 2)]))
+        assert np.bitwise_count(x ^ y).sum() <= d
+
+
 def test_near_dedup_many_null_ids(spark):
     """Texts are found again by their content, so rows without an id don't meet each other."""
     rows = [(None, f"left {i // 2} mid {i // 2} right {i // 2} end", "en") for i in range(3000)] + [(7, "left 5 mid 5 right 5 end", "en")] * 3
