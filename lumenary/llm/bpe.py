@@ -1,10 +1,15 @@
 """BPE encoding and decoding as streaming transducers.
 
 Encoder: a merge list's encoding of a prefix ends in exactly one token that is compatible with the
-encoding before it, so the symbols read so far form a tree of last tokens, one node per position. The
-encoding of any longer input passes through one of the last ``longest`` positions. Tokens that all
-those positions' chains share are stable and leave at once; the rest waits. ``sufficient_lookahead``
-is the merge list's own bound on that wait. Decoder: a state machine from ids to text.
+encoding before it, so the symbols read so far form a tree of last tokens, one node per position. A token
+leaves once ``sufficient_lookahead`` symbols, the merge list's own bound, have come after it; the encoding of any
+longer input passes through one of the last ``longest`` positions, and what leaves is checked to be common to all
+their chains. So at most twice the bound waits, however long a pre-token is. Every pre-token goes through the
+stream; the states of short prefixes and the ids of short words are remembered. Decoder: ids give bytes, and an
+incremental state machine turns bytes into text, holding unfinished sequences back.
+
+Character classes and case are those of the library whose results count: characters that are newer than the oldest
+tables in use are normalised and split by the library itself, all others by Python's tables, which agree there.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -26,6 +31,19 @@ _MEMO, _MEMO_WORD, _CHUNK = 400_000, 64, 1 << 18
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+@lru_cache(maxsize=1)
+def newer() -> re.Pattern:
+    """Characters that not all Unicode tables in use know alike: unassigned here, or, beyond the old blocks, assigned since 3.2."""
+    old, ranges = unicodedata.ucd_3_2_0.category, []
+    for c in range(0x80, 0x110000):
+        if unicodedata.category(chr(c)) == "Cn" or c > 0x2E50 and old(chr(c)) == "Cn":
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges) + "]")
+
+
 @lru_cache(maxsize=1)
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -47,6 +65,7 @@ class Merges:
         self._spine: dict[str, tuple[list, list] | None] = {}
         self._fits: dict[tuple[str, str], bool] = {}
         self._last: dict[str, str] = {}
+        self.lookahead = self.sufficient_lookahead()
 
     def width(self, token: str) -> int:
         return len(token) - len(self.suffix) * bool(self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix))
@@ -138,18 +157,6 @@ class Merges:
             self._last[prefix] = known
         return known
 
-    def short(self, word: str) -> list[str]:
-        """A short word's tokens by the same states as the stream's, asked from the end."""
-        for n in range(min(self.longest, len(word)), 0, -1):
-            token = word[-n:] + self.suffix
-            if token in self.vocab and self.fits(self.last_token(word[:-n]), token):
-                break
-        out, word = [token], word[:-n]
-        while word:
-            out.append(self.last_token(word))
-            word = word[: -len(out[-1])]
-        return out[::-1]
-
     def sufficient_lookahead(self) -> int:
         """Symbols after which no merge can still reach back: a change travels left over one token per
         link of a chain of merges with falling rank, and no chain is longer than the merge list's deepest
@@ -167,14 +174,14 @@ class StreamEncoder:
         self.m = merges
         self.last = [""]  # last[i]: the token that ends i symbols after the last one emitted
         self.text, self.held = "", ""  # symbols not yet emitted; the newest one, which may be the word's end
+        self.begun = False  # whether a token has left
 
     def _step(self, symbol: str) -> None:
-        m, end = self.m, len(self.text) + 1
-        self.text += symbol[:1]
+        m, text = self.m, self.text + symbol[:1]
+        end, self.text = len(text), text
         for n in range(min(m.longest, end), 0, -1):
-            token = self.text[end - n : end] + symbol[1:]
-            before = end - n
-            if token in m.vocab and m.fits(self.last[before], token):
+            token = text[end - n :] + symbol[1:]
+            if token in m.vocab and m.fits(self.last[end - n], token):
                 self.last.append(token)
                 return
         raise ValueError(f"no token ends in {symbol!r}")
@@ -187,9 +194,9 @@ class StreamEncoder:
         return out
 
     def _stable(self) -> list[str]:
-        """Tokens that the chains of all the last positions share."""
+        """Tokens with the sufficient lookahead behind them that the chains of all the last positions share."""
         n = len(self.text)
-        common = set(self._chain(n))
+        common = {p for p in self._chain(n) if p <= n - self.m.lookahead}
         for p in range(max(0, n - self.m.longest + 1), n):
             common &= set(self._chain(p))
         cut = max(common, default=0)
@@ -199,56 +206,79 @@ class StreamEncoder:
         while at:
             out.append(self.last[at])
             at -= self.m.width(self.last[at])
-        self.text, self.last = self.text[cut:], self.last[cut:]  # last[0] stays: what comes after has to fit it
+        self.text, self.last, self.begun = self.text[cut:], self.last[cut:], True  # last[0] stays: what comes after has to fit it
         return out[::-1]
 
-    def feed(self, symbols: str):
-        """Yield the tokens that no later symbol can change."""
-        for c in symbols:
-            if self.held:
-                self._step(self.held)
-                if len(self.text) >= 2 * self.m.longest and not len(self.text) % self.m.longest:
-                    yield from self._stable()
-            self.held = c
+    def feed(self, symbols: str) -> list[str]:
+        """The tokens that no later symbol can change. States are worked out when they are needed: symbols are only held
+        as long as they fit a short word, whose end asks for the states on its own way back and no others."""
+        self.held += symbols
+        out: list[str] = []
+        if self.begun or len(self.text) + len(self.held) > _MEMO_WORD:
+            for c in self.held[:-1]:
+                self._step(c)
+                if len(self.text) >= 2 * self.m.lookahead:
+                    out += self._stable()
+            self.held = self.held[-1:]
+        return out
 
     @property
     def waiting(self) -> int:
         return len(self.text) + len(self.held)
 
-    def finish(self):
+    def finish(self) -> list[str]:
         """The rest, once the pre-token has ended."""
-        if self.held:
-            self._step(self.held + self.m.suffix)
-        at, out = len(self.text), []
+        m, out, word = self.m, [], self.held
+        if not self.text and not self.begun:
+            end, last = m.suffix, m._last
+            while word:
+                if end:
+                    for n in range(min(m.longest, len(word)), 0, -1):
+                        token = word[-n:] + end
+                        if token in m.vocab and m.fits(m.last_token(word[:-n]), token):
+                            break
+                    end = ""
+                else:
+                    token = last.get(word) or m.last_token(word)
+                    n = len(token)
+                out.append(token)
+                word = word[:-n]
+            return out[::-1]
+        if word:
+            self._step(word + m.suffix)
+        at = len(self.text)
         while at:
             out.append(self.last[at])
-            at -= self.m.width(self.last[at])
-        yield from out[::-1]
+            at -= m.width(self.last[at])
+        return out[::-1]
+
+
+def token_bytes(tokens: dict[int, str], mode: str = "spaced", suffix: str = "") -> dict[int, bytes]:
+    """What each id gives the decoder: its string's own UTF-8 (``spaced``), or the bytes that its characters stand
+    for, a word's end being a space (``bytes``)."""
+    if mode == "spaced":
+        return {i: t.encode("utf-8") for i, t in tokens.items()}
+    byte, out = {c: b for b, c in byte_alphabet().items()}, {}
+    for i, t in tokens.items():
+        end = bool(suffix) and t.endswith(suffix)
+        out[i] = bytes(byte[c] for c in (t[: -len(suffix)] if end else t)) + b" " * end
+    return out
 
 
 class StreamDecoder:
-    """Ids in, text out, one piece at a time. ``spaced`` joins the tokens' own strings by one space, as a
-    tokenizer without a decoder does; ``bytes`` maps tokens to bytes and holds an unfinished UTF-8
-    sequence back until its last byte comes, a word's end being a space."""
+    """Ids in, text out, one piece at a time, through bytes: an unfinished UTF-8 sequence is held back until its last byte
+    comes. ``between`` is put between tokens, a space where a tokenizer has no decoder."""
 
-    def __init__(self, tokens: dict[int, str], mode: str = "spaced", suffix: str = ""):
-        self.tokens, self.mode, self.suffix, self.first = tokens, mode, suffix, True
-        self.byte = {c: b for b, c in byte_alphabet().items()} if mode == "bytes" else {}
+    def __init__(self, table: dict[int, bytes], between: bytes = b""):
+        self.table, self.between, self.first = table, between, True
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids) -> str:
-        if self.mode == "spaced":
-            out = " ".join(map(self.tokens.__getitem__, ids))
-            if out and not self.first:
-                out = " " + out
-            self.first = self.first and not out
-            return out
-        data = bytearray()
-        for i in ids:
-            t = self.tokens[i]
-            end = bool(self.suffix) and t.endswith(self.suffix)
-            data += bytes(self.byte[c] for c in (t[: -len(self.suffix)] if end else t)) + b" " * end
-        return self.utf8.decode(bytes(data))
+        data = self.between.join(map(self.table.__getitem__, ids))
+        if data and not self.first:
+            data = self.between + data
+        self.first = self.first and not data
+        return self.utf8.decode(data)
 
     def finish(self) -> str:
         return self.utf8.decode(b"", True)
@@ -269,27 +299,44 @@ class WordTokenizer:
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.symbols = {b: c for b, c in byte_alphabet().items()}
         self.tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
+        self.path, self.bytes = path, token_bytes(self.tokens)
         self.id_text = {i: str(i) for i in self.tokens}
         self.memo = _Memo(self)
 
     def word(self, word: str):
-        """The ids of one pre-token; a long one is streamed."""
-        vocab, symbols = self.merges.vocab, self.symbols
+        """The ids of one pre-token."""
         if len(word) <= _MEMO_WORD:
-            return map(vocab.__getitem__, self.merges.short(word.encode("utf-8", "replace").decode("latin-1").translate(symbols)))
-        return self._streamed(word)
+            stream = StreamEncoder(self.merges)
+            out = stream.feed(word.encode("utf-8", "replace").decode("latin-1").translate(self.symbols))
+            return map(self.merges.vocab.__getitem__, out + stream.finish())
+        return self.streamed(word[at : at + 4096].encode("utf-8", "replace").decode("latin-1").translate(self.symbols) for at in range(0, len(word), 4096))
 
-    def _streamed(self, word: str):
+    def streamed(self, parts):
+        """The ids of one pre-token's symbols, which come in parts."""
         stream, vocab = StreamEncoder(self.merges), self.merges.vocab
-        for at in range(0, len(word), 4096):
-            yield from map(vocab.__getitem__, stream.feed(word[at : at + 4096].encode("utf-8", "replace").decode("latin-1").translate(self.symbols)))
+        for part in parts:
+            yield from map(vocab.__getitem__, stream.feed(part))
         yield from map(vocab.__getitem__, stream.finish())
 
+    def pretokens(self, run: str):
+        """The ids of a run without white space."""
+        if not run.isascii() and newer().search(run):
+            return chain.from_iterable(self.streamed([p]) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(run))
+        parts = self.words.findall(run)
+        return self.word(run) if parts == [run] else chain.from_iterable(map(self.memo.__getitem__, parts))
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def normalise(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if text.isascii():
             return text.lower()
-        return text.lower()
+        if newer().search(text):
+            return self.library.normalizer.normalize_str(text)
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def chunks(self, text: str):
         """The text's parts, cut at special tokens and at white space, each in bounded size."""
@@ -328,8 +375,7 @@ class _Memo(dict):
         self.tokenizer = tokenizer
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        parts = self.tokenizer.words.findall(word)
-        ids = tuple(self.tokenizer.word(word) if parts == [word] else chain.from_iterable(map(self.__getitem__, parts)))
+        ids = tuple(self.tokenizer.pretokens(word))
         if len(word) <= _MEMO_WORD:
             if len(self) >= _MEMO:
                 self.clear()
@@ -349,7 +395,7 @@ def tokenizer(path: str | None) -> WordTokenizer:
 def digest(text: str | None, path: str | None = None) -> tuple[int, str, str]:
     """n_tokens, SHA-256 of the ids joined by spaces, SHA-256 of the decoded text; held in parts only."""
     tok = tokenizer(path)
-    ids_sha, text_sha, decoder, n = hashlib.sha256(), hashlib.sha256(), StreamDecoder(tok.tokens), 0
+    ids_sha, text_sha, decoder, n = hashlib.sha256(), hashlib.sha256(), StreamDecoder(tok.bytes, b" "), 0
     for ids in tok.encode(text or ""):
         if ids:
             ids_sha.update(((" " if n else "") + " ".join(map(tok.id_text.__getitem__, ids))).encode())
@@ -362,8 +408,9 @@ def digest(text: str | None, path: str | None = None) -> tuple[int, str, str]:
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row, from the whole text.
 
-    Null and empty texts have no tokens and the digests of the empty string. Repeated rows and null ids
-    pass through; other columns are ignored. There is no shuffle.
+    Null and empty texts have no tokens and the digests of the empty string. A very long text is read in bounded parts and a
+    very long word streamed. Repeated rows and null ids pass through; other columns are ignored; an empty table gives an
+    empty result. There is no shuffle.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

@@ -245,20 +245,14 @@ def test_bpe_rows(spark, sf_dir, awkward, empty, library):
 
 
 def test_bpe_every_character(library):
+    """Every code point, in a word and alone, without exemptions."""
     lib = library["word_bpe_49k.json"]
-    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
-    for at in range(0, len(points), 64):
-        text = "".join(f"a{chr(c)}b {chr(c)} " for c in points[at : at + 64])
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 2048):
+        text = "".join(f"a{chr(c)}b {chr(c)} " for c in points[at : at + 2048])
         if bpe.digest(text) != expected(lib, text):
-            bad = [hex(c) for c in points[at : at + 64] if bpe.digest(t := f"a{chr(c)}b {chr(c)} ") != expected(lib, t)]
-            assert not [b for b in bad if not _newer(int(b, 16))], bad
-
-
-def _newer(c):
-    """Characters that the libraries' Unicode versions class differently (assigned after one of them)."""
-    import unicodedata
-
-    return unicodedata.category(chr(c)) == "Cn" or unicodedata.ucd_3_2_0.category(chr(c)) == "Cn" and c > 0x2E50
+            bad = [hex(c) for c in points[at : at + 2048] if bpe.digest(t := f"a{chr(c)}b {chr(c)} ") != expected(lib, t)]
+            raise AssertionError(bad or "only together")
 
 
 @given(st.text(alphabet=st.sampled_from("ab'stéΣ 1!\n ́ñ<|>漢😀"), max_size=60))
@@ -281,13 +275,13 @@ def test_bpe_stream_is_bounded():
             most = max(most, stream.waiting)
         out += stream.finish()
         assert out == tok.merges.merge([*word[:-1], word[-1] + "</w>"])
-        assert most < 4 * tok.merges.longest <= tok.merges.sufficient_lookahead() or most < tok.merges.sufficient_lookahead()
+        assert most <= 2 * tok.merges.lookahead + 1
 
 
 def test_bytes_decoder():
     tok = bpe.tokenizer(None)
     ids = [i for part in tok.encode("naïve 漢字 😀 don't") for i in part]
-    decoder = bpe.StreamDecoder(tok.tokens, "bytes", "</w>")
+    decoder = bpe.StreamDecoder(bpe.token_bytes(tok.tokens, "bytes", "</w>"))
     assert "".join([*(decoder.feed([i]) for i in ids), decoder.finish()]).split() == ["naïve", "漢字", "😀", "don", "'t"]
 
 
