@@ -307,6 +307,37 @@ def test_count_tree_edits():
             assert tree.tokens_before(at) == plain.tokens_before(at)
 
 
+def test_many_edits_are_linear():
+    """Twice the text and the edits cost about twice the time, not four times."""
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        text = "some words and a.b@c.example here, number 12345678 too; " * n
+        edits = token_counts.masks(text)
+        tree = token_counts.CountTree(text)
+        began = time.perf_counter()
+        for a, b, new in reversed(edits):
+            tree.edit(a, b, new)
+        took.append(time.perf_counter() - began)
+        assert tree.total == len(token_counts._tools(None)[2].encode_ordinary("some words and <email> here, number <number> too; " * n))
+        assert tree.reencoded < 40 * len(edits)
+    assert took[1] < 8 * took[0]
+
+
+def test_kept_trees(spark):
+    docs = spark.createDataFrame([(i, "lorem ipsum dolor sit amet, " * i + f"end {i}") for i in range(40)] + [(99, None)], "doc_id long, text string")
+    kept = token_counts.trees(docs)
+    edits = spark.createDataFrame([(i, 5 * k, 5 * k + 2, f"new{k} ") for i in range(3, 30) for k in range(i % 5)] + [(99, 0, 0, "x y z"), (1000, 0, 0, "no document")], "doc_id long, start long, end long, new string")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in edits.orderBy("doc_id", F.desc("start")).collect():
+        if r.doc_id in texts:
+            texts[r.doc_id] = texts[r.doc_id][: r.start] + r.new + texts[r.doc_id][r.end :]
+    got = token_counts.edited(kept, edits).collect()
+    encode = token_counts._tools(None)[2].encode_ordinary
+    assert {r.doc_id: (r.n_tokens, bytes(r.tree.text).decode()) for r in got} == {i: (len(encode(t)), t) for i, t in texts.items()}
+
+
 def test_count_edited(awkward, empty):
     encode = token_counts._tools(None)[2].encode_ordinary
     want = []
