@@ -1,10 +1,13 @@
 """Approximate nearest neighbours: coarse centroids, product-quantised residuals, exact reranking.
 
 A bounded sample fits the centroids and the residual codebooks and sets how many lists to probe for the
-wanted recall. Every vector goes to its nearest centroid's list as a code. Lists are dealt to cells of a few
+wanted recall. Centroids come in two levels: up to LISTS coarse ones, and, once the square root of the vectors is beyond
+that, a second codebook of as many centroids of what the first leaves, shared by all, as keeps the number of lists
+at the square root. Every vector goes to its nearest centroid's list as a code. Lists are dealt to cells of a few
 thousand vectors: long lists (a vector that is repeated a million times) are split, short ones share a
-cell. A query visits the cells of its lists; asymmetric distance tables rank each cell's codes, the best are
-scored again on the original vectors, and only the k best of a cell go on to the merge.
+cell. A query visits the cells of its lists, and more lists as long as those hold fewer than k others; asymmetric
+distance tables rank each cell's codes, the best are scored again on the original vectors, and only the k best of
+a cell go on to the merge.
 """
 
 import math
@@ -17,34 +20,52 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Bounds of what is fitted on the driver: vectors in the sample, lists, probe queries.
+#: Bounds of what is fitted on the driver: vectors in the sample, centroids of a level, probe queries.
 SAMPLE, LISTS, PROBES = 16_384, 1_024, 256
-CELL, BLOCK, SHORTLIST, RECALL = 4_096, 2_048, 128, 0.99
+CELL, BLOCK, VISITS, SHORTLIST, RECALL = 4_096, 2_048, 64, 128, 0.99
 
 
 @dataclass
 class Index:
-    centroids: np.ndarray  # lists x dim
+    centroids: np.ndarray  # coarse x dim
+    inner: np.ndarray  # second level x dim, one zero row if there is none
     books: np.ndarray  # parts x codes x width
     probes: int
     dim: int
+    k: int = 1
+    sizes: np.ndarray | None = None  # vectors of each list
+
+    @property
+    def lists(self) -> int:
+        return len(self.centroids) * len(self.inner)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.centroids.T - 0.5 * (self.centroids**2).sum(1)).argmax(1)
+        coarse = _nearest(x, self.centroids)
+        return coarse * len(self.inner) + _nearest(x - self.centroids[coarse], self.inner)
+
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        return self.centroids[lists // len(self.inner)] + self.inner[lists % len(self.inner)]
 
     def parts(self, x: np.ndarray) -> np.ndarray:
         n, w = self.books.shape[0], self.books.shape[2]
         return np.pad(x, ((0, 0), (0, n * w - x.shape[1]))).reshape(len(x), n, w)
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        parts = self.parts(x - self.centroids[lists])
-        return np.stack([(parts[:, j] @ b.T - 0.5 * (b**2).sum(1)).argmax(1) for j, b in enumerate(self.books)], 1).astype(np.uint8)
-
-    def probed(self, q: np.ndarray) -> np.ndarray:
-        """For each query, which lists it visits: those whose centroids have the largest inner products."""
-        s = q @ self.centroids.T
-        out = np.zeros(s.shape, bool)
-        np.put_along_axis(out, np.argsort(-s, axis=1, kind="stable")[:, : self.probes], True, 1)
+        parts = self.parts(x - self.centre(lists))
+        return np.stack([_nearest(parts[:, j], b) for j, b in enumerate(self.books)], 1).astype(np.uint8)
+
+    def scores(self, q: np.ndarray) -> np.ndarray:
+        """Queries x lists: the inner products with the lists' centres."""
+        return ((q @ self.centroids.T)[:, :, None] + (q @ self.inner.T)[:, None]).reshape(len(q), -1)
+
+    def probed(self, scores: np.ndarray) -> np.ndarray:
+        """For each query, which lists it visits: those whose centres have the largest inner products, ``probes`` of them, or as
+        many as hold k vectors beside its own."""
+        order = np.argsort(-scores, axis=1, kind="stable")
+        held = np.cumsum(self.sizes[order], axis=1)
+        count = np.maximum(self.probes, (held < self.k + 1).sum(axis=1) + 1)
+        out = np.zeros(scores.shape, bool)
+        np.put_along_axis(out, order, np.arange(scores.shape[1]) < count[:, None], 1)
         return out
 
     def tables(self, q: np.ndarray) -> np.ndarray:
@@ -52,12 +73,16 @@ class Index:
         return np.einsum("qpw,pcw->qpc", self.parts(q), self.books).astype(np.float32)
 
 
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return (x @ centroids.T - 0.5 * (centroids**2).sum(1)).argmax(1)
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
     """Lloyd's rounds; a centroid that loses all its vectors stays where it was."""
     rng = np.random.default_rng(seed)
     centroids = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        at = (x @ centroids.T - 0.5 * (centroids**2).sum(1)).argmax(1)
+        at = _nearest(x, centroids)
         n = np.bincount(at, minlength=len(centroids))
         sums = np.zeros_like(centroids)
         np.add.at(sums, at, x)
@@ -68,36 +93,41 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray
 def fit(sample: np.ndarray, total: int, k: int, recall: float = RECALL) -> Index:
     """Centroids, codebooks and the number of probes that finds ``recall`` of the sample's true neighbours."""
     distinct = np.unique(sample, axis=0)
-    dim = sample.shape[1]
-    centroids = k_means(distinct, max(1, min(LISTS, int(math.sqrt(total)), len(distinct))))
-    index = Index(centroids, np.zeros((1, 1, 1)), len(centroids), dim)
-    residuals = distinct - centroids[index.assign(distinct)]
+    dim, wanted = sample.shape[1], math.isqrt(total)
+    centroids = k_means(distinct, max(1, min(LISTS, wanted, len(distinct))))
+    residuals = distinct - centroids[_nearest(distinct, centroids)]
+    second = min(LISTS, -(-wanted // len(centroids)), len(distinct))
+    inner = k_means(residuals, second, seed=2) if second > 1 else np.zeros((1, dim))
     width = 2 if dim > 1 else 1
     parts = -(-dim // width)
-    index.books = np.zeros((parts, 1, width))
-    cut = index.parts(residuals)
+    index = Index(centroids, inner, np.zeros((parts, 1, width)), 1, dim, k)
+    lists = index.assign(distinct)
+    cut = index.parts(distinct - index.centre(lists))
     books = [k_means(cut[:, j], 256, 6, j) for j in range(parts)]
     index.books = np.stack([np.pad(b, ((0, 256 - len(b)), (0, 0)), mode="edge") for b in books])
     queries = distinct[np.random.default_rng(3).permutation(len(distinct))[:PROBES]]
-    scores = queries @ distinct.T
-    near = np.argsort(-scores, axis=1)[:, : k + 1]
-    order = np.argsort(-(queries @ centroids.T), axis=1, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(order.shape[1])[None], 1)
-    needed = np.take_along_axis(rank, index.assign(distinct)[near], 1).ravel()
-    index.probes = int(np.quantile(needed, recall, method="higher")) + 1 if len(needed) else 1
+    needed = []
+    for q in np.array_split(queries, max(1, len(queries) * index.lists >> 22)):
+        near = np.argsort(-(q @ distinct.T), axis=1)[:, : k + 1]
+        order = np.argsort(-index.scores(q), axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(order.shape[1])[None], 1)
+        needed.append(np.take_along_axis(rank, lists[near], 1).ravel())
+    index.probes = int(np.quantile(np.concatenate(needed), recall, method="higher")) + 1 if needed else 1
     return index
 
 
 def vectors(table: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """id, v (array of doubles) of the vectors that take part: not null, zero, or with null or non-finite parts.
 
-    Of repeated ids the least vector counts.
+    Of repeated ids the least vector counts; only their rows are grouped, the others stay where they are.
     """
     v = F.col("v")
     rows = table.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and v is not null")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return rows.where(F.coalesce(sound, F.lit(False))).groupBy("id").agg(F.min("v").alias("v"))
+    rows = rows.where(F.coalesce(sound, F.lit(False)))
+    repeated = materialize(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    return rows.join(repeated, "id", "left_anti").unionByName(rows.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v")))
 
 
 def _cells(sizes: dict[int, int], lists: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -132,13 +162,13 @@ def _search(index: Index, k: int):
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(asked), 128):
             q = queries[at : at + 128]
-            table = index.tables(q)
-            guess = (q @ index.centroids.T).astype(np.float32)[:, lists]
+            table, scores = index.tables(q), index.scores(q)
+            guess = scores.astype(np.float32)[:, lists]
             for j in range(codes.shape[1]):
                 guess += table[:, j].take(codes[:, j], axis=1)
-            guess[~index.probed(q)[:, lists]] = -np.inf
+            guess[~index.probed(scores)[:, lists]] = -np.inf
             guess[q_ids[at : at + 128, None] == ids] = -np.inf
-            depth = min(SHORTLIST, len(ids))
+            depth = min(max(SHORTLIST, k), len(ids))
             least = -np.partition(-guess, depth - 1, axis=1)[:, depth - 1]
             for i in range(len(q)):
                 found = np.flatnonzero((guess[i] >= least[i]) & (guess[i] > -np.inf))
@@ -154,17 +184,23 @@ def search(table: DataFrame, every: int = 20, k: int = 20, recall: float = RECAL
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every``, its k nearest others.
 
     Nearness is the largest inner product in double precision, ties go to the smaller vec_id; fewer than k
-    are returned if there are fewer. Null, zero or non-finite vectors take no part, nor do those of another
-    length than the commonest (the longer at a tie). All other rows are indexed. Other columns are ignored.
+    are returned only if there are fewer. Null, zero or non-finite vectors take no part. Vectors are compared with those of
+    their own length; each length that has queries is an index of its own. All rows are indexed. Other columns are ignored;
+    an empty table gives an empty result.
     """
     spark = table.sparkSession
     rows = materialize(vectors(table).withColumn("dim", F.size("v")), "vectors")
-    dims = rows.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not dims:
-        return spark.createDataFrame([], empty)
-    dim, total = dims[0]["dim"], dims[0]["count"]
-    rows = rows.where(F.col("dim") == dim)
+    asked = F.pmod("id", F.lit(every)) == 0
+    dims = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(asked).alias("asked")).where("n > 1 and asked > 0").orderBy("dim").collect()
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in dims:
+        found = _search_one(rows.where(F.col("dim") == d["dim"]), d["dim"], d["n"], every, k, recall)
+        out = found if len(dims) == 1 else out.unionByName(found)
+    return out
+
+
+def _search_one(rows: DataFrame, dim: int, total: int, every: int, k: int, recall: float) -> DataFrame:
+    """``search`` over vectors of one length."""
     share = min(1.0, 0.9 * SAMPLE / total)
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("v").limit(SAMPLE).collect() or rows.select("v").limit(SAMPLE).collect()
     index = fit(np.array([r.v for r in drawn]), total, k, recall)
@@ -177,8 +213,9 @@ def search(table: DataFrame, every: int = 20, k: int = 20, recall: float = RECAL
             yield pd.DataFrame({"id": b.id, "list": lists, "codes": [c.tobytes() for c in codes], "raw": [r.tobytes() for r in x]})
 
     index_rows = materialize(rows.select("id", "v").mapInPandas(encoded, "id long, list long, codes binary, raw binary"), "codes")
-    sizes = {r["list"]: r["count"] for r in index_rows.groupBy("list").count().collect()}  # at most LISTS rows
-    first, parts, _ = _cells(sizes, len(index.centroids))
+    sizes = {r["list"]: r["count"] for r in index_rows.groupBy("list").count().collect()}  # one row a list: the square root of the vectors
+    first, parts, _ = _cells(sizes, index.lists)
+    index.sizes = np.array([sizes.get(n, 0) for n in range(index.lists)], np.int64)
 
     def placed(batches):
         for b in batches:
@@ -187,15 +224,17 @@ def search(table: DataFrame, every: int = 20, k: int = 20, recall: float = RECAL
             yield b.assign(cell=first[lists] + (mixed % parts[lists].astype(np.uint64)).astype(np.int64))
 
     def visits(batches):
-        for b in batches:
-            q = np.frombuffer(b"".join(b.raw), np.float64).reshape(len(b), dim)
-            who, cells = [], []
-            for i, lists in enumerate(index.probed(q)):
-                mine = np.unique(np.concatenate([np.arange(first[n], first[n] + parts[n]) for n in np.flatnonzero(lists)]))
-                who.append(np.full(len(mine), i))
-                cells.append(mine)
-            at = np.concatenate(who) if who else np.empty(0, int)
-            yield pd.DataFrame({"id": b.id.to_numpy()[at], "raw": b.raw.to_numpy()[at], "cell": np.concatenate(cells) if cells else at})
+        for batch in batches:
+            for at in range(0, len(batch), VISITS):
+                b = batch.iloc[at : at + VISITS]
+                q = np.frombuffer(b"".join(b.raw), np.float64).reshape(len(b), dim)
+                who, cells = [], []
+                for i, lists in enumerate(index.probed(index.scores(q))):
+                    mine = np.unique(np.concatenate([np.arange(first[n], first[n] + parts[n]) for n in np.flatnonzero(lists)]))
+                    who.append(np.full(len(mine), i))
+                    cells.append(mine)
+                own = np.concatenate(who)
+                yield pd.DataFrame({"id": b.id.to_numpy()[own], "raw": b.raw.to_numpy()[own], "cell": np.concatenate(cells)})
 
     own = index_rows.mapInPandas(placed, "id long, list long, codes binary, raw binary, cell long")
     asked = index_rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "raw").mapInPandas(visits, "id long, raw binary, cell long")

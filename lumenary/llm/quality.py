@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, remainder, texts
 
@@ -198,13 +199,20 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     return stats.mapInArrow(run, "doc_id long, score double")
 
 
-def score_of(model: Model):
-    """A column function from text to score."""
+@F.pandas_udf(T.BinaryType())
+def statistics_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A text's statistics as ``measured`` keeps them; null counts as empty."""
+    for b in batches:
+        yield pd.Series([statistics((t or "").encode("utf-8", "replace")).tobytes() for t in b], dtype=object)
+
+
+def score_stats(model: Model):
+    """A column function from kept statistics to score."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series(model.score(np.array([statistics((t or "").encode("utf-8", "replace")) for t in b]).reshape(-1, STATISTICS)))
+            yield pd.Series(model.score(np.frombuffer(b"".join(b), np.float64).reshape(-1, STATISTICS)))
 
     return run
 
@@ -213,8 +221,9 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, from the whole text; null counts as empty.
 
     Learned only from labels whose id's crc32 mod 3 is not 1; labels, lang, source and doc_id are no inputs
-    of a score. Of repeated labels the larger counts. Without labels every score is one half. Repeated rows
-    and null ids pass through; other columns are ignored.
+    of a score. Of repeated labels the larger counts. Without labels every score is one half. Texts with equal statistics
+    tie and score alike; very long ones give as many statistics as short ones. Repeated rows and null ids pass through; other
+    columns are ignored; an empty table gives an empty result.
     """
     stats = measured(docs)
     scored = score(stats, learn(stats, labels))

@@ -659,11 +659,29 @@ def test_neighbours_recall(spark):
     assert all(abs(s - vectors[q] @ vectors[j]) < 1e-12 for q, g in got.items() for _, j, s in g)
 
 
+def test_neighbours_two_levels(spark, monkeypatch):
+    """Few coarse centroids and a second level: recall holds, and every query gets its k rows though lists are tiny."""
+    monkeypatch.setattr(ann, "LISTS", 12)
+    monkeypatch.setattr(ann, "CELL", 200)
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.standard_normal(8) + 3 * (i % 7 == j % 7)).tolist()) for j, i in enumerate(range(1500))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, got = brute_neighbours(rows), defaultdict(list)
+    for r in ann.search(table).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got.keys() == want.keys() and all(len(g) == 20 for g in got.values())
+    assert sum(len(set(got[q]) & {j for _, j in w}) for q, w in want.items()) / (20 * len(want)) >= 0.9
+    few = ann.search(table, recall=0.0)  # one probe at first
+    assert few.count() == 20 * len(want)
+
+
 def test_neighbours_awkward(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.5, 0.5], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1), (6, [None, 1.0], 1), (7, [float("inf"), 0.0], 1), (20, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (None, [1.0, 1.0], 1), (9, [1.0, 2.0, 3.0], 1), (40, [0.0, 0.0], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(table).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 20, 1.0), (0, 3, 2, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 1.0), (20, 3, 2, 0.5)]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 20, 1.0), (0, 3, 2, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 1.0), (20, 3, 2, 0.5)]  # 9 is of another length
+    longer = table.unionByName(spark.createDataFrame([(60, [1.0, 0.0, 0.0], 1)], table.schema))
+    assert [(r.rank, r.vec_id, r.score) for r in ann.search(longer).where("query_id = 60").collect()] == [(1, 9, 1.0)]
     assert ann.search(table.limit(0)).count() == 0
     same = spark.range(3000).selectExpr("id AS vec_id", "array(0.6D, 0.8D) AS embedding")
     assert all(r.vec_id == r.rank - (r.vec_id < r.query_id) for r in ann.search(same.where("vec_id <= 2980")).where("query_id > 100").collect())

@@ -35,9 +35,10 @@ def test_columns(stages):
 def test_language_stage(spark, stages):
     before, after = stages[0]
     said = lang_id.identify(before, lang_id.learn(before))
-    keep = said.where("lang_pred <> 'und' and (rate <= 0.55 or phrases < 12)")
+    keep = said.where("lang_pred <> 'und' and not foreign")
     assert rows(after) == rows(before.join(keep.select("doc_id"), "doc_id", "left_semi"))
     odd = docs_of(spark, [(10_000, "12 34 !!", None), (10_001, None, None), (10_002, "я не знаю этого языка совсем", None), (10_003, "A", None)]).select(*before.columns)
+    assert said.where("foreign and lang_pred <> 'und'").count() == 0
     mixed = before.unionByName(odd)
     assert [r.doc_id for r in corpus_pipeline.identify_language(spark, mixed, "").where("doc_id >= 10000").collect()] == [10_003]
 
@@ -85,3 +86,20 @@ def test_repeated_and_null_rows(spark):
     assert near.columns == docs.columns and near.where("text like '%b c d%'").count() == 1 and near.count() == 4
     for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.identify_language):
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_quality_and_packing_rows(spark, tmp_path):
+    """Null, empty and repeated rows, extra columns with clashing names, and empty tables in the second and the last stage."""
+    docs = docs_of(spark, [(1, "a plain text with some words.", "en")] * 2 + [(2, None, None), (3, "", "en"), (None, "# | $$ %% && ##", None), (4, "x " * 50_000, "en")])
+    for name, labels in (("some", [(1, 1, 0), (2, 0, 0), (None, 1, 0), (4, None, 1)]), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        kept = corpus_pipeline.classify_quality(spark, docs, folder)
+        scores = {r.doc_id: r.score for r in quality.predict(docs, spark.read.parquet(f"{folder}/labels.parquet")).collect()}
+        assert kept.columns == docs.columns
+        assert rows(kept) == sorted((tuple(r) for r in docs.collect() if scores[r.doc_id] >= corpus_pipeline.LEAST_QUALITY), key=str)
+        assert corpus_pipeline.classify_quality(spark, docs.limit(0), folder).count() == 0
+    packed = corpus_pipeline.pack_sequences(spark, docs, "")
+    assert sorted((r.doc_id, r.n) for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n")).where("doc_id in (2, 3)").collect()) == [(2, 1), (3, 1)]
+    assert packed.where("doc_id = 1").count() == 2 and packed.where("doc_id = 4").count() > 10
+    assert corpus_pipeline.pack_sequences(spark, docs.limit(0), "").count() == 0
