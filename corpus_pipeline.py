@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, quality, exact dedup, near dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of documents.
+next stage's docs. All but the last return the columns of documents, whatever these are called; an empty table gives an
+empty one in every stage, and very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -19,33 +20,40 @@ LEAST_QUALITY = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and texts that no learned language explains."""
+    """Rejects texts without letters (null ones too) and texts that no learned language explains. Rows are judged one by one:
+    repeated rows share their fate, and ties between languages reject nothing."""
     said = lang_id.language(lang_id.learn(docs))(F.col("text").cast("string"))
     judged = docs.select(F.struct("*").alias("row"), said.alias("said"))
     return judged.where(~lang_id.rejected(F.col("said"))).select("row.*")
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose calibrated score is under LEAST_QUALITY."""
-    model = quality.learn(quality.measured(docs), table(spark, sf_dir, "labels"))
-    judged = docs.select(F.struct("*").alias("row"), quality.score_of(model)(F.col("text").cast("string")).alias("score"))
-    return judged.where(F.col("score") >= LEAST_QUALITY).select("row.*")
+    """Rejects documents whose calibrated score is under LEAST_QUALITY. Null texts are scored as empty ones; repeated rows
+    share their score, and one that is just LEAST_QUALITY, as all are without labels, stays. The statistics are written
+    beside the rows, once, for learning and for scoring."""
+    stats = quality.statistics_of(F.col("text").cast("string"))
+    held = materialize(docs.select(F.struct("*").alias("row"), stats.alias("stats")), "scored")
+    model = quality.learn(held.select(F.col("row.doc_id").cast("long").alias("doc_id"), "stats"), table(spark, sf_dir, "labels"))
+    return held.where(quality.score_stats(model)(F.col("stats")) >= LEAST_QUALITY).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose texts are equal after lower-casing A-Z, the one with the largest doc_id stays."""
+    """Of documents whose texts are equal after lower-casing A-Z, the one with the largest doc_id stays; a null text is an
+    empty one, null ids are the smallest, and of repeated rows one stays."""
     rows = numbered(docs, "copies")
     return without(rows, exact_dedup.resolve(rows, row="number").where("row <> keep_row").select("row"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles (similarity 0.8 or more), one of each group stays."""
+    """Of documents linked by five-word shingles (similarity 0.8 or more), one of each group stays, that with the smallest
+    doc_id (null ids last; of repeated rows one). Texts without words are linked with nothing and stay."""
     rows = numbered(docs, "near-copies")
     return without(rows, near_dup.classify(rows, k=5, percent=80, row="number").where("row <> component_row").select("row"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
+    """Pieces of all documents in sequences of 2048 tokens. A null or empty text is its end id alone; repeated rows and null
+    ids are packed each for itself; of pieces of equal length any may come first."""
     return packing.pack(docs)
 
 
