@@ -30,34 +30,58 @@ def changed_span(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.StringType())
 def repaired_quote(quotes: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The shortest, then earliest span of the source that holds all the quote's lines in order: the quote itself
-    if present; else it needs two lines or more of 12 characters each, and spans of at most 4 * length + 100."""
+    """A quote as its source has it, white space normalised on both sides: unchanged if it is there; else the shortest, then
+    earliest span of the source that holds all the quote's lines in order and is at most 4 * length + 100 long, provided
+    that two of the lines have 12 characters or more. Null if there is none."""
     for quote, source in quotes:
         yield pd.Series([_repair(q, s) for q, s in zip(quote, source)], dtype="object")
 
 
 def _repair(quote: str | None, source: str | None) -> str | None:
-    if not quote or source is None:
+    if quote is None or source is None:
         return None
-    if quote in source:
+    text, whole = " ".join(source.split()), " ".join(quote.split())
+    if whole and whole in text:
         return quote
-    lines = [x.strip() for x in quote.splitlines() if x.strip()]
-    if len(lines) < 2 or any(len(x) < 12 for x in lines):
+    lines = [line for line in (" ".join(x.split()) for x in quote.splitlines()) if line]
+    if sum(len(line) >= 12 for line in lines) < 2:
         return None
-    best, at = None, source.find(lines[0])
+    best, at = None, text.find(lines[0])
     while at >= 0:
-        end = at + len(lines[0])
-        for line in lines[1:]:
-            found = source.find(line, end)
+        end = at
+        for line in lines:
+            found = text.find(line, end)
             if found < 0:
                 return best
             end = found + len(line)
-        if end - at <= 4 * len(quote) + 100 and (best is None or end - at < len(best)):
-            best = source[at:end]
-        at = source.find(lines[0], at + 1)
+        if end - at <= 4 * len(whole) + 100 and (best is None or end - at < len(best)):
+            best = text[at:end]
+        at = text.find(lines[0], at + 1)
     return best
 
 
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))]))
+def norm_positions(text: pd.Series) -> pd.DataFrame:
+    """White space normalised text and, for each of its characters, where it comes from in the original."""
+
+    def one(t: str | None) -> tuple[str | None, list[int] | None]:
+        if t is None:
+            return None, None
+        out, starts = [], []
+        for i, c in enumerate(t):
+            if not c.isspace():
+                out.append(c)
+                starts.append(i)
+            elif out and out[-1] != " ":
+                out.append(" ")
+                starts.append(i)
+        if out and out[-1] == " ":
+            out.pop(), starts.pop()
+        return "".join(out), starts
+
+    return pd.DataFrame([one(t) for t in text], columns=["text", "starts"])
+
+
 @udtf(returnType="tag string, a_start int, a_end int, b_start int, b_end int")
 class Opcodes:
     """Rows of the edit script between two texts, equal parts left out."""

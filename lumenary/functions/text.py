@@ -79,9 +79,21 @@ def fielded(fields: dict[str, Column]) -> Column:
     return F.array_join(F.array_compact(F.array(*lines)), "\n")
 
 
-def canonical_hash(*columns: Column) -> Column:
-    """SHA-256 of the columns as text, nulls marked, in the order given."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]), 256)
+def canonical(fields: dict[str, Column]) -> Column:
+    """One JSON object with sorted keys, ``: `` after keys and ``, `` between members; strings are escaped, nulls written out."""
+    members = [F.concat(F.lit(f'"{n}": '), F.coalesce(F.regexp_extract(F.to_json(F.array(fields[n])), r"(?s)^\[(.*)\]$", 1), F.lit("null"))) for n in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
+
+
+def fingerprint(fields: dict[str, Column]) -> Column:
+    """SHA-256 of the canonical JSON: equal for equal values under equal names, whatever their order."""
+    return F.sha2(canonical(fields), 256)
+
+
+def quoted(source: Column, quote: Column) -> Column:
+    """Whether a quote stands in its source, white space aside; an empty quote doesn't."""
+    q = norm(quote)
+    return (q != "") & norm(source).contains(q)
 
 
 def splice(text: Column, patches: Column) -> Column:
@@ -107,3 +119,18 @@ def hits(text: Column, pattern: str, after: str) -> Column:
         ),
     )
     return start["out"]
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Array of (start, token) for every match of ``pattern``, in order."""
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    between = F.split(text, pattern)
+    done = F.aggregate(
+        F.arrays_zip(found.alias("hit"), F.slice(between, 1, F.size(found)).alias("gap")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,token:string>>").alias("out")),
+        lambda acc, x: F.struct(
+            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
+            F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["gap"])).alias("start"), x["hit"].alias("token"))).alias("out"),
+        ),
+    )
+    return done["out"]

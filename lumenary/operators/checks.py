@@ -34,18 +34,37 @@ def unique_match(rows: DataFrame, key: str) -> DataFrame:
 
 
 def report(checks: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
-    """code, checked, violations, status: for each named condition, the rows that it doesn't hold for (null counts)."""
-    parts = [df.agg(F.count("*").alias("checked"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("violations")).select(F.lit(n).alias("code"), "checked", "violations") for n, (df, ok) in checks.items()]
+    """code, checked, violations, status: for each named condition, the rows that it doesn't hold for (null counts). Conditions on
+    one table (the same DataFrame object) share its scan."""
+    by: dict[int, tuple[DataFrame, list[tuple[str, Column]]]] = {}
+    for name, (df, ok) in checks.items():
+        by.setdefault(id(df), (df, []))[1].append((name, ok))
+    parts = []
+    for df, own in by.values():
+        counted = df.agg(F.count("*").alias("checked"), *[F.count_if(~F.coalesce(ok, F.lit(False))).alias(n) for n, ok in own])
+        parts.append(counted.unpivot(["checked"], [n for n, _ in own], "code", "violations").select("code", "checked", "violations"))
     return reduce(DataFrame.unionByName, parts).withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
 
 
-def smallest_container(points: DataFrame, boxes: DataFrame, point: str, holds: Column, area: Column) -> DataFrame:
-    """For each point the box of least area that holds it (ties to the smaller box_id); unmatched points have none.
+def smallest_container(points: DataFrame, boxes: DataFrame, point: str, x: Column, y: Column, holds: Column, area: Column, cells: int = 32) -> DataFrame:
+    """For each point (x, y) the box (box_id, box) of least area that holds it (ties to the smaller box_id); unmatched points have none.
 
-    The boxes are a page's or a catalogue's layout; the join condition is evaluated pair by pair.
+    A grid of ``cells`` by ``cells`` over the points' extent is dealt out: a box goes to the cells it covers, a point to its own, so
+    a point meets the boxes around its cell and no others.
     """
-    found = points.join(boxes, holds, "left").groupBy(point).agg(F.min(F.struct(area.alias("area"), "box_id")).alias("b"))
-    return found.select(point, F.col("b.box_id").alias("box_id"), F.col("b.area").alias("area"))
+    ends = points.agg(F.min(x).alias("__x0"), F.max(x).alias("__x1"), F.min(y).alias("__y0"), F.max(y).alias("__y1")).first()
+    x0, x1, y0, y1 = (float(v) if v is not None else 0.0 for v in ends)
+
+    def cell(v: Column, lo: float, hi: float) -> Column:
+        return F.least(F.greatest(F.floor((v.cast("double") - lo) / ((hi - lo) or 1.0) * cells), F.lit(0)), F.lit(cells - 1))
+
+    b = F.col("box")
+    across = F.explode(F.sequence(cell(b["x0"] - 1e-6, x0, x1), cell(b["x1"] + 1e-6, x0, x1)))
+    down = F.explode(F.sequence(cell(b["y0"] - 1e-6, y0, y1), cell(b["y1"] + 1e-6, y0, y1)))
+    dealt = boxes.withColumn("__cx", across).withColumn("__cy", down)
+    placed = points.withColumn("__cx", cell(x, x0, x1)).withColumn("__cy", cell(y, y0, y1))
+    found = placed.join(dealt, ["__cx", "__cy"]).where(holds).groupBy(point).agg(F.min(F.struct(area.alias("area"), "box_id")).alias("b"))
+    return points.select(point).join(found, point, "left").select(point, F.col("b.box_id").alias("box_id"), F.col("b.area").alias("area"))
 
 
 def delta_gate(old: DataFrame, new: DataFrame, key: str, columns: list[str], declared: DataFrame) -> DataFrame:

@@ -6,22 +6,36 @@ from pyspark.sql import functions as F
 from ..sources.io import cut_lineage
 
 
-def ancestors(edges: DataFrame, depth: int = 40) -> DataFrame:
-    """node, ancestor, distance over edges (child, parent): all pairs up to ``depth`` steps, least distance.
+def ancestors(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """node, ancestor, distance over edges (child, parent): all pairs, least distance; with ``depth`` only those up to so many steps.
 
-    Each round joins the pairs found so far with themselves, so the number of rounds is the logarithm of the
-    depth; loops stop at the depth.
+    A fixed point: each round joins the pairs found so far with themselves, so the number of rounds is the logarithm of the
+    longest way; rounds end when no pair is new or nearer, so loops end too.
     """
     found = edges.where("child is not null and parent is not null").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct()
-    found, reach, size = cut_lineage(found), 1, -1
-    while reach < depth and size != (size := found.count()):
+    found, reach, mark = cut_lineage(found), 1, None
+    while (depth is None or reach < depth) and mark != (mark := tuple(found.agg(F.count("*"), F.sum("distance")).first())):
         onward = found.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"), F.col("distance").alias("more"))
         longer = found.join(onward, "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
-        found = cut_lineage(found.union(longer).where(F.col("distance") <= depth).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
+        longer = found.union(longer) if depth is None else found.union(longer).where(F.col("distance") <= depth)
+        found = cut_lineage(longer.groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
         reach *= 2
     return found
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """node, component over undirected edges (u, v): the smallest node reachable. Each round every node takes the least label
+    of its neighbours and then that label's own, until none changes."""
+    both = cut_lineage(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels, mark = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"))), None
+    while mark != (mark := labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]):
+        near = both.join(labels.toDF("v", "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("label"))
+        nearer = labels.join(near, "node").select("node", F.least("component", "label").alias("component"))
+        jump = nearer.toDF("component", "further")
+        labels = cut_lineage(nearer.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component")))
+    return labels
+
+
 def resolve(pieces: DataFrame, depth: int = 40) -> DataFrame:
     """node, resolved from pieces (node, status, target): INCLUDED resolves, DUPLICATE_ALTERNATIVE does if any of
     its targets does within ``depth`` steps, anything else does not; loops resolve nothing."""

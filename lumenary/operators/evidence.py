@@ -35,11 +35,17 @@ def recall_summary(recalls: DataFrame, kind: str) -> DataFrame:
 def min_cover(evidence: DataFrame) -> DataFrame:
     """question, min_cover: the least size of the union of one combination from each group.
 
-    Alternatives of one question are few, so the product is taken in the row.
+    After each group only distinct unions stay, and of those none that holds another one: a larger union can't end
+    smaller. So the work is that of the alternatives that really compete, not of the full product.
     """
-    combos = evidence.groupBy("question", "grp", "combo").agg(F.collect_set("chunk").alias("c"))
-    groups = combos.groupBy("question", "grp").agg(F.collect_list("c").alias("cs"))
+    combos = evidence.groupBy("question", "grp", "combo").agg(F.array_sort(F.collect_set("chunk")).alias("c"))
+    groups = combos.groupBy("question", "grp").agg(F.collect_set("c").alias("cs"))
     rows = groups.groupBy("question").agg(F.collect_list("cs").alias("gs"))
+
+    def least(unions: Column) -> Column:
+        distinct = F.array_distinct(unions)
+        return F.filter(distinct, lambda u: ~F.exists(distinct, lambda v: (F.size(v) < F.size(u)) & (F.size(F.array_except(v, u)) == 0)))
+
     none = F.array(F.array().cast("array<bigint>"))
-    unions = F.aggregate("gs", none, lambda acc, cs: F.flatten(F.transform(acc, lambda a: F.transform(cs, lambda c: F.array_union(a, c)))))
+    unions = F.aggregate("gs", none, lambda acc, cs: least(F.flatten(F.transform(acc, lambda a: F.transform(cs, lambda c: F.array_sort(F.array_union(a, c)))))))
     return rows.select("question", F.array_min(F.transform(unions, lambda u: F.size(u))).cast("long").alias("min_cover"))

@@ -48,3 +48,17 @@ def close_reviews(reviews: DataFrame, normal: Column, owned: Column, unchanged:
     """(closed, active): a review of a normal code with an owner and unchanged sources is closed."""
     done = F.coalesce(normal & owned & unchanged, F.lit(False))
     return reviews.where(done).withColumn("status", F.lit("CLOSED")), reviews.where(~done)
+
+
+def unclaimed(rows: DataFrame, claims: DataFrame, *keys: str) -> DataFrame:
+    """The rows that no claim uses."""
+    return rows.join(claims.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def first_of(rows: DataFrame, text: str, place: str) -> DataFrame:
+    """The rows with ``is_first``: whether ``place`` is the least of those with the same text. Only digests of texts are grouped,
+    and only those that occur more than once are joined back."""
+    digest = F.struct(F.sha2(F.col(text), 256).alias("sha"), F.length(text).alias("n"))
+    keyed = rows.withColumn("__d", digest)
+    repeated = keyed.groupBy("__d").agg(F.count("*").alias("__c"), F.min(place).alias("__first")).where("__c > 1").drop("__c")
+    return keyed.join(repeated, "__d", "left").withColumn("is_first", F.coalesce(F.col(place) == F.col("__first"), F.lit(True))).drop("__d", "__first")

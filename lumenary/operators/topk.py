@@ -1,47 +1,56 @@
 """Exact top-k by inner product with deterministic ties."""
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-ROWS, QUERIES = 8_192, 1_024
+ROWS, QUERIES = 1_024, 2_048
 
 
 def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """query_id, rank, id, score: of all rows, the k with the largest inner product, ties to the smaller id.
 
-    Both sides have id and v (array). The rows are dealt to blocks, each block meets each block of
-    queries once, as a matrix product, and gives k rows a query to the merge. Scores count to ``digits`` decimals.
+    Both sides have id and v (array). Rows stay where they are: queries come to them in blocks of bounded size, one after
+    another, each as matrix products batch by batch, and a task gives k rows a query to the merge. Scores count to ``digits``
+    decimals. Queries without a row, and null vectors, have no result.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    n, m = rows.count(), queries.count()
-    parts, blocks = max(1, math.ceil(n / ROWS)), max(1, math.ceil(m / QUERIES))
-    schema = "query_id long, id long, score double"
-
-    def best(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(asked):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        ids, out = own.id.to_numpy(), []
-        scores = np.round(np.stack(asked.v.to_numpy()).astype(float) @ np.stack(own.v.to_numpy()).astype(float).T, digits)
-        for q, s in zip(asked.id, scores):
-            least = -np.partition(-s, min(k, len(s)) - 1)[min(k, len(s)) - 1]
-            found = np.flatnonzero(s >= least)
-            found = found[np.lexsort((ids[found], -s[found]))[:k]]
-            out.append(pd.DataFrame({"query_id": q, "id": ids[found], "score": s[found]}))
-        return pd.concat(out)
-
-    def every(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    own = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"))
-    asked = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"))
-    found = own.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInPandas(best, schema)
+    spark, schema, out = queries.sparkSession, "query_id long, id long, score double", None
+    asked = queries.where("v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    own = rows.where("v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    blocks = max(1, math.ceil(asked.count() / QUERIES))
+    for i in range(blocks):
+        block = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)).collect()  # about QUERIES vectors
+        if block:
+            found = own.mapInPandas(_best([r.id for r in block], np.array([r.v for r in block], float), k, digits), schema)
+            out = found if out is None else out.union(found)
+    if out is None:
+        out = spark.createDataFrame([], schema)
     order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+    return out.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+
+
+def _best(asked: list[int], vectors: np.ndarray, k: int, digits: int):
+    """Of a task's rows, the k best of each query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, scores = np.empty((len(asked), 0), np.int64), np.empty((len(asked), 0))
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                b = whole.iloc[at : at + ROWS]
+                new = np.round(vectors @ np.stack(b.v.to_numpy()).astype(float).T, digits)
+                scores = np.hstack([scores, new])
+                ids = np.hstack([ids, np.broadcast_to(b.id.to_numpy(), new.shape)])
+                best = np.lexsort((ids, -scores), axis=1)[:, :k]
+                ids, scores = np.take_along_axis(ids, best, 1), np.take_along_axis(scores, best, 1)
+        yield pd.DataFrame({"query_id": np.repeat(asked, ids.shape[1]), "id": ids.ravel(), "score": scores.ravel()}).astype({"query_id": "int64"})
+
+    return run
 
 
 def single_top_k(query: list[float], rows: DataFrame, k: int, digits: int = 9) -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries of the engine's own operators."""
 
-from . import corpus, evaluation, retrieval, revision
+from . import audits, corpus, evaluation, layout, retrieval, revision, strings
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "retrieval", "revision"]
+__all__ = ["ORACLES", "QUERIES", "audits", "corpus", "evaluation", "layout", "retrieval", "revision", "strings"]

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 
 from ..functions import boxes, text
 from ..operators import checks, closure, intervals, ledger, windows
+from ..operators.passages import contained
 from .registry import Tables, query
 
 _WS = r"[ \t\n\x0b\f\r]+"
@@ -26,22 +27,9 @@ def holdout_guard_anti(t: Tables):
 @query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM benchmark)
 SELECT doc_id, item_id FROM d, b WHERE contains(d.t, b.t)""")
 def benchmark_containment(t: Tables):
-    """Four words inside the passage (its first and last may be cut in the text) give the join its key; passages with
-    fewer words are compared directly."""
-
-    def grams(words):
-        """Runs of four words, from four shifted slices: linear in the text."""
-        n = F.size(words) - 3
-        shifted = F.arrays_zip(*[F.slice(words, k, F.greatest(n, F.lit(0))).alias(f"w{k}") for k in (1, 2, 3, 4)])
-        return F.array_distinct(F.transform(shifted, lambda x: F.concat_ws(" ", x["w1"], x["w2"], x["w3"], x["w4"])))
-
-    docs = t.documents.select("doc_id", text.norm(F.col("text")).alias("t"))
-    items = t.benchmark.select("item_id", text.norm(F.col("text")).alias("b")).withColumn("w", F.split("b", " "))
-    long = items.where(F.size("w") >= 6).select("item_id", "b", F.array_join(F.slice("w", 2, 4), " ").alias("anchor"))
-    found = docs.select("doc_id", F.explode(grams(F.split("t", " "))).alias("anchor")).join(long, "anchor").select("doc_id", "item_id", "b").distinct()
-    hit = found.join(docs, "doc_id").where(F.col("t").contains(F.col("b"))).select("doc_id", "item_id")
-    short = docs.join(items.where(F.size("w") < 6), F.col("t").contains(F.col("b"))).select("doc_id", "item_id")
-    return hit.union(short)
+    """The passages' anchors, a few words of each, are looked for in the texts while these are scanned; a text goes no
+    further than that row, and containment is decided there."""
+    return contained(t.documents, t.benchmark, "doc_id", "item_id")
 
 
 _PROTECTED = r"[\p{L}\p{N}._/+\-−±°%]"
@@ -100,10 +88,9 @@ s AS (SELECT l.*, CASE WHEN source = 'src0' THEN 'EXCLUDED_BY_SCOPE' WHEN trim(l
 
 
 def _disposed(t: Tables):
-    lines = ledger.lines(t.documents, "doc_id", "text", "source").withColumn("place", F.col("doc_id") * 1_000_000 + F.col("line_no") + 1)
-    first = lines.groupBy("line").agg(F.min("place").alias("first"))
-    rows = lines.join(first, "line")
-    status = ledger.disposition(F.col("source") == "src0", F.trim("line") == "", F.col("place") == F.col("first"), ~F.col("line").contains("|"), F.lit("EXCLUDED_NON_TEXT"))
+    lines = ledger.lines(t.documents, "doc_id", "text", "source").withColumn("place", F.struct("doc_id", "line_no"))
+    rows = ledger.first_of(lines, "line", "place")
+    status = ledger.disposition(F.col("source") == "src0", F.trim("line") == "", F.col("is_first"), ~F.col("line").contains("|"), F.lit("EXCLUDED_NON_TEXT"))
     return rows.withColumn("status", status)
 
 
@@ -283,7 +270,7 @@ def grid_cell_assign(t: Tables):
 SELECT p_partkey, arg_min(box_id, {'a': (x1 - x0) * (y1 - y0), 'b': box_id}) AS box_id, round(min((x1 - x0) * (y1 - y0)), 4) AS area FROM part LEFT JOIN b ON p_size BETWEEN x0 AND x1 AND p_retailprice BETWEEN y0 AND y1 GROUP BY p_partkey""")
 def smallest_box(t: Tables):
     b = t.part.groupBy(F.concat_ws("/", "p_brand", "p_type").alias("box_id")).agg(boxes.box(F.min("p_size"), F.min("p_retailprice"), F.max("p_size"), F.max("p_retailprice")).alias("box"))
-    found = checks.smallest_container(t.part, b, "p_partkey", boxes.holds(F.col("box"), F.col("p_size").cast("double"), F.col("p_retailprice")), boxes.area(F.col("box")))
+    found = checks.smallest_container(t.part, b, "p_partkey", F.col("p_size"), F.col("p_retailprice"), boxes.holds(F.col("box"), F.col("p_size").cast("double"), F.col("p_retailprice")), boxes.area(F.col("box")))
     return found.withColumn("area", F.round("area", 4))
 
 

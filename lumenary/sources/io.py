@@ -1,8 +1,9 @@
 """Readers with declared schemas and writers that never overwrite."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -61,9 +62,43 @@ def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Only a local master may leave it unset
+    and gets a temporary one, as in tests; on a cluster that is an error."""
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="lumenary-")
+        sc.setCheckpointDir(where)
+    return where
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The same rows from the shared folder of ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lumenary-"))
-    return df.checkpoint()
+    """The same rows, written as Parquet into the shared folder and read back; the files go with the application."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/lumenary-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """An HTML table, a row a line, cells escaped; an existing target is an error."""
+    cells = [F.concat(F.lit("<td>"), F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("—")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</td>")) for c in df.columns]
+    df.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value")).write.mode("errorifexists").text(path)
+
+
+def replayed(captured: DataFrame, current: DataFrame, key: str, mark: str) -> DataFrame:
+    """Captured rows whose source is unchanged; a key that is missing or has another mark is an error when the rows are read."""
+    now = current.select(key, F.col(mark).alias("__now"))
+    same = F.when(F.col("__now").eqNullSafe(F.col(mark)), True).otherwise(F.raise_error(F.concat(F.lit("the source has changed: "), F.col(key).cast("string"))).cast("boolean"))
+    return captured.join(now, key, "left").where(same).drop("__now")
+
+
+def freeze(captured: DataFrame, keep: Column, path: str) -> None:
+    """A verified capture's kept rows, with a fingerprint of each, written once."""
+    rows = captured.where(keep)
+    write_new(rows.withColumn("row_sha256", F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)])), 256)), path)

@@ -7,7 +7,13 @@ from lumenary.plans import catalogue
 from .oracle import difference
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
+def test_runs(spark, sf_dir, name):
+    """Queries that SQL can't express; their operators are held against plain versions in test_rules."""
+    assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_matches_sql(spark, sf_dir, name):
     assert difference(spark, catalogue.QUERIES[name], catalogue.ORACLES[name], sf_dir) is None
 
