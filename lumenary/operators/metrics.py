@@ -48,7 +48,7 @@ def abstains(withheld: Column, supplied: Column, unrelated: Column, is_rag: Colu
 
 
 def distribution(rows: DataFrame, keys: list[str], value: str, cells: int = 512) -> DataFrame:
-    """keys, n, median, p95 (linear interpolation); nulls are left out.
+    """keys, n, median, p95 (linear interpolation); nulls are left out, a key with nothing else has n = 0 and no points.
 
     Exact without a key's values in one task: equal values are counted, ranges of values get offsets from their counts, and
     only the values at the two ranks around each point are looked at.
@@ -70,7 +70,7 @@ def distribution(rows: DataFrame, keys: list[str], value: str, cells: int = 512)
     for name, p in (("median", 0.5), ("p95", 0.95)):
         place = (F.col("n") - 1) * p
         out += [at(F.floor(place)).alias(f"__{name}0"), at(F.ceil(place)).alias(f"__{name}1"), F.max(place - F.floor(place)).alias(f"__{name}f")]
-    found = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *out)
+    found = rows.groupBy(*keys).agg(F.count(value).alias("n")).join(ranked.groupBy(*keys).agg(*out), keys, "left")
     mix = lambda name: (F.col(f"__{name}0") + (F.col(f"__{name}1") - F.col(f"__{name}0")) * F.col(f"__{name}f")).alias(name)
     return found.select(*keys, "n", mix("median"), mix("p95"))
 

@@ -43,7 +43,7 @@ def test_norm_positions(spark):
 
 def test_folds_and_boxes(spark):
     assert layout.averaged([1, 3, 6, 20, 21, 40], 4) == [2, 6, 20.5, 40] and layout.thinned([1, 10, 17, 40], 15) == [1, 17, 40]
-    boxes = spark.createDataFrame([("p", 1, 0, 0, 10, 10), ("p", 2, 3, 1, 10, 12), ("p", 3, 4, 0, 10, 10), ("q", 4, 0, 0, 10, 10)], "page string, id int, x0 double, y0 double, x1 double, y1 double")
+    boxes = spark.createDataFrame([("p", 1, 0.0, 0.0, 10.0, 10.0), ("p", 2, 3.0, 1.0, 10.0, 12.0), ("p", 3, 4.0, 0.0, 10.0, 10.0), ("q", 4, 0.0, 0.0, 10.0, 10.0)], "page string, id int, x0 double, y0 double, x1 double, y1 double")
     assert rows(layout.distinct_boxes(boxes, "page")) == [("p", 1), ("p", 3), ("q", 4)]
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 6), (6, 9), (20, 21)] + [(i, i + 1) for i in range(100, 140)], "u long, v long")
     got = {r.node: r.component for r in closure.components(edges).collect()}
@@ -75,8 +75,10 @@ def test_distribution(spark):
     rng = random.Random(2)
     values = [(k, rng.choice([0.0, 10.0, rng.random() * 100])) for k in "abc" for _ in range({"a": 1, "b": 2, "c": 500}[k])] + [("b", None), ("d", None)]
     df = spark.createDataFrame(values, "k string, v double")
-    want = {r.k: (r.n, r.p) for r in df.groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", F.array(F.lit(0.5), F.lit(0.95))).alias("p")).collect() if r.n}
+    want = {r.k: (r.n, r.p) for r in df.groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", F.array(F.lit(0.5), F.lit(0.95))).alias("p")).collect()}
+    assert want.pop("d") == (0, None)
     got = {r.k: (r.n, [r.median, r.p95]) for r in metrics.distribution(df, ["k"], "v").collect()}
+    assert got.pop("d") == (0, [None, None])
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
     two = spark.createDataFrame([("x", 0.0), ("x", 10.0)], "k string, v double")
     assert metrics.distribution(two, ["k"], "v").first().p95 == pytest.approx(9.5)
