@@ -217,6 +217,18 @@ def score_stats(model: Model):
     return run
 
 
+def score_text(model: Model):
+    """A column function from whole text to score; null counts as empty."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            stats = [statistics((t or "").encode("utf-8", "replace")) for t in b]
+            yield pd.Series(model.score(np.array(stats, np.float64).reshape(-1, STATISTICS)))
+
+    return run
+
+
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, from the whole text; null counts as empty.
 
