@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenary.llm import exact_dedup, lang_id, near_dup, packing, quality
-from lumenary.llm.common import materialize, numbered, table, without
+from lumenary.llm.common import materialize, numbered, remainder, table, without
 
 #: Below this calibrated score a document is rejected.
 LEAST_QUALITY = 0.5
@@ -29,12 +29,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose calibrated score is under LEAST_QUALITY. Null texts are scored as empty ones; repeated rows
-    share their score, and one that is just LEAST_QUALITY, as all are without labels, stays. The statistics are written
-    beside the rows, once, for learning and for scoring."""
-    stats = quality.statistics_of(F.col("text").cast("string"))
-    held = materialize(docs.select(F.struct("*").alias("row"), stats.alias("stats")), "scored")
-    model = quality.learn(held.select(F.col("row.doc_id").cast("long").alias("doc_id"), "stats"), table(spark, sf_dir, "labels"))
-    return held.where(quality.score_stats(model)(F.col("stats")) >= LEAST_QUALITY).select("row.*")
+    share their score, and one that is just LEAST_QUALITY, as all are without labels, stays. Only the statistics of rows that
+    may be learned from are written; every text is scored as it is read, so no copy of the texts is kept."""
+    model = quality.learn(quality.measured(docs.where(remainder("doc_id", quality.FOLDS) != 1)), table(spark, sf_dir, "labels"))
+    return docs.where(quality.score_text(model)(F.col("text").cast("string")) >= LEAST_QUALITY)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
