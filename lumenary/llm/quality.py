@@ -15,7 +15,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import materialize, remainder, texts
 
@@ -199,24 +198,6 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     return stats.mapInArrow(run, "doc_id long, score double")
 
 
-@F.pandas_udf(T.BinaryType())
-def statistics_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A text's statistics as ``measured`` keeps them; null counts as empty."""
-    for b in batches:
-        yield pd.Series([statistics((t or "").encode("utf-8", "replace")).tobytes() for t in b], dtype=object)
-
-
-def score_stats(model: Model):
-    """A column function from kept statistics to score."""
-
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield pd.Series(model.score(np.frombuffer(b"".join(b), np.float64).reshape(-1, STATISTICS)))
-
-    return run
-
-
 def score_text(model: Model):
     """A column function from whole text to score; null counts as empty."""
 
