@@ -108,10 +108,10 @@ def text_differences(t: Tables):
 
 @query()
 def edit_opcodes(t: Tables):
-    """The edit script from each passage to itself with its numbers masked."""
+    """The edit script from each passage to itself with characters beyond ASCII masked."""
     t.benchmark.select("item_id", "text").createOrReplaceTempView("__passages")
     t.spark.udtf.register("opcodes_between", diffs.Opcodes)
-    return t.spark.sql("SELECT item_id, o.* FROM __passages, LATERAL opcodes_between(text, regexp_replace(text, '[0-9]+', '#')) o")
+    return t.spark.sql("SELECT item_id, o.* FROM __passages, LATERAL opcodes_between(text, regexp_replace(text, '[^ -~]+', '#')) o")
 
 
 @query()
