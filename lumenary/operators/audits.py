@@ -70,8 +70,8 @@ def blinded(rows: DataFrame, key: str, seed: str = "42") -> DataFrame:
     """The rows with ``blind_id`` A001, A002, ... in the order of a seeded hash; the key table is the two ids of the result."""
     from .schedule import numbered
 
-    h = rows.withColumn("h", F.sha2(F.concat(F.lit(seed + "|"), F.col(key).cast("string")), 256)).withColumn("p", F.substring("h", 1, 2))
-    return numbered(h, "p", ["h", key], "at").withColumn("blind_id", F.format_string("A%03d", F.col("at") + 1)).drop("h", "p", "at")
+    h = rows.withColumn("h", F.sha2(F.concat(F.lit(seed + "|"), F.col(key).cast("string")), 256))
+    return numbered(h, ["h", key], "at").withColumn("blind_id", F.format_string("A%03d", F.col("at") + 1)).drop("h", "at")
 
 
 def page_of(rows: DataFrame, order: list, offset: int, limit: int = 50) -> DataFrame:

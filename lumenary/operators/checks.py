@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from . import grid
 
 def inventory_diff(expected: DataFrame, actual: DataFrame, key: str, mark: str) -> DataFrame:
     """status, n over both sides: MISSING, UNEXPECTED, CHANGED, SAME; nulls compare as values."""
@@ -46,25 +47,12 @@ def report(checks: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
 
 
-def smallest_container(points: DataFrame, boxes: DataFrame, point: str, x: Column, y: Column, holds: Column, area: Column, cells: int = 32) -> DataFrame:
-    """For each point (x, y) the box (box_id, box) of least area that holds it (ties to the smaller box_id); unmatched points have none.
-
-    A grid of ``cells`` by ``cells`` over the points' extent is dealt out: a box goes to the cells it covers, a point to its own, so
-    a point meets the boxes around its cell and no others.
-    """
-    ends = points.agg(F.min(x).alias("__x0"), F.max(x).alias("__x1"), F.min(y).alias("__y0"), F.max(y).alias("__y1")).first()
-    x0, x1, y0, y1 = (float(v) if v is not None else 0.0 for v in ends)
-
-    def cell(v: Column, lo: float, hi: float) -> Column:
-        return F.least(F.greatest(F.floor((v.cast("double") - lo) / ((hi - lo) or 1.0) * cells), F.lit(0)), F.lit(cells - 1))
-
-    b = F.col("box")
-    across = F.explode(F.sequence(cell(b["x0"] - 1e-6, x0, x1), cell(b["x1"] + 1e-6, x0, x1)))
-    down = F.explode(F.sequence(cell(b["y0"] - 1e-6, y0, y1), cell(b["y1"] + 1e-6, y0, y1)))
-    dealt = boxes.withColumn("__cx", across).withColumn("__cy", down)
-    placed = points.withColumn("__cx", cell(x, x0, x1)).withColumn("__cy", cell(y, y0, y1))
-    found = placed.join(dealt, ["__cx", "__cy"]).where(holds).groupBy(point).agg(F.min(F.struct(area.alias("area"), "box_id")).alias("b"))
-    return points.select(point).join(found, point, "left").select(point, F.col("b.box_id").alias("box_id"), F.col("b.area").alias("area"))
+def smallest_container(points: DataFrame, boxes: DataFrame, point: str, x: Column, y: Column) -> DataFrame:
+    """point, box_id, area: for each point (x, y) the box (box_id, box) of least area that holds it, ties to the smaller box_id;
+    nulls where none does. The grid's cells are as large as the boxes, so none is copied to more than a few."""
+    flat = boxes.select("box_id", "box.x0", "box.y0", "box.x1", "box.y1")
+    found = grid.smallest_holding(points.select(point, x.cast("double").alias("__x"), y.cast("double").alias("__y")), flat, [], point, F.col("__x"), F.col("__y"), 0.0, 0.0, F.lit(True), "box_id")
+    return points.select(point).join(found, point, "left").select(point, "box_id", "area")
 
 
 def delta_gate(old: DataFrame, new: DataFrame, key: str, columns: list[str], declared: DataFrame) -> DataFrame:

@@ -1,6 +1,5 @@
 """Half-open intervals [start, end): joins, unions, partitions, differences of ledgers, clusters."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -71,23 +70,3 @@ def islands(rows: DataFrame, key: str, order: list[str], starts: Column) -> Data
     """The rows with ``island``: 1, 2, ... within the key, a new one where ``starts`` holds."""
     w = W.partitionBy(key).orderBy(*order)
     return rows.withColumn("new", F.coalesce(starts, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("new")
-
-
-def anchor_clusters(rows: DataFrame, key: str, value: str, width: float) -> DataFrame:
-    """key, anchor, n: sorted values join a cluster while they are less than ``width`` from its first member.
-
-    Equal values are pre-aggregated; the fold over a key's distinct values has no closed form.
-    """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
-    schema = counted.schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values(value), []
-        for v, n in zip(pdf[value], pdf.n):
-            if out and v - out[-1][0] < width:
-                out[-1][1] += n
-            else:
-                out.append([v, n])
-        return pd.DataFrame([(pdf[key].iloc[0], v, n) for v, n in out], columns=[key, "anchor", "n"])
-
-    return counted.groupBy(key).applyInPandas(fold, f"{key} {schema[key].dataType.simpleString()}, anchor {schema[value].dataType.simpleString()}, n long")

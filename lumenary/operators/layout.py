@@ -1,11 +1,12 @@
 """Geometry and order on pages: containment, anchors, grids, blocks, components, merges."""
 
-from collections.abc import Callable
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from . import greedy
 from .intervals import as_of
 
 
@@ -49,36 +50,48 @@ def touching(boxes: DataFrame, page: str, same_side: float, gap: float) -> DataF
     return a.join(b, [page, "band"]).where("u < v").where(near).select("u", "v")
 
 
-def folded(rows: DataFrame, key: str, value: str, fold: Callable[[list[float]], list[float]]) -> DataFrame:
-    """key, value for what a sequential rule makes of each key's distinct sorted values. A key's values come to one task: keys
-    are pages, whose lines are bounded by paper; a key without that bound is split at gaps first, where the rule allows."""
-    schema = rows.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: pdf[key].iloc[0], value: fold(sorted(pdf[value].tolist()))})
-
-    distinct = rows.where(F.col(value).isNotNull()).select(key, value).distinct()
-    return distinct.groupBy(key).applyInPandas(run, f"{key} {schema[key].dataType.simpleString()}, {value} double")
-
-
-def thinned(values: list[float], apart: float) -> list[float]:
-    """Values more than ``apart`` from the last one kept."""
-    out: list[float] = []
-    for v in values:
-        if not out or v - out[-1] > apart:
-            out.append(v)
+def averaged(values: Iterable[tuple[float, int]], within: float) -> list[tuple[float, int]]:
+    """Runs of sorted (value, times): each repetition less than ``within`` from the running mean of the two sides met so far
+    moves that mean half the way; the others begin a run. A mean that no longer moves is left at once."""
+    out: list[tuple[float, int]] = []
+    for v, times in values:
+        if not out or abs(v - out[-1][0]) >= within:
+            out.append((v, times))
+            continue
+        mean, n = out[-1]
+        for _ in range(times):
+            before, mean = mean, (mean + v) / 2
+            if mean == before:
+                break
+        out[-1] = (mean, n + times)
     return out
 
 
-def averaged(values: list[float], within: float) -> list[float]:
-    """Runs of values, each less than ``within`` from the running mean of the two sides met so far."""
-    out: list[float] = []
-    for v in values:
-        if out and abs(v - out[-1]) < within:
-            out[-1] = (out[-1] + v) / 2
-        else:
-            out.append(v)
-    return out
+def merged_rules(rules: DataFrame, key: str, within: float = 4.0) -> DataFrame:
+    """key, x, y0, y1, n: rules (key, x, y0, y1) that are nearly the same one, merged by the running mean of x, with the whole
+    extent along y. A mean never goes beyond the values met, so a gap of ``within`` ends every run: only the distinct values
+    between two gaps, counted before, come together."""
+    kept = rules.where(F.col("x").isNotNull()).select(key, F.col("x").cast("double").alias("x"), "y0", "y1")
+    nodes = greedy.values(kept, key, "x", within)
+    marks = greedy.gaps(nodes, key, within, inclusive=True).withColumnRenamed("v", "island")
+    extents = kept.groupBy(key, F.col("x").alias("v")).agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count("*").alias("n"))
+    dealt = greedy.last_at(extents, marks, key, "v", "island", within)
+    schema = dealt.schema
+    kinds = {c: schema[c].dataType.simpleString() for c in (key, "y0", "y1")}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v", ignore_index=True)
+        runs = averaged(zip(pdf.v, pdf.n), within)
+        ends, at = [], 0
+        for _, n in runs:
+            begin, left = at, n
+            while left > 0:
+                left -= pdf.n[at]
+                at += 1
+            ends.append((pdf.y0[begin:at].min(), pdf.y1[begin:at].max()))
+        return pd.DataFrame({key: pdf[key].iloc[0], "x": [x for x, _ in runs], "y0": [e[0] for e in ends], "y1": [e[1] for e in ends], "n": [n for _, n in runs]})
+
+    return dealt.groupBy(key, "island").applyInPandas(run, f"{key} {kinds[key]}, x double, y0 {kinds['y0']}, y1 {kinds['y1']}, n long")
 
 
 def distinct_boxes(boxes: DataFrame, page: str, within: float = 4.0) -> DataFrame:

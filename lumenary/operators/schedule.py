@@ -1,17 +1,27 @@
 """Numbering, paired schedules and samples in hash order, without a sort of everything in one task."""
 
-from pyspark.sql import DataFrame, Window as W
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..sources.io import cut_lineage
+
 
-def numbered(rows: DataFrame, bucket: str, order: list, name: str = "n") -> DataFrame:
-    """The rows with ``name``: 0, 1, ... by (bucket, order). Only counts by bucket are ordered globally; rows are
-    ordered within their bucket."""
-    counts = rows.groupBy(bucket).agg(F.count("*").alias("__c"))
-    before = F.coalesce(F.sum("__c").over(W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(bucket, before.alias("__b"))
-    rank = F.row_number().over(W.partitionBy(bucket).orderBy(*order)) - 1
-    return rows.withColumn("__r", rank).join(offsets, bucket).withColumn(name, F.col("__r") + F.col("__b")).drop("__r", "__b")
+def numbered(rows: DataFrame, order: list[Column | str], name: str = "n") -> DataFrame:
+    """The rows with ``name``: 0, 1, ... in this order, ties in any.
+
+    Rows are dealt by range over the order and a number of their own, so that no value, however frequent, fills a task; a
+    row's number is its place in its part and the count of the rows in earlier parts, of which there is one a task.
+    """
+    spark = rows.sparkSession
+    tied = rows.withColumn("__t", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(*order, "__t").sortWithinPartitions(*order, "__t").drop("__t")
+    placed = cut_lineage(dealt.withColumn("__i", F.monotonically_increasing_id()))
+    part, at = F.shiftright("__i", 33), F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted(placed.groupBy(part.alias("__p")).agg(F.count("*").alias("c")).collect())
+    offsets = spark.createDataFrame([(r[0], sum_before) for r, sum_before in zip(sizes, accumulate((r.c for r in sizes), initial=0))], "__p long, __b long")
+    return placed.withColumn("__p", part.cast("long")).withColumn("__at", at).join(offsets, "__p").withColumn(name, F.col("__b") + F.col("__at")).drop("__p", "__at", "__b", "__i")
 
 
 def paired_schedule(ids: DataFrame, rounds: int = 3, seed: str = "42") -> DataFrame:
@@ -21,8 +31,8 @@ def paired_schedule(ids: DataFrame, rounds: int = 3, seed: str = "42") -> DataFr
     random permutation, which engines can't share.)
     """
     hashed = ids.select("question_id").distinct().withColumn("h", F.sha2(F.concat(F.lit(seed + "|"), F.col("question_id").cast("string")), 256))
-    total = F.lit(hashed.count())
-    base = numbered(hashed.withColumn("p", F.substring("h", 1, 2)), "p", ["h", "question_id"], "at")
+    base = numbered(hashed, ["h", "question_id"], "at")
+    total = F.lit(base.count())
     each = base.select("question_id", "at", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     place = F.when(F.col("round") == 2, total - 1 - F.col("at")).otherwise(F.col("at"))
     each = each.withColumn("place", place).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))

@@ -262,7 +262,7 @@ def chunk_map(t: Tables):
     pieces = build.sliced(windows.join(dealt, ["doc_id", "k"]), F.col("w0"), F.col("w1"), F.length(prefix))
     whole = pieces.groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("out0", "piece"))).alias("p"))
     chunks = whole.select("doc_id", "k", F.sha2(F.concat(prefix, F.array_join(F.transform("p", lambda x: x["piece"]), "")), 256).alias("sha"))
-    return numbered(chunks, "doc_id", ["k"], "at").select(F.format_string("C%06d", F.col("at") + 1).alias("chunk"), "doc_id", "sha")
+    return numbered(chunks, ["doc_id", "k"], "at").select(F.format_string("C%06d", F.col("at") + 1).alias("chunk"), "doc_id", "sha")
 
 
 @query("""WITH e AS (SELECT o_orderkey AS edge, o_custkey AS head, o_orderkey % 30 AS tail FROM orders), c AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0), n AS (SELECT n_nationkey FROM nation)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import boxes, text
-from ..operators import checks, closure, intervals, ledger, windows
+from ..operators import checks, closure, greedy, intervals, ledger, windows
 from ..operators.passages import contained
 from .registry import Tables, query
 
@@ -163,7 +163,7 @@ def asof_last_event(t: Tables):
 k AS (SELECT p_brand, anchor, lead(anchor) OVER (PARTITION BY p_brand ORDER BY anchor) AS nxt FROM c WHERE anchor IS NOT NULL)
 SELECT k.p_brand, anchor, count(*) AS n FROM k JOIN part p ON p.p_brand = k.p_brand AND p_retailprice >= anchor AND (nxt IS NULL OR p_retailprice < nxt) GROUP BY k.p_brand, anchor""")
 def anchor_clusters(t: Tables):
-    return intervals.anchor_clusters(t.part, "p_brand", "p_retailprice", 60.0)
+    return greedy.clusters(t.part, "p_brand", "p_retailprice", 60.0)
 
 
 _TOKENS = r"""WITH k AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda x: x <> '') AS t FROM documents), n AS (SELECT *, len(t) AS n FROM k WHERE len(t) > 0),
@@ -237,7 +237,7 @@ def current_first(t: Tables):
     from ..operators.schedule import numbered
 
     rows = t.nation.withColumn("bucket", (F.col("n_regionkey") != 1).cast("int"))
-    return numbered(rows, "bucket", [F.desc("n_name")], "at").select("n_nationkey", "n_name", (F.col("at") + 1).alias("place"))
+    return numbered(rows, ["bucket", F.desc("n_name")], "at").select("n_nationkey", "n_name", (F.col("at") + 1).alias("place"))
 
 
 _STRIP = [(r"(?is)<(script|style|title)[^>]*>.*?</(script|style|title)>", " "), (r"(?s)<!--.*?-->", " "), (r"(?s)<[^>]*>", " "), ("&[a-z]+;?", " "), (r"[ \t\n\r]+", " ")]
@@ -270,7 +270,7 @@ def grid_cell_assign(t: Tables):
 SELECT p_partkey, arg_min(box_id, {'a': (x1 - x0) * (y1 - y0), 'b': box_id}) AS box_id, round(min((x1 - x0) * (y1 - y0)), 4) AS area FROM part LEFT JOIN b ON p_size BETWEEN x0 AND x1 AND p_retailprice BETWEEN y0 AND y1 GROUP BY p_partkey""")
 def smallest_box(t: Tables):
     b = t.part.groupBy(F.concat_ws("/", "p_brand", "p_type").alias("box_id")).agg(boxes.box(F.min("p_size"), F.min("p_retailprice"), F.max("p_size"), F.max("p_retailprice")).alias("box"))
-    found = checks.smallest_container(t.part, b, "p_partkey", F.col("p_size"), F.col("p_retailprice"), boxes.holds(F.col("box"), F.col("p_size").cast("double"), F.col("p_retailprice")), boxes.area(F.col("box")))
+    found = checks.smallest_container(t.part, b, "p_partkey", F.col("p_size"), F.col("p_retailprice"))
     return found.withColumn("area", F.round("area", 4))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..operators import closure, intervals, layout, ledger
+from ..operators import closure, greedy, intervals, layout, ledger
 from .corpus import _DAYS, _spans
 from .registry import Tables, query
 
@@ -86,13 +86,18 @@ def adjacent_runs(t: Tables):
  UNION ALL SELECT c.p_brand, (SELECT min(p_retailprice) FROM part p WHERE p.p_brand = c.p_brand AND p.p_retailprice - c.anchor > 75) FROM c WHERE c.anchor IS NOT NULL)
 SELECT p_brand, anchor AS p_retailprice FROM c WHERE anchor IS NOT NULL""")
 def band_starts(t: Tables):
-    return layout.folded(t.part, "p_brand", "p_retailprice", lambda v: layout.thinned(v, 75.0))
+    return greedy.starts(t.part, "p_brand", "p_retailprice", 75.0)
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT p_brand, x, y0, y1, n, row_number() OVER (PARTITION BY p_brand ORDER BY x) AS i FROM (
+  SELECT p_brand, p_retailprice::DOUBLE AS x, min(p_size) AS y0, max(p_size + 20) AS y1, count(*) AS n FROM part GROUP BY ALL)),
+e AS (SELECT p_brand, x, y0, y1, n, row_number() OVER (PARTITION BY p_brand ORDER BY x, k) AS i FROM (SELECT p_brand, x, y0, y1, 1 AS n, unnest(range(n)) AS k FROM r)),
+f AS (SELECT p_brand, i, x AS mean, 1 AS run FROM e WHERE i = 1
+ UNION ALL SELECT e.p_brand, e.i, CASE WHEN abs(e.x - f.mean) < 4 THEN (f.mean + e.x) / 2 ELSE e.x END, f.run + (abs(e.x - f.mean) >= 4)::INT FROM f JOIN e ON e.p_brand = f.p_brand AND e.i = f.i + 1)
+SELECT p_brand, arg_max(mean, i) AS x, min(y0) AS y0, max(y1) AS y1, count(*) AS n FROM f JOIN e USING (p_brand, i) GROUP BY p_brand, run""")
 def merged_rules(t: Tables):
-    """Vertical rules that are nearly the same one, averaged as they come."""
-    return layout.folded(t.part.withColumn("x", F.col("p_retailprice").cast("double")), "p_brand", "x", lambda v: layout.averaged(v, 4.0))
+    """Vertical rules that are nearly the same one, averaged as they come, repeated ones too."""
+    return layout.merged_rules(t.part.select("p_brand", F.col("p_retailprice").alias("x"), F.col("p_size").alias("y0"), (F.col("p_size") + 20).alias("y1")), "p_brand", 4.0)
 
 
 @query()

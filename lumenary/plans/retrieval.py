@@ -54,7 +54,7 @@ SELECT probe_id, top_id, probe_id = top_id AS ok FROM s WHERE k = 1""")
 def vector_self_probe(t: Tables):
     from ..operators.schedule import numbered
 
-    ranked = numbered(_rows(t).withColumn("bucket", F.floor(F.col("id") / 10_000)), "bucket", ["id"], "r")
+    ranked = numbered(_rows(t), ["id"], "r")
     n = F.lit(t.embeddings.count())
     probes = ranked.where((F.col("r") == 0) | (F.col("r") == F.floor(n / 4)) | (F.col("r") == F.floor(n / 2)) | (F.col("r") == n - 1))
     return topk.exact_top_k(probes, _rows(t), 1).select(F.col("query_id").alias("probe_id"), F.col("id").alias("top_id"), (F.col("query_id") == F.col("id")).alias("ok"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenary.functions import diffs, text, vectors
-from lumenary.operators import checks, closure, evidence, intervals, ledger, metrics, schedule, topk, windows
+from lumenary.operators import checks, closure, evidence, greedy, intervals, ledger, metrics, schedule, topk, windows
 from lumenary.sources import io
 from lumenary.streaming import rollups
 
@@ -154,7 +154,7 @@ def test_intervals(spark):
     parts = spark.createDataFrame([(1, 0, 4, 6), (1, 4, 6, 6), (2, 0, 4, 6), (2, 5, 6, 6)], "k int, start int, end int, length int")
     assert {r.k: r.gap_free for r in intervals.is_partition(parts, "k", "length").collect()} == {1: True, 2: False}
     clusters = spark.createDataFrame([(1, x) for x in (0.0, 2.0, 2.9, 3.0, 5.0, 6.0)], "k int, v double")
-    assert [tuple(r) for r in intervals.anchor_clusters(clusters, "k", "v", 3.0).orderBy("anchor").collect()] == [(1, 0.0, 3), (1, 3.0, 2), (1, 6.0, 1)]
+    assert [tuple(r) for r in greedy.clusters(clusters, "k", "v", 3.0).orderBy("anchor").collect()] == [(1, 0.0, 3), (1, 3.0, 2), (1, 6.0, 1)]
 
 
 def test_checks(spark):

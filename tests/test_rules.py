@@ -42,7 +42,8 @@ def test_norm_positions(spark):
 
 
 def test_folds_and_boxes(spark):
-    assert layout.averaged([1, 3, 6, 20, 21, 40], 4) == [2, 6, 20.5, 40] and layout.thinned([1, 10, 17, 40], 15) == [1, 17, 40]
+    assert layout.averaged([(v, 1) for v in (1, 3, 6, 20, 21, 40)], 4) == [(2, 2), (6, 1), (20.5, 2), (40, 1)]
+    assert layout.averaged([(1, 1), (4, 2)], 4) == [(3.25, 3)]
     boxes = spark.createDataFrame([("p", 1, 0.0, 0.0, 10.0, 10.0), ("p", 2, 3.0, 1.0, 10.0, 12.0), ("p", 3, 4.0, 0.0, 10.0, 10.0), ("q", 4, 0.0, 0.0, 10.0, 10.0)], "page string, id int, x0 double, y0 double, x1 double, y1 double")
     assert rows(layout.distinct_boxes(boxes, "page")) == [("p", 1), ("p", 3), ("q", 4)]
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 6), (6, 9), (20, 21)] + [(i, i + 1) for i in range(100, 140)], "u long, v long")
@@ -92,7 +93,7 @@ def test_smallest_container_and_containment(spark):
     p = spark.createDataFrame(pts, "p int, x double, y double")
     from lumenary.functions import boxes as bx
 
-    got = {r.p: r.box_id for r in checks.smallest_container(p, b, "p", F.col("x"), F.col("y"), bx.holds(F.col("box"), F.col("x"), F.col("y")), bx.area(F.col("box"))).collect()}
+    got = {r.p: r.box_id for r in checks.smallest_container(p, b, "p", F.col("x"), F.col("y")).collect()}
     for i, x, y in pts:
         held = [((x1 - x0) * (y1 - y0), n) for n, x0, x1, y0, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1]
         assert got[i] == (min(held)[1] if held else None)
