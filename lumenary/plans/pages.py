@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import greedy, regions
+from ..operators import greedy, ledger, projection, regions, witness
 from .registry import Tables, query
 
 #: Lines of pages of forty, in both engines' SQL: boxes, layers and texts follow from the part's columns.
@@ -91,3 +91,83 @@ SELECT user_id, v FROM b WHERE v IS NOT NULL""")
 def spaced_events(t: Tables):
     """A user's events at least six hours after the last one kept."""
     return greedy.starts(t.events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("v")), "user_id", "v", 21_600_000_000, inclusive=True)
+
+
+_REFS = """d AS (SELECT doc_id, string_split(text, chr(10)) AS h, text FROM documents), e AS (SELECT doc_id, unnest(h) AS line, generate_subscripts(h, 1) - 1 AS n FROM d),
+f AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM e),
+g AS (SELECT doc_id, n, line, start, start + length(line) AS stop, CASE WHEN n % 2 = 0 THEN 'left' ELSE 'right' END AS half FROM f WHERE line <> ''),
+r AS (SELECT doc_id, half, n, 0 AS again, CASE WHEN doc_id % 29 = 0 AND n = 2 THEN -1 ELSE doc_id END AS record, start, stop, CASE WHEN doc_id % 17 = 0 AND n = 1 THEN line || '!' ELSE line END AS ref_text, CASE WHEN half = 'left' AND NOT (doc_id % 19 = 0 AND n = 0) THEN 40.0 ELSE 340.0 END AS x0 FROM g
+ UNION ALL SELECT doc_id, half, n, 1, doc_id, start, stop, line, CASE WHEN half = 'left' THEN 40.0 ELSE 340.0 END FROM g WHERE doc_id % 11 = 0 AND n < 2),
+u AS (SELECT doc_id, half, string_agg(line, chr(10) ORDER BY n, k) || CASE WHEN doc_id % 23 = 0 THEN ' x' ELSE '' END AS unit_text FROM (SELECT *, unnest(CASE WHEN doc_id % 11 = 0 AND n < 2 THEN [0, 1] ELSE [0] END) AS k FROM g) GROUP BY doc_id, half)"""
+
+
+@query(f"""WITH {_REFS}, x AS (SELECT r.*, length(line_text) AS z, line_text FROM (SELECT r.*, substr(t.text, r.start + 1, r.stop - r.start) AS line_text FROM r LEFT JOIN documents t ON t.doc_id = r.record) r),
+c AS (SELECT doc_id, half, unnest([CASE WHEN count(*) OVER (PARTITION BY record, start, stop) > 1 AND row_number() OVER (PARTITION BY record, start, stop ORDER BY doc_id, half, n, again) > 1 THEN 'duplicated_source_span' END,
+ CASE WHEN record >= 0 AND doc_id % 13 = 0 THEN 'wrong_source_page' END, CASE WHEN line_text <> ref_text THEN 'altered_source_text' END, CASE WHEN half = 'left' AND x0 > 100 THEN 'cross_column_mixing' END, CASE WHEN line_text IS NULL THEN 'missing_record' END]) AS code FROM x),
+b AS (SELECT doc_id, half, string_agg(coalesce(line_text, ''), chr(10) ORDER BY n, again) AS rebuilt FROM x GROUP BY ALL),
+w AS (SELECT doc_id, half, code FROM c WHERE code IS NOT NULL UNION ALL SELECT doc_id, half, 'unrecorded_projection_change' FROM u JOIN b USING (doc_id, half) WHERE unit_text <> rebuilt)
+SELECT doc_id || ':' || half AS unit, code, count(*) AS n FROM w GROUP BY ALL""")
+def projection_errors(t: Tables):
+    """Units of a document's even and odd lines against their sources, with every fault planted."""
+    c = F.col
+    half = F.when(c("line_no") % 2 == 0, "left").otherwise("right")
+    g = ledger.lines(t.documents, "doc_id", "text").where("line <> ''").select("doc_id", c("line_no").alias("n"), "line", "start", (c("start") + F.length("line")).alias("end"), half.alias("half"))
+    twice = (c("doc_id") % 11 == 0) & (c("n") < 2)
+    left = c("half") == "left"
+    own = g.select("*", F.explode(F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"))
+    first = c("again") == 0
+    refs = own.select(
+        F.concat_ws("/", "doc_id", "n", "again").alias("ref"), F.concat_ws(":", "doc_id", "half").alias("unit"), (c("n") * 2 + c("again")).alias("place"), F.when(first & (c("doc_id") % 29 == 0) & (c("n") == 2), -1).otherwise(c("doc_id")).alias("record"),
+        "start", "end", F.when(first & (c("doc_id") % 17 == 0) & (c("n") == 1), F.concat("line", F.lit("!"))).otherwise(c("line")).alias("text"),
+        F.when(left & ~(first & (c("doc_id") % 19 == 0) & (c("n") == 0)), 40.0).otherwise(340.0).alias("x0"),
+    ).withColumn("x1", c("x0") + 100)
+    texts = own.groupBy("doc_id", "half").agg(F.array_sort(F.collect_list(F.struct("n", "again", "line"))).alias("l"))
+    text = F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.when(c("doc_id") % 23 == 0, " x").otherwise(""))
+    page = F.floor(c("doc_id") / 4) + (c("doc_id") % 13 == 0).cast("int")
+    units = texts.select(F.concat_ws(":", "doc_id", "half").alias("unit"), F.struct("doc_id", "half").alias("seq"), page.alias("page"), "half", text.alias("text"))
+    return projection.errors(units, refs, t.documents.select(c("doc_id").alias("record"), F.floor(c("doc_id") / 4).alias("page"), "text"))
+
+
+def layers(t: Tables):
+    """(pieces, claims, represented, decisions) of two layers. A document is a page, its lines are the native layer. Of each pair of
+    lines the other layer has, in turn: both with other blanks, both as one, both within more text, a misreading, something
+    elsewhere on the page and blanks, one that decisions are about, and two that claim the same lines."""
+    c = F.col
+    lines = ledger.lines(t.documents, "doc_id", "text").withColumn("line", F.regexp_replace("line", r"\n$", "")).withColumn("pair", F.floor(c("line_no") / 2)).withColumn("side", c("line_no") % 2)
+    y = c("line_no") * 12.0
+    native = lines.select(
+        c("doc_id").alias("page"), F.lit("native").alias("layer"), F.concat(F.lit("N"), "doc_id").alias("record"), c("start").cast("long").alias("start"), (c("start") + F.length("line")).cast("long").alias("end"), c("line").alias("text"),
+        F.lit(40.0).alias("x0"), y.alias("y0"), F.lit(240.0).alias("x1"), (y + 10).alias("y1"), c("line_no"), c("pair"),
+    )
+    pair = lines.groupBy("doc_id", "pair").agg(F.max(F.when(c("side") == 0, c("line"))).alias("one"), F.max(F.when(c("side") == 1, c("line"))).alias("two")).where("two is not null")
+    what = c("pair") % 7
+    part = lambda text, from_, to, x=0.0: F.struct(text.alias("text"), F.lit(x + 40.0).alias("x0"), F.lit(x + 240.0).alias("x1"), F.lit(from_).alias("from"), F.lit(to).alias("to"))
+    wide = F.concat(F.lit("Figure "), c("one"), F.lit(" with "), c("two"), F.lit(" below"))
+    spaced = lambda x: F.regexp_replace(x, " ", "  ")
+    shapes = (
+        F.when(what == 0, F.array(part(spaced(c("one")), 0.0, 10.0), part(spaced(c("two")), 12.0, 22.0))).when(what == 1, F.array(part(F.concat_ws(" ", "one", "two"), 0.0, 22.0))).when(what == 2, F.array(part(wide, 0.0, 22.0)))
+        .when(what == 3, F.array(part(F.translate("one", "e", "c"), 0.0, 22.0))).when(what == 4, F.array(part(c("one"), 0.0, 10.0, 600.0), part(F.lit(" \t "), 0.0, 10.0, 300.0))).when(what == 5, F.array(part(c("one"), 0.0, 10.0)))
+        .otherwise(F.array(part(wide, 0.0, 22.0), part(F.concat(wide, F.lit(" again")), 0.5, 22.5)))
+    )
+    ocr = pair.select("doc_id", "pair", F.posexplode(shapes).alias("k", "s"))
+    ocr = ocr.select(
+        c("doc_id").alias("page"), F.lit("ocr").alias("layer"), F.concat_ws("/", F.lit("O"), "doc_id", "pair", "k").alias("record"), F.lit(0).cast("long").alias("start"), F.length("s.text").cast("long").alias("end"), c("s.text").alias("text"), "s.x0", (c("pair") * 24 + c("s.from")).alias("y0"), "s.x1",
+        (c("pair") * 24 + c("s.to")).alias("y1"), (c("pair") * 2).alias("line_no"), "pair",
+    )
+    pieces = native.unionByName(ocr).withColumn("ref", F.concat_ws(":", "record", "start")).withColumn("before", F.when(c("start") > 0, "\n").otherwise("")).withColumn("behind", F.when(c("layer") == "native", "\n").otherwise(""))
+    own = native.where("line_no % 11 = 3 and end > start").select("page", "record", "start", "end", "text", "x0", "y0", "x1", "y1")
+    table = native.where("line_no % 13 = 5 and end > start").select("page", F.concat_ws("/", F.lit("T"), "page", "line_no").alias("record"), F.lit(0).cast("long").alias("start"), (F.length("text") + 10).cast("long").alias("end"), F.concat(F.lit("Row 1: "), c("text"), F.lit(" |")).alias("text"), "x0", "y0", "x1", "y1")
+    claims = own.unionByName(table).withColumn("ref", F.concat_ws(":", F.lit("C"), "record", "start")).withColumn("before", F.lit("")).withColumn("behind", F.lit(""))
+    represented = native.where("line_no % 17 = 4").select("record", "start", "end")
+    asked = ocr.where("pair % 7 = 5")
+    turn = F.floor(c("pair") / 7) % 3
+    state = F.when(turn == 0, F.array(F.lit("PREFERRED"))).when(turn == 1, F.array(F.lit("PREFERRED"), F.lit("EXCLUDED_NON_TEXT"))).otherwise(F.array(F.lit("EXCLUDED_NON_TEXT"), F.lit("LAYOUT_ONLY")))
+    decisions = asked.select("record", "start", "end", F.explode(state).alias("state")).withColumn("reason", F.lower("state"))
+    return pieces.drop("line_no", "pair"), claims, represented, decisions
+
+
+@query()
+def layer_selection(t: Tables):
+    """What becomes of each piece of two layers, with the number of parts that prove it; the search for witnesses isn't SQL."""
+    done, proofs = witness.select(*layers(t))
+    return done.join(proofs.select("ref", F.size("parts").alias("n_parts")), "ref", "left").select("page", "layer", "record", "start", "outcome", "n_parts")
