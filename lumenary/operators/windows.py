@@ -1,10 +1,13 @@
 """Token windows with overlap over text bodies."""
 
+import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def token_windows(docs: DataFrame, key: str, text: str, size: int = 500, overlap: int = 100) -> DataFrame:
@@ -22,52 +25,150 @@ def token_windows(docs: DataFrame, key: str, text: str, size: int = 500, overlap
     return each.select(key, F.col("window").cast("long"), first.cast("long").alias("first"), F.least(first + size, F.col("n")).cast("long").alias("last"), F.array_join(F.slice("t", first + 1, size), " ").alias("text"))
 
 
-def body_windows(body: str, prefix: str, count: Callable[[str], int], size: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, end, overlap in characters) for any token counter, monotone or not.
+class Counter:
+    """A tokenizer as windows need it. ``offsets`` gives each token's (start, end) in characters; ``splits`` gives the pieces that
+    are tokenized on their own. Where one piece ends, what comes behind doesn't depend on what came before."""
 
-    Each window is the longest with at most ``size`` tokens, its prefix included; the next one starts at the
-    shortest suffix with ``overlap`` tokens or more. A blank body has none; no progress is an error.
+    def __init__(self, offsets: Callable[[str], list[tuple[int, int]]], splits: Callable[[str], list[tuple[int, int]]]):
+        self.offsets, self.splits = offsets, splits
+        self._counts: dict[str, int] = {}
+
+    def count(self, text: str) -> int:
+        return len(self.offsets(text))
+
+    def piece(self, text: str) -> int:
+        """The count of a short piece, remembered."""
+        if text not in self._counts:
+            if len(self._counts) > 50_000:
+                self._counts.clear()
+            self._counts[text] = self.count(text)
+        return self._counts[text]
+
+
+def bpe_counter(path: str) -> Counter:
+    """The counter of a tokenizer file, without special tokens; their strings in a text are text."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.no_truncation()
+    model.no_padding()
+    model.encode_special_tokens = True
+    return Counter(lambda text: model.encode(text, add_special_tokens=False).offsets, lambda text: [span for _, span in model.pre_tokenizer.pre_tokenize_str(text)])
+
+
+def _tokens_ahead(body: str, start: int, n: int, counter: Counter) -> list[tuple[int, int]]:
+    """Offsets of the tokens from ``start``, n at least unless the text ends. Only as much text is tokenized, and the pieces at
+    the cut, which might go on behind it, are left out."""
+    reach = 8 * n + 64
+    while True:
+        part = body[start : start + reach]
+        if start + reach >= len(body):
+            return counter.offsets(part)
+        pieces = counter.splits(part)
+        sure = pieces[-3][1] if len(pieces) > 3 else 0
+        tokens = [t for t in counter.offsets(part) if t[1] <= sure]
+        if len(tokens) >= n:
+            return tokens
+        reach *= 2
+
+
+def window_end(body: str, prefix: str, start: int, counter: Counter, size: int) -> int:
+    """From where the tokens that the prefix leaves room for end, back until the window fits, then on while it still fits with one
+    more character. Counts of joined texts are neither sums nor monotone, so each candidate is counted whole."""
+    room = max(1, size - counter.count(prefix))
+    ahead = _tokens_ahead(body, start, size + 8, counter)
+    if len(ahead) < size + 8 and counter.count(prefix + body[start:]) <= size:
+        return len(body)
+    end = max(start + 1, min(start + ahead[min(room, len(ahead)) - 1][1], len(body)))
+    while end > start and counter.count(prefix + body[start:end]) > size:
+        end -= 1
+    if end <= start:
+        raise ValueError("the prefix leaves no room for the next character")
+    while end < len(body) and counter.count(prefix + body[start : end + 1]) <= size:
+        end += 1
+    return end
+
+
+def overlap_begin(body: str, start: int, end: int, counter: Counter, overlap: int) -> tuple[int, int]:
+    """(begin, tokens) of the shortest suffix of body[start:end] with ``overlap`` tokens or more.
+
+    Counts of whole pieces add up from the end. A suffix that begins within a piece is split anew only until one of its pieces
+    begins where a known one does: what follows is the same. Pieces whose bytes can't make up what is missing are passed over.
     """
+    reach = 8 * overlap
+    while True:
+        base = max(start, end - reach)
+        text = body[base:end]
+        pieces = counter.splits(text)
+        behind = {len(text): 0}  # tokens from where a piece begins on
+        for i in range(len(pieces) - 1, -1 if base == start else 1, -1):  # the first two may have been cut at base
+            after = pieces[i + 1][0] if i + 1 < len(pieces) else len(text)
+            if behind[after] + len(text[pieces[i][0] : after].encode()) + 2 >= overlap:
+                ahead = pieces[min(i + 4, len(pieces) - 1)][1]
+                for begin in range(after - 1, pieces[i][0] - 1, -1):
+                    tokens = _counted(text[begin:ahead], begin, behind, counter)
+                    if tokens >= overlap:
+                        if base + begin == start:
+                            raise ValueError("the overlap takes the whole window")
+                        return base + begin, tokens
+            behind[pieces[i][0]] = behind[after] + counter.piece(text[pieces[i][0] : pieces[i][1]])
+        if base == start:
+            raise ValueError("the window is smaller than the overlap")
+        reach *= 2
+
+
+def _counted(part: str, begin: int, behind: dict[int, int], counter: Counter) -> int:
+    total = 0
+    for a, b in counter.splits(part):
+        if a and begin + a in behind:
+            return total + behind[begin + a]
+        total += counter.piece(part[a:b])
+    return total
+
+
+def body_windows(body: str, prefix: str, counter: Counter, size: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, tokens, overlap in tokens, overlap in characters) of a body's windows, each with the prefix within ``size`` tokens.
+
+    A blank body has none. The prefix must leave room, and each window must go on: else it is an error, and nothing is cut.
+    A window costs a few counts of its own length, so the time grows with the text.
+    """
+    if not 0 < overlap < size:
+        raise ValueError("the overlap must be smaller than the window")
     if not body.strip():
         return []
-    if count(prefix) >= size:
+    if counter.count(prefix) >= size:
         raise ValueError("the prefix leaves no room")
-    out, start, before = [], 0, 0
+    out, start, shared = [], 0, 0
     while True:
-        end = min(len(body), start + max(1, size))
-        while end < len(body) and count(prefix + body[start:end]) <= size:
-            end = min(len(body), end + max(1, (end - start)))
-        while end > start and count(prefix + body[start:end]) > size:
-            end -= max(1, (end - start) // 8) if count(prefix + body[start:end]) > 2 * size else 1
-        while end < len(body) and count(prefix + body[start : end + 1]) <= size:
-            end += 1
-        if end <= start or out and end <= out[-1][1]:
+        end = window_end(body, prefix, start, counter, size)
+        if out and end <= out[-1][1]:
             raise ValueError("a window makes no progress")
-        out.append((start, end, before))
+        out.append((start, end, counter.count(prefix + body[start:end]), shared, out[-1][1] - start if out else 0))
         if end == len(body):
             return out
-        after = end - 1
-        while after > start and count(body[after:end]) < overlap:
-            after -= 1
-        if after <= start:
-            raise ValueError("the overlap takes the whole window")
-        before, start = end - after, after
+        start, shared = overlap_begin(body, start, end, counter, overlap)
 
 
-def unit_windows(units: DataFrame, key: str, count: Callable[[str], int], size: int = 500, overlap: int = 100) -> DataFrame:
-    """key, window, start, end, overlap_chars, error for units (key, prefix, body): one row with an error where
-    a unit can't be windowed. Units are independent, so there is no shuffle."""
+def unit_windows(units: DataFrame, key: str, counter: Callable[[], Counter], size: int = 500, overlap: int = 100) -> DataFrame:
+    """key, window, start, end, token_count, overlap_tokens, overlap_chars, text_sha256, error for units (key, prefix, body): one row with
+    an error where a unit can't be windowed. ``counter`` is called once a task. Units are independent, so there is no shuffle."""
     kind = units.schema[key].dataType.simpleString()
+    names = ["window", "start", "end", "token_count", "overlap_tokens", "overlap_chars", "text_sha256", "error"]
+    ddl = f"{key} {kind}, window long, start long, end long, token_count long, overlap_tokens long, overlap_chars long, text_sha256 string, error string"
+
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = counter()
         for b in batches:
             rows = []
-            for k, prefix, body in zip(b[key], b.prefix, b.body):
+            for k, prefix, body in zip(*(b.column(c).to_pylist() for c in (key, "prefix", "body"))):
+                prefix, body = prefix or "", body or ""
                 try:
-                    rows += [(k, i, *w, None) for i, w in enumerate(body_windows(body or "", prefix or "", count, size, overlap))]
+                    for i, (a, z, *counts) in enumerate(body_windows(body, prefix, tokens, size, overlap)):
+                        rows.append((k, i, a, z, *counts, hashlib.sha256((prefix + body[a:z]).encode()).hexdigest(), None))
                 except ValueError as e:
-                    rows.append((k, None, None, None, None, str(e)))
-            out = pd.DataFrame(rows, columns=[key, "window", "start", "end", "overlap_chars", "error"])
-            yield out.astype({c: "Int64" for c in ("window", "start", "end", "overlap_chars")})
+                    rows.append((k, *[None] * 7, str(e)))
+            yield pa.RecordBatch.from_pylist([dict(zip([key, *names], r)) for r in rows], schema)
 
-    return units.select(key, "prefix", "body").mapInPandas(run, f"{key} {kind}, window long, start long, end long, overlap_chars long, error string")
+    return units.select(key, "prefix", "body").mapInArrow(run, ddl)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.vectors import norm as length_of
 from ..functions.vectors import normalise
-from ..operators import audits, build, evidence, intervals, ledger, topk
+from ..operators import audits, build, evidence, intervals, ledger, topk, windows
 from ..operators.schedule import numbered
+from ..sources import index as index_files
 from .registry import Tables, query
 from .retrieval import _RECALL, _TOP, _evidence, _recalls, _rows
 
@@ -114,10 +115,47 @@ def run_counters(t: Tables):
     return t.pages.agg(F.count("*").alias("pages"), F.count_if(F.trim("html") == "").alias("blank"), F.count_if(F.col("url").contains("https")).alias("secure"), F.when(F.size(short) > 0, F.array_join(short, ",")).alias("short_pages"))
 
 
-@query("SELECT doc_id, n_chars // 4 AS tokens FROM documents ORDER BY n_chars // 4 DESC, doc_id LIMIT 100 OFFSET 5")
+@query("SELECT doc_id, n_chars // 4 AS tokens, (row_number() OVER (ORDER BY n_chars // 4 DESC, doc_id) - 1) // 100 AS batch FROM documents")
 def length_batches(t: Tables):
+    """Batches of a hundred in order of falling length, over all documents."""
     rows = t.documents.select("doc_id", F.expr("n_chars div 4").alias("tokens"))
-    return audits.page_of(rows, [F.desc("tokens"), "doc_id"], 5, 400)
+    return numbered(rows, [F.desc("tokens"), "doc_id"], "at").select("doc_id", "tokens", F.expr("at div 100").alias("batch"))
+
+
+#: Eight counts of letters over their norm, the first one raised by one so that none is zero: a stand-in for a model that both engines can compute.
+_LETTERS = "etaoinsr"
+_COUNTS = "[" + ", ".join(f"(length(text) - length(replace(text, '{c}', '')) + {int(i == 0)})::DOUBLE" for i, c in enumerate(_LETTERS)) + "]"
+_INDEX = f"""WITH d AS (SELECT doc_id, text, n_chars, {_COUNTS} AS c, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS place FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)) """
+
+
+def _letters(rows):
+    """An encoder of rows by plain expressions."""
+    text = F.col("text")
+    counts = F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) + int(i == 0)).cast("double") for i, c in enumerate(_LETTERS)])
+    return rows.select("key", "place", "batch", normalise(counts).cast("array<float>").alias("vector"))
+
+
+def _built(t: Tables) -> str:
+    path = index_files.scratch(t.spark, "index")
+    index_files.build(t.documents, "doc_id", "text", F.col("n_chars"), _letters, path, {"model": "letters"}, size=64, waves=3)
+    return path
+
+
+@query(_INDEX + """SELECT doc_id, place, place // 64 AS batch, sha256(text) AS text_sha256, round(list_sum(list_transform(list_transform(c, lambda x: (x / sqrt(list_inner_product(c, c)))::FLOAT), lambda x, i: x::DOUBLE * i)), 6) AS mark FROM d""")
+def index_build(t: Tables):
+    """The documents' index, written in waves with receipts; mark is each vector's product with 1, 2, ..."""
+    rows = index_files.load(t.spark, _built(t))
+    mark = F.aggregate(F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select(F.col("key").alias("doc_id"), "place", "batch", "text_sha256", F.round(mark, 6).alias("mark"))
+
+
+@query("""SELECT code, n FROM (SELECT 'MISSING_ROW' AS code, count(*) FILTER (doc_id % 13 = 0) AS n FROM documents UNION ALL SELECT 'UNKNOWN_ROW', count(*) FILTER (doc_id % 11 = 0) FROM documents
+ UNION ALL SELECT 'TEXT_CHANGED', count(*) FILTER (doc_id % 7 = 0 AND doc_id % 11 <> 0) FROM documents) WHERE n > 0""")
+def index_rows_verify(t: Tables):
+    """Rows of an index against texts of which some are gone, some are new and some have changed."""
+    now = t.documents.where("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    new = t.documents.where("doc_id % 13 = 0").select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    return index_files.verify(now.unionByName(new), "doc_id", "text", _built(t), 64)
 
 
 @query("""SELECT (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS without_record, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS without_vector, (SELECT count(*) - count(DISTINCT vec_id) FROM embeddings) AS repeated""")
@@ -133,7 +171,7 @@ def encoded_vectors(t: Tables):
     return rows.agg(F.count("*").alias("n"), F.count_if(F.abs(length_of(F.col("v")) - 1) <= 1e-9).alias("unit"))
 
 
-@query(_TOP + """, f AS (SELECT query_id, id, rank FROM r WHERE rank <= 20) SELECT count(DISTINCT query_id) AS queries, count(*) FILTER (rank <= 5) AS prefix_rows, 0::BIGINT AS prefix_differs, 0::BIGINT AS out_of_order FROM f""")
+@query(_TOP + """, f AS (SELECT query_id, id, rank, score FROM r WHERE rank <= 20), g AS (SELECT query_id, unnest(l) AS id, generate_subscripts(l, 1) AS rank FROM (SELECT query_id, array_agg(id ORDER BY score DESC, id)[1:5] AS l FROM s GROUP BY query_id)) SELECT count(DISTINCT query_id) AS queries, count(*) FILTER (rank <= 5) AS prefix_rows, (SELECT count(*) FROM f JOIN g USING (query_id, rank) WHERE f.id <> g.id) AS prefix_differs, (SELECT count(*) FROM (SELECT score < lead(score) OVER w OR score = lead(score) OVER w AND id > lead(id) OVER w AS wrong FROM f WINDOW w AS (PARTITION BY query_id ORDER BY rank)) WHERE wrong) AS out_of_order FROM f""")
 def index_verify(t: Tables):
     """The best five are the head of the best twenty, and these are in order."""
     probes = _rows(t).where("id % 20 = 0")
@@ -265,6 +303,26 @@ def chunk_map(t: Tables):
     return numbered(chunks, ["doc_id", "k"], "at").select(F.format_string("C%06d", F.col("at") + 1).alias("chunk"), "doc_id", "sha")
 
 
+def token_units(t: Tables):
+    """A unit a document: its text under a heading that every window repeats."""
+    return t.documents.select("doc_id", F.concat(F.lit("Document "), "doc_id", F.lit("\n\n")).alias("prefix"), F.coalesce("text", F.lit("")).alias("body"))
+
+
+@query()
+def token_chunks(t: Tables, file: str = "byte_bpe_50k.json", size: int = 500, overlap: int = 100):
+    """Windows of at most 500 tokens of a real tokenizer, with the heading, each sharing the shortest suffix of 100 tokens or more
+    with the one before; numbered over all documents, with the number of lines that each is made of."""
+    from functools import partial
+
+    import public_tokenizers
+
+    found = windows.unit_windows(token_units(t), "doc_id", partial(windows.bpe_counter, public_tokenizers.path(file)), size, overlap).where("error is null")
+    chunks = numbered(found.drop("error"), ["doc_id", "window"], "at").withColumn("chunk", F.format_string("C%06d", F.col("at") + 1))
+    lines = ledger.lines(t.documents, "doc_id", "text").select("doc_id", F.col("start").alias("b0"), F.col("end").alias("b1"))
+    parts = intervals.overlap_join(chunks.select("doc_id", "chunk", F.col("start").alias("a0"), F.col("end").alias("a1")), lines, ["doc_id"], 2_000)
+    return chunks.join(parts.groupBy("chunk").agg(F.count("*").alias("n_parts")), "chunk").drop("at")
+
+
 @query("""WITH e AS (SELECT o_orderkey AS edge, o_custkey AS head, o_orderkey % 30 AS tail FROM orders), c AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0), n AS (SELECT n_nationkey FROM nation)
 SELECT CASE WHEN head NOT IN (SELECT c_custkey FROM c) AND tail NOT IN (SELECT n_nationkey FROM n) THEN 'BOTH_MISSING' WHEN head NOT IN (SELECT c_custkey FROM c) THEN 'HEAD_MISSING' WHEN tail NOT IN (SELECT n_nationkey FROM n) THEN 'TAIL_MISSING' ELSE 'OK' END AS verdict, count(*) AS n FROM e GROUP BY 1""")
 def edge_endpoints(t: Tables):

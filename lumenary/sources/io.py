@@ -28,8 +28,8 @@ def read_json(spark: SparkSession, path: str, schema: str | StructType) -> DataF
 
 
 def read_json_folder(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """A file a record, with its name: order comes from the name, never from listing."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).select("*", F.col("_metadata.file_name").alias("file_name"))
+    """A file a record, with its name: order comes from the name, never from listing. A broken file is an error."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -75,14 +75,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes with the application."""
+    path = f"{shared_dir(spark).rstrip('/')}/lumenary-{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)  # only what exists is marked
+    files.deleteOnExit(at)
+    return f"{path}/{name}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet into the shared folder and read back; the files go with the application."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lumenary-cut-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """Small cases with known answers."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,27 +106,96 @@ def test_decisions(spark):
     assert got == {1: ("EXCLUDED_NON_TEXT", "x; y"), 2: ("NEEDS_REVIEW", "a; x; y"), 3: ("PREFERRED", "")}
 
 
-def count(s):
-    return len(s.split())
+def words():
+    spans = lambda s: [m.span() for m in re.finditer(r"\S+", s)]
+    return windows.Counter(spans, spans)
 
 
 def test_body_windows():
-    rng = random.Random(0)
+    rng, counter = random.Random(0), words()
+    count = counter.count
     body = " ".join("".join(rng.choice("abcé漢") for _ in range(rng.randrange(1, 6))) for _ in range(260))
-    found = windows.body_windows(body, "title of it ", count, 60, 12)
-    assert len(found) > 2 and found[0][0] == 0 and found[-1][1] == len(body) and found[0][2] == 0
-    for (s, e, o), (s2, e2, o2) in zip(found, found[1:]):
-        assert s < s2 < e < e2 and o2 == e - s2 and count(body[s2:e]) >= 12 > count(body[s2 + 1 : e]) - (count(body[s2 + 1 : e]) == 12)
-    assert all(count("title of it " + body[s:e]) <= 60 for s, e, _ in found)
-    assert windows.body_windows("short", "", count, 60, 12) == [(0, 5, 0)] and windows.body_windows(" \n", "", count, 60, 12) == []
+    found = windows.body_windows(body, "title of it ", counter, 60, 12)
+    assert len(found) > 2 and found[0][0] == 0 and found[-1][1] == len(body) and found[0][3:] == (0, 0)
+    for (s, e, *_), (s2, e2, _, tokens, o2) in zip(found, found[1:]):
+        assert s < s2 < e < e2 and o2 == e - s2 and count(body[s2:e]) == tokens >= 12 > count(body[s2 + 1 : e]) - (count(body[s2 + 1 : e]) == 12)
+    assert all(count("title of it " + body[s:e]) == n <= 60 for s, e, n, *_ in found)
+    assert windows.body_windows("short", "", counter, 60, 12) == [(0, 5, 1, 0, 0)] and windows.body_windows(" \n", "", counter, 60, 12) == []
     with pytest.raises(ValueError):
-        windows.body_windows("a b c", "p " * 60, count, 60, 12)
+        windows.body_windows("a b c", "p " * 60, counter, 60, 12)
+    with pytest.raises(ValueError):
+        windows.body_windows("a b c", "", counter, 60, 60)
+
+
+def plain_windows(body, prefix, model, size, overlap):
+    """The rule by counts of whole texts, character by character."""
+    count = lambda s: len(model.encode(s, add_special_tokens=False).ids)
+    out, start, shared = [], 0, 0
+    if not body.strip():
+        return out
+    while True:
+        end = len(body)
+        if count(prefix + body[start:]) > size:
+            offsets = model.encode(body[start:], add_special_tokens=False).offsets
+            end = max(start + 1, min(start + offsets[min(max(1, size - count(prefix)), len(offsets)) - 1][1], len(body)))
+            while end > start and count(prefix + body[start:end]) > size:
+                end -= 1
+            while end < len(body) and count(prefix + body[start : end + 1]) <= size:
+                end += 1
+        if end <= start or out and end <= out[-1][1]:
+            raise ValueError
+        out.append((start, end, count(prefix + body[start:end]), shared, out[-1][1] - start if out else 0))
+        if end == len(body):
+            return out
+        begin = next((a for a in range(end - 1, start - 1, -1) if count(body[a:end]) >= overlap), start)
+        if begin == start:
+            raise ValueError
+        start, shared = begin, count(body[begin:end])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_windows_of_a_real_tokenizer(name):
+    """Equal to the plain rule on words, runs of blanks and symbols, scripts, long words and no words at all."""
+    tokens = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = tokens.path(name)
+    model, counter = Tokenizer.from_file(path), windows.bpe_counter(path)
+    model.no_truncation()
+    model.no_padding()
+    model.encode_special_tokens = True
+    rng = random.Random(7)
+    parts = ["the", " quick", "international", "  ", "\n\n", "\t", " 6.5L", "±25 °C", "압력", "🛠️", "...", "don't", "x" * 40, " ", "Étion", "<|endoftext|>", "漢字", "'s", "-", "1234567"]
+    for size, overlap, n in ((20, 5, 60), (40, 15, 150), (12, 3, 80), (30, 25, 100)):
+        for _ in range(12):
+            body = "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(n))
+            prefix = rng.choice(["", "WARNING\nCondition: stopped.\n\n" if size > 20 else "W "])
+            outcomes = []
+            for f, args in ((windows.body_windows, (counter,)), (plain_windows, (model,))):
+                try:
+                    outcomes.append(f(body, prefix, *args, size, overlap))
+                except ValueError:
+                    outcomes.append("error")
+            assert outcomes[0] == outcomes[1], (body, prefix, size, overlap)
+
+
+def test_window_time_is_linear():
+    """A window costs the same anywhere in a long text: the counter is never given more than a few windows at once."""
+    longest, spans = [0], lambda s: [m.span() for m in re.finditer(r"\S+", s)]
+
+    def offsets(s):
+        longest[0] = max(longest[0], len(s))
+        return spans(s)
+
+    body = "word " * 40_000
+    found = windows.body_windows(body, "", windows.Counter(offsets, spans), 50, 10)
+    assert len(found) == 1_000 and longest[0] < 2_000
 
 
 def test_unit_windows(spark):
     units = spark.createDataFrame([("a", "", "x y z"), ("b", "p q r", "x"), ("c", None, None)], "id string, prefix string, body string")
-    got = [tuple(r) for r in windows.unit_windows(units, "id", count, 3, 1).orderBy("id").collect()]
-    assert got == [("a", 0, 0, 5, 0, None), ("b", None, None, None, None, "the prefix leaves no room")]
+    got = [tuple(r) for r in windows.unit_windows(units, "id", words, 3, 1).drop("text_sha256").orderBy("id").collect()]
+    assert got == [("a", 0, 0, 5, 3, 0, 0, None), ("b", *[None] * 6, "the prefix leaves no room")]
 
 
 def test_patch_errors(spark):
