@@ -1,9 +1,5 @@
-"""Audits that count violations, joins that demand their keys, exact sums."""
+"""Audits that count violations, joins that demand their keys, overrides, samples, pages."""
 
-from collections.abc import Iterator
-from math import fsum
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,40 +17,6 @@ def violations(rows: DataFrame, codes: dict[str, Column]) -> DataFrame:
     return counted.unpivot([], list(codes), "code", "n")
 
 
-def exact_sum(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """key, total: the correctly rounded sum of doubles. Each task keeps a key's sum as numbers that don't overlap and
-    lose nothing; those few are then added exactly, so the result depends on no order."""
-    kind = rows.schema[key].dataType.simpleString()
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[object, list[float]] = {}
-        for b in batches:
-            for k, values in b.groupby(key, dropna=False)[value]:
-                own = held.setdefault(k, [])
-                for x in values:
-                    _add(own, x)
-        yield pd.DataFrame([(k, x) for k, own in held.items() for x in own], columns=[key, value])
-
-    parts = rows.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias(value)).mapInPandas(part, f"{key} {kind}, {value} double")
-    whole = lambda k, pdf: pd.DataFrame({key: [k[0]], "total": [fsum(pdf[value])]})
-    return parts.groupBy(key).applyInPandas(whole, f"{key} {kind}, total double")
-
-
-def _add(parts: list[float], x: float) -> None:
-    """Add x to a list of numbers of which none overlaps another, keeping their exact sum."""
-    i = 0
-    for y in parts:
-        if abs(x) < abs(y):
-            x, y = y, x
-        high = x + y
-        low = y - (high - x)
-        if low:
-            parts[i] = low
-            i += 1
-        x = high
-    parts[i:] = [x]
-
-
 def override(rows: DataFrame, changes: DataFrame, key: str, replaced: list[str], fixed: list[str]) -> DataFrame:
     """The rows with ``replaced`` columns from the changes where there are any, and ``unchanged``: whether ``fixed`` columns agree."""
     c = changes.select(key, F.lit(True).alias("__changed"), *[F.col(x).alias(f"__{x}") for x in [*replaced, *fixed]])

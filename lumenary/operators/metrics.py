@@ -47,34 +47,6 @@ def abstains(withheld: Column, supplied: Column, unrelated: Column, is_rag: Colu
     return withheld & ~supplied & ~unrelated & backed
 
 
-def distribution(rows: DataFrame, keys: list[str], value: str, cells: int = 512) -> DataFrame:
-    """keys, n, median, p95 (linear interpolation); nulls are left out, a key with nothing else has n = 0 and no points.
-
-    Exact without a key's values in one task: equal values are counted, ranges of values get offsets from their counts, and
-    only the values at the two ranks around each point are looked at.
-    """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    ends = counted.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("n"))
-    cell = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * cells)).otherwise(F.lit(0))
-    dealt = counted.join(ends, keys).withColumn("__cell", cell)
-    totals = dealt.groupBy(*keys, "__cell").agg(F.sum("__c").alias("__t"))
-    before = F.coalesce(F.sum("__t").over(W.partitionBy(*keys).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select(*keys, "__cell", before.alias("__before"))
-    own = F.sum("__c").over(W.partitionBy(*keys, "__cell").orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
-    ranked = dealt.withColumn("__own", own).join(offsets, [*keys, "__cell"]).withColumn("__last", F.col("__before") + F.col("__own") - 1).withColumn("__first", F.col("__last") - F.col("__c") + 1)
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("__first") <= rank) & (rank <= F.col("__last")), F.col("__v")))
-
-    out = []
-    for name, p in (("median", 0.5), ("p95", 0.95)):
-        place = (F.col("n") - 1) * p
-        out += [at(F.floor(place)).alias(f"__{name}0"), at(F.ceil(place)).alias(f"__{name}1"), F.max(place - F.floor(place)).alias(f"__{name}f")]
-    found = rows.groupBy(*keys).agg(F.count(value).alias("n")).join(ranked.groupBy(*keys).agg(*out), keys, "left")
-    mix = lambda name: (F.col(f"__{name}0") + (F.col(f"__{name}1") - F.col(f"__{name}0")) * F.col(f"__{name}f")).alias(name)
-    return found.select(*keys, "n", mix("median"), mix("p95"))
-
-
 def completeness(grid: DataFrame, facts: DataFrame, keys: list[str], checks: dict[str, Column], subject: str) -> DataFrame:
     """subject, reasons: for each subject, the sorted distinct reasons to leave it out, joined by commas.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import classify, diffs, text
-from ..operators import audits, evidence
+from ..operators import audits, evidence, exact
 from ..operators.schedule import numbered
 from .registry import Tables, query
 
@@ -140,4 +140,10 @@ def covered_in_row(t: Tables):
 
 @query("""SELECT l_returnflag, round(fsum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_returnflag""")
 def exact_totals(t: Tables):
-    return audits.exact_sum(t.lineitem, "l_returnflag", "l_extendedprice").withColumn("total", F.round("total", 2))
+    return exact.exact_sum(t.lineitem, ["l_returnflag"], "l_extendedprice").withColumn("total", F.round("total", 2))
+
+
+@query("""SELECT l_returnflag, l_linestatus, sum((l_extendedprice * 1152921504606846976.0)::HUGEINT)::DECIMAL(38, 0) AS units FROM lineitem GROUP BY ALL""")
+def exact_total_bits(t: Tables):
+    """Sums in units of 2^-60, to the last bit."""
+    return exact.exact_units(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenary.functions import diffs, text, vectors
-from lumenary.operators import checks, closure, evidence, greedy, intervals, ledger, metrics, schedule, topk, windows
+from lumenary.operators import checks, closure, evidence, exact, greedy, intervals, ledger, metrics, schedule, topk, windows
 from lumenary.sources import io
 from lumenary.streaming import rollups
 
@@ -39,7 +39,7 @@ def test_evidence(spark):
 
 def test_distribution(spark):
     rows = spark.createDataFrame([("x", 0.0), ("x", 10.0), ("y", None)], "k string, v double")
-    got = {r.k: tuple(r)[1:] for r in metrics.distribution(rows, ["k"], "v").collect()}
+    got = {r.k: tuple(r)[1:] for r in exact.percentiles(rows, ["k"], "v", {"median": 0.5, "p95": 0.95}).collect()}
     assert got == {"x": (2, 5.0, 9.5), "y": (0, None, None)}
 
 

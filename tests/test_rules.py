@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenary.functions import classify, diffs, text
-from lumenary.operators import audits, build, checks, closure, evidence, layout, metrics
+from lumenary.operators import audits, build, checks, closure, evidence, exact, layout, metrics
 from lumenary.operators.passages import contained
 from lumenary.sources import io
 
@@ -68,8 +68,19 @@ def test_required_join(spark):
 def test_exact_sum(spark):
     rng = random.Random(4)
     values = [(i % 3, rng.choice([1e16, 1.0, -1e16, 1e-8, 3.7, 1e300, -1e300])) for i in range(3000)] + [(1, None)]
-    got = {r.k: r.total for r in audits.exact_sum(spark.createDataFrame(values, "k int, v double").repartition(7), "k", "v").collect()}
-    assert got == {k: math.fsum(v for i, v in values if i == k and v is not None) for k in range(3)}
+    for k in range(3, 60):  # all sizes and signs, near ties, numbers too small to be normal
+        n, scale = rng.randrange(1, 12), rng.choice([-1074, -1060, -500, -30, 0, 40, 900])
+        values += [(k, math.ldexp(rng.choice([rng.random() - 0.5, rng.randrange(-9, 10), 1.0, -1.0]), max(-1074, min(1000, scale + rng.randrange(-60, 60))))) for _ in range(n)]
+    values += [(60, 1.0), (60, 2.0**-53), (61, 1.0), (61, 2.0**-53), (61, 5e-324), (62, 1.0 + 2**-52), (62, 2.0**-53), (63, 1e308), (63, -1e308), (64, 0.0), (64, -0.0), (65, float("inf")), (65, 1.0), (66, 1.7e308), (66, 1.7e308), (66, -1.7e308), (None, 0.1), (None, 0.2)]
+    got = {r.k: r.total for r in exact.exact_sum(spark.createDataFrame(values, "k int, v double").repartition(7), ["k"], "v").collect()}
+    assert got.pop(66) == 1.7e308  # beyond the largest double on the way
+    assert got == {k: math.fsum(v for i, v in values if i == k and v is not None) for k in {k for k, _ in values} - {66}}
+    odd = spark.createDataFrame([(1, float("inf")), (1, float("-inf")), (2, float("nan")), (3, 1.7e308), (3, 1.7e308), (4, -1.7e308), (4, -1.7e308), (5, None)], "k int, v double")
+    got = {r.k: r.total for r in exact.exact_sum(odd, ["k"], "v").collect()}
+    assert math.isnan(got[1]) and math.isnan(got[2]) and got[3] == math.inf and got[4] == -math.inf and 5 not in got
+    units = {r.k: r.units for r in exact.exact_units(spark.createDataFrame([(1, 0.1), (1, 0.2), (2, -1.5), (3, 1e300), (4, 5e-324)], "k int, v double"), ["k"], "v").collect()}
+    assert units == {1: int(math.ldexp(0.1, 60)) + int(math.ldexp(0.2, 60)), 2: -3 << 59, 3: None, 4: None}
+    assert exact.exact_sum(odd.limit(0), ["k"], "v").count() == 0 and exact.exact_sum(odd.where("k = 3").limit(1), [], "v").first().total == 1.7e308
 
 
 def test_distribution(spark):
@@ -78,11 +89,31 @@ def test_distribution(spark):
     df = spark.createDataFrame(values, "k string, v double")
     want = {r.k: (r.n, r.p) for r in df.groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", F.array(F.lit(0.5), F.lit(0.95))).alias("p")).collect()}
     assert want.pop("d") == (0, None)
-    got = {r.k: (r.n, [r.median, r.p95]) for r in metrics.distribution(df, ["k"], "v").collect()}
+    got = {r.k: (r.n, [r.median, r.p95]) for r in exact.percentiles(df, ["k"], "v", POINTS).collect()}
     assert got.pop("d") == (0, [None, None])
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
     two = spark.createDataFrame([("x", 0.0), ("x", 10.0)], "k string, v double")
-    assert metrics.distribution(two, ["k"], "v").first().p95 == pytest.approx(9.5)
+    assert exact.percentiles(two, ["k"], "v", POINTS).first().p95 == pytest.approx(9.5)
+
+
+POINTS = {"median": 0.5, "p95": 0.95}
+
+
+def test_percentiles_of_strays_and_crowds(spark):
+    """Cells follow the values: one far stray, one value that most rows have, and many different values in one key, of which no
+    more than 50 are ever ordered together."""
+    rng = random.Random(9)
+    rows = [("stray", rng.random()) for _ in range(3_000)] + [("stray", 1e300)] + [("crowd", 7.0)] * 4_000 + [("crowd", rng.random() * 14) for _ in range(1_000)]
+    rows += [("wide", rng.gauss(0, 1) * 10 ** rng.randrange(-5, 6)) for _ in range(5_000)] + [(None, float(i)) for i in range(400)] + [("two", 1.0), ("two", 2.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    points = {"least": 0.0, "median": 0.5, "p95": 0.95, "most": 1.0}
+    want = {r.k: (r.n, r.p) for r in df.groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", F.array(*map(F.lit, points.values()))).alias("p")).collect()}
+    plan = exact.percentiles(df, ["k"], "v", points, cells=8, most=50)
+    got = {r.k: tuple(r)[1:] for r in plan.collect()}
+    assert got.pop("none") == (0, *[None] * 4) and want.pop("none")[0] == 0
+    assert got.keys() == want.keys() and all(got[k] == (want[k][0], *[pytest.approx(x) for x in want[k][1]]) for k in want)
+    assert exact.percentiles(df, [], "v", {"m": 0.5}, most=50).first().m == pytest.approx(df.agg(F.percentile("v", 0.5)).first()[0])
+    assert exact.percentiles(df.limit(0), ["k"], "v", points).count() == 0
 
 
 def test_smallest_container_and_containment(spark):
