@@ -3,18 +3,24 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Layout rules in page points, label and heading patterns, conversion factors.
-SECTION = r"^([0-9]+-[0-9]+(?:\.[0-9]+)*[A-Z]?)\. "
+# Heading, label and document number patterns, shares of the page, anchor states, conversion factors, names.
+SECTION = r"(?U)^(\d{1,2}-\d{1,3}(?:\.\d+)*[A-Za-z]?)\.\s+(.+)"
 MARGIN_LABEL = r"^([123]-[0-9]+(?:\.[0-9]+)?)(?:[/-]?\(?[123]-[0-9]+(?:\.[0-9]+)?[Bb]lank\)?)?$"
+DOCUMENT, CHANGE = r"(?U)^TM\s+9\s*-\s*2320\s*-\s*280\s*-\s*20\s*-\s*1$", r"^Change[12]$"
 TOP_SHARE, BOTTOM_SHARE = 0.09, 0.85
+ANCHOR_STATES = ("OUTSIDE_INDEX_SCOPE", "NATIVE_ANCHOR_FOUND", "TABLE_ANCHOR_FOUND", "OCR_ANCHOR_FOUND_REVIEW_REQUIRED", "ANCHOR_NOT_FOUND_REVIEW_REQUIRED")
+REVIEW_CLASSES = ("CORRECTION_REGION_REQUIRES_REVIEWED_COORDINATES", "INCOMPLETE_EXACT_WORD_MAPPING", "NO_CLOSED_RECTANGLE_MATCH", "BOX_AND_UNBOXED_TEXT", "MULTIPLE_RECTANGLES", "SINGLE_RECTANGLE")
 UNIT_FACTORS = {"psi_kPa": 6.894757, "in_mm": 25.4, "lb_kg": 0.45359237, "ft_m": 0.3048, "gal_L": 3.785412}
-SAFE_NAME, SAFE_PATH = r"^[a-z0-9][a-z0-9-]*$", r"^(?!/)(?!.*(^|/)\.\.(/|$))[A-Za-z0-9._/-]+$"
+SAFE_NAME, SAFE_PATH = r"^[a-z0-9][a-z0-9-]{1,80}$", r"^(?!/)(?!.*(^|/)\.\.(/|$))[A-Za-z0-9._/-]+$"
 
 
 def section_number(text: Column, bold: Column) -> Column:
-    """The number of a section heading; null unless the line is numbered and in capitals or bold."""
-    found = F.regexp_extract(F.trim(text), SECTION, 1)
-    return F.when((found != "") & ((F.upper(text) == text) | bold), found)
+    """The number of a section heading; null unless the line is numbered, has text behind, and is in capitals or bold. Capitals
+    means at least one letter and none that is small."""
+    line = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    found = F.regexp_extract(line, SECTION, 1)
+    capitals = (F.upper(line) == line) & (F.lower(line) != line)
+    return F.when((found != "") & (capitals | F.coalesce(bold, F.lit(False))), found)
 
 
 def page_kind(header: Column, reviewed: Column, numbered: Column) -> Column:
@@ -35,25 +41,31 @@ def margin_label(text: Column) -> Column:
     return F.when(found != "", found)
 
 
-def in_margin(y: Column, height: Column) -> Column:
-    return (y < height * TOP_SHARE) | (y >= height * BOTTOM_SHARE)
+def margin_rule(text: Column, y0: Column, y1: Column, height: Column) -> Column:
+    """What becomes of a line: recognized_margin if it lies in the margins (its bottom edge above 9 % of the page or its top edge below
+    85 %) and is the document's number, a page label or a change mark; outer_whitespace if only blanks around it go; else null."""
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    margin = (y1 < height * TOP_SHARE) | (y0 > height * BOTTOM_SHARE)
+    known = bare.rlike(DOCUMENT) | margin_label(bare).isNotNull() | F.regexp_replace(bare, r"(?U)\s+", "").rlike(CHANGE)
+    return F.when(margin & known & (bare != ""), "recognized_margin").when(bare != text, "outer_whitespace")
 
 
-def review_class(covered: Column, same_ids: Column, unboxed: Column) -> Column:
-    """Six classes by whether all text is covered, the ids agree, and text lies outside of boxes."""
-    return (
-        F.when(covered & same_ids & (unboxed == 0), "COMPLETE").when(covered & same_ids, "COMPLETE_WITH_UNBOXED").when(covered & (unboxed == 0), "IDS_DIFFER").when(covered, "IDS_DIFFER_WITH_UNBOXED")
-        .when(same_ids, "NOT_COVERED").otherwise("NOT_COVERED_IDS_DIFFER")
-    )
+def review_class(corrected: Column, complete: Column, boxes: Column, unboxed: Column) -> Column:
+    """The state of a reference's words: whether it is a correction, whether its words are exactly its text, the number of
+    rectangles they lie in and of those that lie in none."""
+    names = [F.lit(c) for c in REVIEW_CLASSES]
+    return F.when(corrected, names[0]).when(~complete, names[1]).when(boxes == 0, names[2]).when(unboxed > 0, names[3]).when(boxes > 1, names[4]).otherwise(names[5])
 
 
 def anchor_status(in_scope: Column, anchor: Column, native: Column, table: Column, ocr: Column) -> Column:
-    """Where an anchor's letters and digits are found first: outside of scope, native text, tables, OCR, or nowhere."""
+    """Where an anchor's letters and digits are found first: outside of scope, native text, tables, OCR, or nowhere. An anchor without
+    any is found nowhere."""
     from .text import compact
 
     a = compact(anchor)
-    has = lambda t: F.coalesce(compact(t).contains(a), F.lit(False))
-    return F.when(~in_scope, "OUTSIDE").when(has(native), "NATIVE").when(has(table), "TABLE").when(has(ocr), "OCR").otherwise("NOT_FOUND")
+    has = lambda t: F.coalesce((a != "") & compact(t).contains(a), F.lit(False))
+    outside, in_native, in_table, in_ocr, nowhere = (F.lit(s) for s in ANCHOR_STATES)
+    return F.when(~in_scope, outside).when(has(native), in_native).when(has(table), in_table).when(has(ocr), in_ocr).otherwise(nowhere)
 
 
 def run_status(rows: Column, expected: Column, errors: Column) -> Column:

@@ -60,26 +60,31 @@ def _repair(quote: str | None, source: str | None) -> str | None:
     return best
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("starts", T.ArrayType(T.IntegerType()))]))
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("starts", "ends")]]))
 def norm_positions(text: pd.Series) -> pd.DataFrame:
-    """White space normalised text and, for each of its characters, where it comes from in the original."""
+    """White space normalised text and, for each of its characters, where in the original it starts and ends; a space stands
+    for a whole run of white space."""
 
-    def one(t: str | None) -> tuple[str | None, list[int] | None]:
+    def one(t: str | None) -> tuple[str | None, list[int] | None, list[int] | None]:
         if t is None:
-            return None, None
-        out, starts = [], []
+            return None, None, None
+        out, starts, ends = [], [], []
         for i, c in enumerate(t):
             if not c.isspace():
                 out.append(c)
                 starts.append(i)
-            elif out and out[-1] != " ":
+                ends.append(i + 1)
+            elif out and out[-1] == " ":
+                ends[-1] = i + 1
+            elif out:
                 out.append(" ")
                 starts.append(i)
+                ends.append(i + 1)
         if out and out[-1] == " ":
-            out.pop(), starts.pop()
-        return "".join(out), starts
+            del out[-1], starts[-1], ends[-1]
+        return "".join(out), starts, ends
 
-    return pd.DataFrame([one(t) for t in text], columns=["text", "starts"])
+    return pd.DataFrame([one(t) for t in text], columns=["text", "starts", "ends"])
 
 
 @udtf(returnType="tag string, a_start int, a_end int, b_start int, b_end int")

@@ -96,6 +96,15 @@ def quoted(source: Column, quote: Column) -> Column:
     return (q != "") & norm(source).contains(q)
 
 
+def covers(text: Column, spans: Column) -> Column:
+    """Whether all that lies outside of the spans (start, end) is blank."""
+    done = F.aggregate(
+        F.array_sort(spans), F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok")),
+        lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), (acc["ok"] & ((s["start"] <= acc["at"]) | (norm(F.substring(text, acc["at"] + 1, s["start"] - acc["at"])) == ""))).alias("ok")),
+    )
+    return done["ok"] & (norm(F.substring(text, done["at"] + 1, F.length(text))) == "")
+
+
 def splice(text: Column, patches: Column) -> Column:
     """Apply non-overlapping patches (start, end, after), 0-based and half-open: unpatched runs and replacements in order."""
     ordered = F.array_sort(patches)

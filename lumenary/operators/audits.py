@@ -17,6 +17,12 @@ def violations(rows: DataFrame, codes: dict[str, Column]) -> DataFrame:
     return counted.unpivot([], list(codes), "code", "n")
 
 
+def demanded(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of ``override``; one whose fixed columns don't agree is an error when they are read."""
+    same = F.when(F.col("unchanged"), True).otherwise(F.raise_error(F.concat(F.lit("a fixed field differs for "), F.col(key).cast("string"))).cast("boolean"))
+    return rows.where(same).drop("unchanged")
+
+
 def override(rows: DataFrame, changes: DataFrame, key: str, replaced: list[str], fixed: list[str]) -> DataFrame:
     """The rows with ``replaced`` columns from the changes where there are any, and ``unchanged``: whether ``fixed`` columns agree."""
     c = changes.select(key, F.lit(True).alias("__changed"), *[F.col(x).alias(f"__{x}") for x in [*replaced, *fixed]])

@@ -49,3 +49,20 @@ def min_cover(evidence: DataFrame) -> DataFrame:
     none = F.array(F.array().cast("array<bigint>"))
     unions = F.aggregate("gs", none, lambda acc, cs: least(F.flatten(F.transform(acc, lambda a: F.transform(cs, lambda c: F.array_sort(F.array_union(a, c)))))))
     return rows.select("question", F.array_min(F.transform(unions, lambda u: F.size(u))).cast("long").alias("min_cover"))
+
+
+def revised(evidence: DataFrame, added: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Evidence (question, grp, combo, chunk) with combinations added and others replaced by new chunks; what is there already is not
+    added again."""
+    columns = ["question", "grp", "combo", "chunk"]
+    kept = evidence.select(*columns).join(replaced.select("question", "grp", "combo").distinct(), ["question", "grp", "combo"], "left_anti")
+    return kept.unionByName(replaced.select(*columns)).unionByName(added.select(*columns)).distinct()
+
+
+def revision(evidence: DataFrame, added: DataFrame, replaced: DataFrame) -> DataFrame:
+    """question, before, after, change: the least number of chunks that suffice, before and after, and what was changed."""
+    flag = lambda df, name: df.select("question", F.lit(True).alias(name)).distinct()
+    old, new = min_cover(evidence).withColumnRenamed("min_cover", "before"), min_cover(revised(evidence, added, replaced)).withColumnRenamed("min_cover", "after")
+    both = old.join(new, "question", "left").join(flag(added, "is_added"), "question", "left").join(flag(replaced, "is_replaced"), "question", "left")
+    change = F.when(F.col("is_added") & F.col("is_replaced"), "ADDED_AND_REPLACED").when(F.col("is_added"), "ADDED").when(F.col("is_replaced"), "REPLACED")
+    return both.select("question", "before", "after", change.alias("change"))

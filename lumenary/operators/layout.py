@@ -115,12 +115,30 @@ def linked(rows: DataFrame, key: str, order: list[str], row: str) -> DataFrame:
     return rows.withColumn("previous", F.lag(row).over(w)).withColumn("next", F.lead(row).over(w))
 
 
-def margins(lines: DataFrame, y: Column, height: Column, furniture: Column) -> tuple[DataFrame, DataFrame]:
-    """(kept lines, removed ones): running headers and footers go only in the margins and only if they look like such."""
-    from ..functions.classify import in_margin
-
-    gone = F.coalesce(in_margin(y, height) & furniture, F.lit(False))
-    return lines.where(~gone), lines.where(gone)
+def cleaned(lines: DataFrame, height: Column) -> tuple[DataFrame, DataFrame]:
+    """(kept lines, changes) of lines (text, y0, y1): running headers and footers go, in the margins only and only if they are
+    recognized; blanks around the others go; blank lines are not kept. Each change has its rule, the text before and after."""
+    from ..functions.classify import margin_rule
+
+    rows = lines.withColumn("rule", margin_rule(F.col("text"), F.col("y0"), F.col("y1"), height)).withColumn("before", F.col("text"))
+    gone = F.coalesce(F.col("rule") == "recognized_margin", F.lit(False))
+    rows = rows.withColumn("text", F.when(gone, "").otherwise(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")))
+    return rows.where("text <> ''").drop("rule", "before"), rows.where("rule is not null").withColumnRenamed("text", "after")
+
+
+def word_classes(refs: DataFrame, words: DataFrame) -> DataFrame:
+    """ref, class, n_boxes, n_words of references (ref, text, corrected) by the words that lie in them (ref, start, end within the text,
+    box, null outside of rectangles)."""
+    from ..functions.classify import review_class
+    from ..functions.text import covers
+
+    item = F.struct("start", "end", "box")
+    held = refs.join(words.groupBy("ref").agg(F.collect_list(item).alias("w")), "ref", "left").withColumn("w", F.coalesce("w", F.array().cast(f"array<struct<start: {words.schema['start'].dataType.simpleString()}, end: {words.schema['end'].dataType.simpleString()}, box: string>>")))
+    spans = F.transform("w", lambda w: F.struct(w["start"], w["end"]))
+    blank = F.exists("w", lambda w: F.substring(F.col("text"), w["start"] + 1, w["end"] - w["start"]).rlike(r"(?U)\s"))
+    boxes = F.size(F.array_distinct(F.filter(F.transform("w", lambda w: w["box"]), lambda b: b.isNotNull())))
+    none = F.size(F.filter("w", lambda w: w["box"].isNull()))
+    return held.select("ref", review_class(F.col("corrected"), covers(F.col("text"), spans) & ~blank, boxes, none).alias("class"), boxes.alias("n_boxes"), F.size("w").alias("n_words"))
 
 
 def uncovered(text: Column, word: str) -> Column:

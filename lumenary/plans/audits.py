@@ -235,14 +235,14 @@ def reference_migration(t: Tables):
     return build.migrated(points, _patch_rows(t), "doc_id", "at").select("doc_id", "line_no", "moved")
 
 
-_STATUS = "CASE WHEN contains({0}, '|') THEN 'TABLE' WHEN length({0}) < 40 THEN 'SHORT' ELSE 'PROSE' END"
+_STATUS = "CASE WHEN contains({0}, '|') THEN 'TABLE' WHEN length({0}) % 2 = 0 THEN 'EVEN' ELSE 'ODD' END"
 
 
 @query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(string_split(regexp_replace(text, '[0-9]+', '#', 'g'), chr(10))) AS new, generate_subscripts(string_split(text, chr(10)), 1) AS no, len(string_split(text, chr(10))) AS n FROM documents)
 SELECT {_STATUS.format('line')} || ' -> ' || {_STATUS.format('new')} AS transition, sum(length(new) + (no < n)::INT)::BIGINT AS chars FROM l WHERE {_STATUS.format('line')} <> {_STATUS.format('new')} GROUP BY 1""")
 def shifted_merge(t: Tables):
-    """The raw text's ledger, moved through the corrections, against the corrected text's own."""
-    status = F.when(F.col("line").contains("|"), "TABLE").when(F.length("line") < 40, "SHORT").otherwise("PROSE").alias("label")
+    """The raw text's ledger, moved through the corrections, against the corrected text's own; a line's label follows its length."""
+    status = F.when(F.col("line").contains("|"), "TABLE").when(F.length(F.regexp_replace("line", r"\n$", "")) % 2 == 0, "EVEN").otherwise("ODD").alias("label")
     docs = t.documents.where("text is not null")
     old = ledger.lines(docs, "doc_id", "text").where("end > start").select("doc_id", "start", status)
     moved = build.migrated(old.withColumn("at", F.col("start")), _patch_rows(t), "doc_id", "at").select("doc_id", F.col("moved").alias("start"), "label")

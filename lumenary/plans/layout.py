@@ -38,12 +38,12 @@ def block_assembly(t: Tables):
     return layout.blocks(lines, ["p_brand", "p_type"]).withColumn("sha", F.sha2("text", 256)).drop("text")
 
 
-_BOXES = "SELECT p_brand AS page, p_partkey AS id, (p_size // 5) * 5.0::DOUBLE AS x0, (p_size // 5) * 5.0::DOUBLE + p_partkey % 3 AS x1, p_retailprice::DOUBLE AS y0, p_retailprice::DOUBLE + 12 AS y1 FROM part WHERE p_partkey % 2 = 0"
+_BOXES = "SELECT p_brand AS page, p_partkey AS id, (p_size // 5) * 5.0::DOUBLE AS x0, (p_size // 5) * 5.0::DOUBLE + p_partkey % 3 AS x1, p_retailprice::DOUBLE AS y0, p_retailprice::DOUBLE + 12 AS y1 FROM part"
 
 
 def _box_rows(t: Tables):
     x = F.floor(F.col("p_size") / 5) * 5.0
-    return t.part.where("p_partkey % 2 = 0").select(
+    return t.part.select(
         F.col("p_brand").alias("page"), F.col("p_partkey").alias("id"), x.alias("x0"), (x + F.col("p_partkey") % 3).alias("x1"), F.col("p_retailprice").cast("double").alias("y0"), (F.col("p_retailprice") + 12).cast("double").alias("y1")
     )
 
@@ -121,36 +121,62 @@ def page_columns(t: Tables):
 _HEADING = "(CAST(p_partkey % 4 AS VARCHAR(9)) || '-' || CAST(p_size AS VARCHAR(9)) || CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE '. ' END || CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE 'Name of ' || lower(p_name) END)"
 
 
-@query(rf"SELECT section, count(*) AS n FROM (SELECT CASE WHEN (upper(h) = h OR p_size > 40) THEN nullif(regexp_extract(trim(h), '{classify.SECTION}', 1), '') END AS section FROM (SELECT {_HEADING} AS h, p_size FROM part)) GROUP BY section")
+@query(r"""SELECT section, count(*) AS n FROM (SELECT CASE WHEN (upper(h) = h AND lower(h) <> h) OR p_size > 40 THEN nullif(regexp_extract(trim(h), '^([0-9]{1,2}-[0-9]{1,3}(?:\.[0-9]+)*[A-Za-z]?)\.[ \t]+(.+)', 1), '') END AS section FROM (SELECT """ + _HEADING + """ AS h, p_size FROM part)) GROUP BY section""")
 def section_headings(t: Tables):
     return t.part.select(classify.section_number(F.expr(_HEADING), F.col("p_size") > 40).alias("section")).groupBy("section").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CASE WHEN c AND i THEN CASE WHEN u = 0 THEN 'COMPLETE' ELSE 'COMPLETE_WITH_UNBOXED' END WHEN c THEN CASE WHEN u = 0 THEN 'IDS_DIFFER' ELSE 'IDS_DIFFER_WITH_UNBOXED' END WHEN i THEN 'NOT_COVERED' ELSE 'NOT_COVERED_IDS_DIFFER' END AS class, count(*) AS n
- FROM (SELECT bool_and(l_quantity > 2) AS c, count(DISTINCT l_returnflag) = 1 AS i, count(*) FILTER (l_discount = 0) AS u FROM lineitem GROUP BY l_orderkey) GROUP BY 1""")
+_PATTERN = "CASE WHEN doc_id % 5 = 0 THEN '[A-Za-z]+' ELSE '[^ ]+' END"
+_BOX = "CASE doc_id % 4 WHEN 0 THEN CASE WHEN (start {div} 24) % 3 < 2 THEN concat('b', (start {div} 24) % 3) END WHEN 1 THEN 'b0' WHEN 3 THEN concat('b', start {div} 24) END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS n FROM d),
+r AS (SELECT doc_id, n, line, doc_id % 7 = 0 AND n % 4 = 0 AS corrected FROM e WHERE line <> ''),
+h AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN regexp_extract_all(line, '[A-Za-z]+') ELSE regexp_extract_all(line, '[^ ]+') END AS h, CASE WHEN doc_id % 5 = 0 THEN string_split_regex(line, '[A-Za-z]+') ELSE string_split_regex(line, '[^ ]+') END AS g FROM r),
+w AS (SELECT doc_id, n, line, corrected, unnest(h) AS word, generate_subscripts(h, 1) AS i, h, g FROM h),
+s AS (SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start FROM w),
+b AS (SELECT *, {_BOX.format(div='//')} AS box FROM s),
+c AS (SELECT doc_id, n, any_value(corrected) AS corrected, any_value(length(regexp_replace(line, '[ \t]', '', 'g'))) = sum(length(word)) AND any_value(line) NOT SIMILAR TO '.*[\x0b\f\r].*' AS complete, count(DISTINCT box) AS boxes, count(*) FILTER (box IS NULL) AS unboxed FROM b GROUP BY doc_id, n)
+SELECT r.doc_id, CASE WHEN r.corrected THEN 'CORRECTION_REGION_REQUIRES_REVIEWED_COORDINATES' WHEN NOT coalesce(complete, trim(r.line) = '') THEN 'INCOMPLETE_EXACT_WORD_MAPPING' WHEN coalesce(boxes, 0) = 0 THEN 'NO_CLOSED_RECTANGLE_MATCH' WHEN unboxed > 0 THEN 'BOX_AND_UNBOXED_TEXT'
+ WHEN boxes > 1 THEN 'MULTIPLE_RECTANGLES' ELSE 'SINGLE_RECTANGLE' END AS class, count(*) AS n FROM r LEFT JOIN c USING (doc_id, n) GROUP BY ALL""")
 def review_classes(t: Tables):
-    r = t.lineitem.groupBy("l_orderkey").agg(F.bool_and(F.col("l_quantity") > 2).alias("c"), (F.countDistinct("l_returnflag") == 1).alias("i"), F.count_if(F.col("l_discount") == 0).alias("u"))
-    return r.select(classify.review_class(F.col("c"), F.col("i"), F.col("u")).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    """Lines by how their words lie in rectangles, worked out from the words."""
+    from ..functions.text import matches
+
+    lines = ledger.lines(t.documents, "doc_id", "text").withColumn("line", F.regexp_replace("line", r"\n$", "")).where("line <> ''").select("doc_id", F.concat_ws(":", "doc_id", "line_no").alias("ref"), F.col("line").alias("text"), ((F.col("doc_id") % 7 == 0) & (F.col("line_no") % 4 == 0)).alias("corrected"))
+    found = F.when(F.col("doc_id") % 5 == 0, matches(F.col("text"), "[A-Za-z]+")).otherwise(matches(F.col("text"), "[^ ]+"))
+    words = lines.select("doc_id", "ref", F.inline(found)).select("ref", "start", (F.col("start") + F.length("token")).alias("end"), F.expr(_BOX.format(div="div")).alias("box"))
+    classes = layout.word_classes(lines, words)
+    return lines.select("doc_id", "ref").join(classes, "ref").groupBy("doc_id", "class").agg(F.count("*").alias("n"))
 
 
 _C = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
 
 
-@query(f"""SELECT status, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 11 = 0 THEN 'OUTSIDE' WHEN contains({_C.format('p_name')}, a) THEN 'NATIVE' WHEN contains({_C.format('p_type')}, a) THEN 'TABLE' WHEN contains({_C.format('p_brand')}, a) THEN 'OCR' ELSE 'NOT_FOUND' END AS status
- FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')[1:4] WHEN 1 THEN regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g')[2:6] WHEN 2 THEN regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') ELSE 'zzz' END AS a FROM part)) GROUP BY status""")
+@query(f"""SELECT status, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 11 = 0 THEN 'OUTSIDE_INDEX_SCOPE' WHEN a <> '' AND contains({_C.format('p_name')}, a) THEN 'NATIVE_ANCHOR_FOUND' WHEN a <> '' AND contains({_C.format('p_type')}, a) THEN 'TABLE_ANCHOR_FOUND' WHEN a <> '' AND contains({_C.format('p_brand')}, a) THEN 'OCR_ANCHOR_FOUND_REVIEW_REQUIRED' ELSE 'ANCHOR_NOT_FOUND_REVIEW_REQUIRED' END AS status
+ FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')[1:4] WHEN 1 THEN regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g')[2:6] WHEN 2 THEN regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') ELSE CASE WHEN p_size % 2 = 0 THEN 'zzz' ELSE '' END END AS a FROM part)) GROUP BY status""")
 def anchor_statuses(t: Tables):
     from ..functions.text import compact
 
     c = F.col
-    anchor = F.when(c("p_partkey") % 4 == 0, F.substring(compact(c("p_name")), 1, 4)).when(c("p_partkey") % 4 == 1, F.substring(compact(c("p_type")), 2, 5)).when(c("p_partkey") % 4 == 2, c("p_brand")).otherwise("Z.Z z")
+    anchor = F.when(c("p_partkey") % 4 == 0, F.substring(compact(c("p_name")), 1, 4)).when(c("p_partkey") % 4 == 1, F.substring(compact(c("p_type")), 2, 5)).when(c("p_partkey") % 4 == 2, c("p_brand")).otherwise(F.when(c("p_size") % 2 == 0, "Z.Z z").otherwise(" - "))
     return t.part.select(classify.anchor_status(c("p_partkey") % 11 != 0, anchor, c("p_name"), c("p_type"), c("p_brand")).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("""WITH l AS (SELECT p_retailprice % 792 AS y, p_type LIKE '%STANDARD%' AS furniture FROM part)
-SELECT CASE WHEN (y < 792 * 0.09::DOUBLE OR y >= 792 * 0.85::DOUBLE) AND furniture THEN 'REMOVED' ELSE 'KEPT' END AS state, count(*) AS n FROM l GROUP BY 1""")
+_MARGIN = "CASE p_partkey % 7 WHEN 0 THEN 'TM 9 -2320- 280-20-1' WHEN 1 THEN concat(' 2-', p_size, ' ') WHEN 2 THEN 'Change 1' WHEN 3 THEN concat('  ', p_name) WHEN 4 THEN '   ' WHEN 5 THEN concat('3-', p_size, '/(3-', p_size, ' Blank)') ELSE p_name END"
+
+
+@query(rf"""WITH l AS (SELECT p_partkey, {_MARGIN} AS t, p_retailprice * 7 % 792 AS y FROM part),
+r AS (SELECT *, trim(t) AS b, y + 10 < 792 * 0.09::DOUBLE OR y > 792 * 0.85::DOUBLE AS margin FROM l),
+k AS (SELECT *, CASE WHEN margin AND b <> '' AND (regexp_matches(b, '^TM\s+9\s*-\s*2320\s*-\s*280\s*-\s*20\s*-\s*1$') OR regexp_matches(regexp_replace(b, '\s', '', 'g'), '^Change[12]$') OR regexp_matches(regexp_replace(b, '\s', '', 'g'), '^[123]-[0-9]+(/\([123]-[0-9]+Blank\))?$')) THEN 'recognized_margin' WHEN b <> t THEN 'outer_whitespace' END AS rule FROM r)
+SELECT coalesce(rule, 'KEPT') AS rule, count(*) AS n, count(*) FILTER (b <> '' AND rule IS DISTINCT FROM 'recognized_margin') AS kept FROM k GROUP BY 1""")
 def margin_removal(t: Tables):
-    kept, gone = layout.margins(t.part, F.col("p_retailprice") % 792, F.lit(792), F.col("p_type").like("%STANDARD%"))
-    return kept.select(F.lit("KEPT").alias("state")).union(gone.select(F.lit("REMOVED"))).groupBy("state").agg(F.count("*").alias("n"))
+    """Lines that go from the margins, lines that lose blanks, and the others."""
+    y = F.col("p_retailprice") * 7 % 792
+    lines = t.part.select("p_partkey", F.expr(_MARGIN).alias("text"), y.alias("y0"), (y + 10).alias("y1"))
+    kept, changes = layout.cleaned(lines, F.lit(792))
+    every = lines.select("p_partkey").join(changes.select("p_partkey", "rule"), "p_partkey", "left").join(kept.select("p_partkey", F.lit(1).alias("kept")), "p_partkey", "left")
+    return every.groupBy(F.coalesce("rule", F.lit("KEPT")).alias("rule")).agg(F.count("*").alias("n"), F.count("kept").alias("kept"))
 
 
 @query("""SELECT doc_id, length(regexp_replace(text, '[A-Za-z]+|[ \t\n\r\f\x0b]', '', 'g')) AS uncovered FROM documents""")

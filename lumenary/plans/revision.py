@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..functions.text import redact
-from ..operators import checks, ledger
+from ..operators import checks, evidence, ledger, recovery
 from ..streaming.rollups import unfinished
 from .registry import Tables, query
 from .retrieval import _RECALL, _recalls
@@ -109,3 +109,50 @@ def label_of_largest(t: Tables):
 def resumable_work(t: Tables):
     done = t.lineitem.where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
     return unfinished(t.orders.select("o_orderkey"), done, "o_orderkey")
+
+
+def judged(t: Tables):
+    """(attempts, claims, sources, metrics): a conversation's turns are its sources, and its claims. The first attempt of a stage names
+    another source, the second cuts quotes to two lines of the text, the third turns these round."""
+    c = F.col
+    turns = t.conversations.where("text is not null").select(c("conv_id").alias("key"), c("turn"), c("text"), F.split("text", r"\s+").alias("w"))
+    span = lambda a, n: F.array_join(F.slice(c("w"), a, n), " ")
+    both = {1: F.concat(span(2, 4), F.lit("\n"), span(9, 4)), 2: F.concat(span(2, 4), F.lit("\n"), span(9, 4)), 3: F.concat(span(9, 4), F.lit("\n"), span(2, 4))}
+    rows = None
+    for n, cut in both.items():
+        quote = F.when(c("turn") % 3 == 0, cut).otherwise(span(1, 3))
+        ids = F.array(F.when(F.lit(n) == 1, F.concat(F.lit("T"), c("turn") + 1000)).otherwise(F.concat(F.lit("T"), "turn")))
+        own = turns.select("key", F.struct("turn", F.concat(F.lit("claim "), "turn").alias("statement"), (c("turn") % 2 == 0).cast("int").alias("verdict"), ids.alias("evidence_ids"), F.array(quote).alias("evidence_quotes")).alias("s"))
+        own = own.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("l")).select("key", F.lit("faithfulness").alias("stage"), F.lit(n).alias("attempt"), F.transform("l", lambda s: s.dropFields("turn")).alias("statements"))
+        rows = own if rows is None else rows.unionByName(own)
+    attempts = rows.withColumns({"error": F.when(c("key") % 10 == 9, "OTHER").otherwise("UNVERIFIABLE_SOURCE_QUOTE"), "complete": ~((c("key") % 7 == 3) & (c("attempt") == 2)), "intact": F.lit(True)})
+    claims = turns.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("claim "), "turn").alias("s")))).alias("l"))
+    claims = claims.select("key", F.transform("l", lambda x: F.when(c("key") % 11 == 5, F.upper(x["s"])).otherwise(x["s"])).alias("claims"))
+    sources = turns.select("key", F.lit("faithfulness").alias("stage"), F.concat(F.lit("T"), "turn").alias("source_id"), "text")
+    metrics = claims.select("key", F.explode(F.array(F.lit("faithfulness"), F.lit("relevance"))).alias("metric")).withColumns({"value": F.when(c("metric") == "relevance", 0.5), "status": F.when(c("metric") == "relevance", "OK").otherwise("ERROR")})
+    return attempts, claims, sources, metrics
+
+
+@query()
+def recovered_stages(t: Tables):
+    """Metrics once stages have been recovered from attempts with quotes put right; the search for a quote isn't SQL."""
+    attempts, claims, sources, metrics = judged(t)
+    stages, _ = recovery.recover(attempts, claims, sources)
+    return recovery.corrected(metrics, stages).join(stages.select("key", F.col("stage").alias("metric"), "attempt", "n_changes"), ["key", "metric"], "left")
+
+
+_COVER = """SELECT question, min(len(list_distinct(list_concat(coalesce(a, []), coalesce(b, []), coalesce(d, []))))) AS size FROM (SELECT DISTINCT question FROM {0}) LEFT JOIN (SELECT question, c AS a FROM {0} WHERE grp = 0) USING (question)
+ LEFT JOIN (SELECT question, c AS b FROM {0} WHERE grp = 1) USING (question) LEFT JOIN (SELECT question, c AS d FROM {0} WHERE grp = 2) USING (question) GROUP BY question"""
+
+
+@query(f"""WITH e AS (SELECT DISTINCT l_orderkey AS question, l_suppkey % 3 AS grp, l_linenumber % 2 AS combo, l_partkey AS chunk FROM lineitem),
+n AS (SELECT * FROM e WHERE NOT (question % 6 = 1 AND combo = 1) UNION SELECT DISTINCT question, grp, 9, -1 FROM e WHERE question % 4 = 0 UNION SELECT question, grp, combo, -2 FROM e WHERE question % 6 = 1 AND combo = 1),
+o AS (SELECT question, grp, combo, list(chunk) AS c FROM e GROUP BY ALL), m AS (SELECT question, grp, combo, list(chunk) AS c FROM n GROUP BY ALL),
+x AS ({_COVER.format('o')}), y AS ({_COVER.format('m')})
+SELECT x.question, x.size AS before, y.size AS after, CASE WHEN x.question % 6 = 1 AND x.question % 4 = 0 THEN 'ADDED_AND_REPLACED' WHEN x.question % 4 = 0 THEN 'ADDED' WHEN x.question % 6 = 1 AND EXISTS (SELECT 1 FROM e WHERE e.question = x.question AND combo = 1) THEN 'REPLACED' END AS change FROM x LEFT JOIN y USING (question)""")
+def gold_revision_cover(t: Tables):
+    """The least number of chunks that suffice before and after combinations were added and replaced."""
+    old = t.lineitem.select(F.col("l_orderkey").alias("question"), (F.col("l_suppkey") % 3).alias("grp"), (F.col("l_linenumber") % 2).alias("combo"), F.col("l_partkey").alias("chunk")).distinct()
+    added = old.where("question % 4 = 0").select("question", "grp", F.lit(9).alias("combo"), F.lit(-1).cast("long").alias("chunk")).distinct()
+    replaced = old.where("question % 6 = 1 and combo = 1").select("question", "grp", "combo", F.lit(-2).cast("long").alias("chunk")).distinct()
+    return evidence.revision(old, added, replaced)

@@ -39,11 +39,13 @@ def quotes_in_source(t: Tables):
 
 
 @query(r"""WITH d AS (SELECT item_id, text, string_split(text, '') AS c FROM benchmark), h AS (SELECT item_id, unnest(c) AS ch, generate_subscripts(c, 1) - 1 AS pos FROM d),
-k AS (SELECT *, regexp_full_match(ch, '\s') AS ws, lag(regexp_full_match(ch, '\s')) OVER w AS before, max(CASE WHEN NOT regexp_full_match(ch, '\s') THEN pos END) OVER (PARTITION BY item_id) AS last, min(CASE WHEN NOT regexp_full_match(ch, '\s') THEN pos END) OVER (PARTITION BY item_id) AS first FROM h WINDOW w AS (PARTITION BY item_id ORDER BY pos))
-SELECT item_id, count(*) AS n, sum(pos)::BIGINT AS places FROM k WHERE pos BETWEEN first AND last AND NOT (ws AND coalesce(before, false)) GROUP BY item_id""")
+k AS (SELECT *, regexp_full_match(ch, '\s') AS ws, lag(regexp_full_match(ch, '\s')) OVER w AS before, max(CASE WHEN NOT regexp_full_match(ch, '\s') THEN pos END) OVER (PARTITION BY item_id) AS last, min(CASE WHEN NOT regexp_full_match(ch, '\s') THEN pos END) OVER (PARTITION BY item_id) AS first FROM h WINDOW w AS (PARTITION BY item_id ORDER BY pos)),
+m AS (SELECT *, coalesce(min(CASE WHEN NOT ws THEN pos END) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), pos + 1) AS next FROM k)
+SELECT item_id, count(*) AS n, sum(pos)::BIGINT AS places, sum(CASE WHEN ws THEN next ELSE pos + 1 END)::BIGINT AS ends FROM m WHERE pos BETWEEN first AND last AND NOT (ws AND coalesce(before, false)) GROUP BY item_id""")
 def normal_positions(t: Tables):
     rows = t.benchmark.select("item_id", diffs.norm_positions("text").alias("n"))
-    return rows.select("item_id", F.size("n.starts").cast("long").alias("n"), F.aggregate("n.starts", F.lit(0).cast("long"), lambda a, x: a + x).alias("places")).where("n > 0")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("item_id", F.size("n.starts").cast("long").alias("n"), total("n.starts").alias("places"), total("n.ends").alias("ends")).where("n > 0")
 
 
 _UNIT = "CASE p_partkey % 4 WHEN 0 THEN 'psi_kPa' WHEN 1 THEN 'in_mm' WHEN 2 THEN 'lb_kg' ELSE 'unknown' END"
@@ -81,7 +83,7 @@ def sequence_ids(t: Tables):
     return numbered(t.documents.select("source", "doc_id"), ["source", "doc_id"], "at").select(F.format_string("C%06d", F.col("at") + 1).alias("chunk"), "doc_id")
 
 
-@query("""SELECT sum((regexp_matches(p, '^[A-Za-z0-9._/-]+$') AND NOT starts_with(p, '/') AND NOT regexp_matches(p, '(^|/)\\.\\.(/|$)'))::INT)::BIGINT AS safe_paths, sum(regexp_matches(split_part(p, '/', 1), '^[a-z0-9][a-z0-9-]*$')::INT)::BIGINT AS safe_names, count(*) AS n
+@query("""SELECT sum((regexp_matches(p, '^[A-Za-z0-9._/-]+$') AND NOT starts_with(p, '/') AND NOT regexp_matches(p, '(^|/)\\.\\.(/|$)'))::INT)::BIGINT AS safe_paths, sum(regexp_matches(split_part(p, '/', 1), '^[a-z0-9][a-z0-9-]{1,80}$')::INT)::BIGINT AS safe_names, count(*) AS n
  FROM (SELECT CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^[a-z]+://', '') ELSE 'a/../' || page_id END AS p FROM pages)""".replace("\\\\", "\\"))
 def path_safety(t: Tables):
     url = F.col("url")
