@@ -27,8 +27,8 @@ def holdout_guard_anti(t: Tables):
 @query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM benchmark)
 SELECT doc_id, item_id FROM d, b WHERE contains(d.t, b.t)""")
 def benchmark_containment(t: Tables):
-    """The passages' anchors, a few words of each, are looked for in the texts while these are scanned; a text goes no
-    further than that row, and containment is decided there."""
+    """The passages' anchors, a few words of each, are looked for in the texts while these are scanned; only the pieces that a
+    passage fills go further."""
     return contained(t.documents, t.benchmark, "doc_id", "item_id")
 
 

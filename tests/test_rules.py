@@ -134,6 +134,42 @@ def test_smallest_container_and_containment(spark):
     assert contained(texts, items.limit(0), "doc", "item").count() == 0
 
 
+def test_containment_in_passes(spark, monkeypatch):
+    """Literals of all lengths, cut within words, repeated and nearly the same, in one pass and in several."""
+    from lumenary.operators import passages
+
+    rng = random.Random(8)
+    words = ["a", "bb", "é", "pump", "valve", "international", "x-1"]
+    texts = [(i, rng.choice(["  ", ""]) + rng.choice([" ", "\n", " \t"]).join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for i in range(120)] + [(500, None), (501, "")]
+    plain = {i: " ".join((t or "").split()) for i, t in texts}
+    items = []
+    for j in range(150):
+        t = plain[rng.randrange(120)]
+        a = rng.randrange(len(t) + 1)
+        piece = t[a : a + rng.choice([1, 3, 8, 20, 60])]
+        items.append((j, piece if rng.random() < 0.8 else piece + "!"))
+    items += [(900, items[0][1]), (901, ""), (902, None)]
+    want = sorted((i, j) for i, t in texts if t is not None for j, p in items if p is not None and " ".join(p.split()) and " ".join(p.split()) in plain[i])
+    d, p = spark.createDataFrame(texts, "doc long, text string").repartition(3), spark.createDataFrame(items, "item long, text string")
+    assert sorted(map(tuple, contained(d, p, "doc", "item").collect())) == want and len(want) > 500
+    monkeypatch.setattr(passages, "PASS_ITEMS", 30)
+    monkeypatch.setattr(passages, "SHORT_CHARS", 100)
+    assert sorted(map(tuple, contained(d, p, "doc", "item").collect())) == want
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    from lumenary.operators import topk
+
+    rng = random.Random(6)
+    vectors = [(i, [round(rng.gauss(0, 1), 1) for _ in range(3)]) for i in range(120)]
+    df = spark.createDataFrame(vectors, "id long, v array<double>").repartition(3)
+    one = sorted(map(tuple, topk.exact_top_k(df, df, 4).collect()))
+    monkeypatch.setattr(topk, "QUERIES", 25)
+    assert sorted(map(tuple, topk.exact_top_k(df, df, 4).collect())) == one and len(one) == 480
+    want = sorted(((-round(sum(a * b for a, b in zip(vectors[7][1], v)), 9), i) for i, v in vectors))[:4]
+    assert [(q, r, i) for q, r, i, _ in one if q == 7] == [(7, n + 1, i) for n, (_, i) in enumerate(want)]
+
+
 def test_min_cover(spark):
     import itertools
 
