@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: Rows sent to a Python worker at once and bytes of a row group, both small so that memory stays low with long texts.
 BATCH_ROWS, GROUP_BYTES = 1_000, 16 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -50,9 +52,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    for paths in getattr(_recording, "lists", ()):
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_recording = threading.local()
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Lists the paths of the tables that this thread materializes meanwhile."""
+    lists = _recording.__dict__.setdefault("lists", [])
+    lists.append(paths := [])
+    try:
+        yield paths
+    finally:
+        lists[:] = [x for x in lists if x is not paths]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def remainder(key: str, n: int):
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
