@@ -234,7 +234,8 @@ class Parser:
         return out
 
     def _counted(self, texts_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        counts, sizes, letters = np.zeros((len(texts_), len(self.langs)), np.int64), np.zeros(len(texts_), np.int64), np.zeros(len(texts_), bool)
+        counts, sizes = np.zeros((len(texts_), len(self.langs)), np.int64), np.zeros(len(texts_), np.int64)
+        letters = np.array([any(map(str.isalpha, t)) for t in texts_], bool)  # marks alone are no letters
         for some in _portions(texts_):
             states, gap = np.zeros((len(some), len(self.langs)), np.int32), True
             for at in range(0, max(len(texts_[i]) for i in some) or 1, PORTION):  # a text beyond that goes on in its state
@@ -242,7 +243,6 @@ class Parser:
                 found, states = self.phrases(parts, states)
                 counts[some] += found
                 sizes[some] += [len(p) for p in parts]
-                letters[some] |= [bool(p.any()) for p in parts]
                 gap = not (len(parts[0]) and parts[0][-1])
         return counts, sizes, letters
 

@@ -512,6 +512,8 @@ def test_language_scripts():
     said = lang_id.Parser(sample).judge([_HAN[100:600], _HANGUL[5:80], "мягких булок чаю", "the lazy fox sleeps", _HAN[:300] + " the dog", "ᎠᎡᎢᎣᎤᎥ" * 20, "?", None or ""])
     assert [x[0] for x in said[:5]] == ["zh", "ko", "ru", "en", "zh"] and said[6][0] == said[7][0] == "und"
     assert said[5][4] and not any(x[4] for x in said[:4])
+    marks = lang_id.Parser(sample).judge(["\u0301\u0302", "12 \u0301!", "e\u0301"])  # marks alone are no letters
+    assert [x[0] == "und" for x in marks] == [True, True, False]
 
 
 def test_language_sample_is_bounded(spark):
