@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from . import greedy
+from ..sources.io import cut_lineage
+from . import closure, greedy
 from .intervals import as_of
 
 
@@ -95,18 +96,32 @@ def merged_rules(rules: DataFrame, key: str, within: float = 4.0) -> DataFrame:
 
 
 def distinct_boxes(boxes: DataFrame, page: str, within: float = 4.0) -> DataFrame:
-    """page, id of the boxes that are kept in order of id: those of which no kept one is within ``within`` on every side."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for r in pdf.sort_values("id").itertuples():
-            box = (r.x0, r.y0, r.x1, r.y1)
-            if not any(max(abs(a - b) for a, b in zip(box, k[1])) < within for k in kept):
-                kept.append((r.id, box))
-        return pd.DataFrame({page: pdf[page].iloc[0], "id": [k[0] for k in kept]})
-
-    kinds = {c: boxes.schema[c].dataType.simpleString() for c in (page, "id")}
-    return boxes.select(page, "id", "x0", "y0", "x1", "y1").groupBy(page).applyInPandas(run, f"{page} {kinds[page]}, id {kinds['id']}")
+    """page, id of the boxes that are kept in order of id: those of which no kept one is within ``within`` on every side.
+
+    Of equal boxes the first decides for all. The others meet in cells as wide as the rule, and those that are near each other
+    are served in order, in rounds over all pages at once; no page comes into one task.
+    """
+    sides = ["x0", "y0", "x1", "y1"]
+    first = cut_lineage(boxes.groupBy(page, *sides).agg(F.min("id").alias("id")))
+    cell = lambda c: F.floor(F.col(c) / within)
+    around = lambda c: F.explode(F.array(*[cell(c) + d for d in (-1, 0, 1)]))
+    one = first.select(page, F.col("id").alias("u"), *[F.col(c).alias(f"a{c}") for c in sides]).withColumn("__x", around("ax0")).withColumn("__y", around("ay0"))
+    other = first.withColumn("__x", cell("x0")).withColumn("__y", cell("y0")).withColumnRenamed("id", "v")
+    near = one.join(other, [page, "__x", "__y"]).where("u < v")
+    for c in sides:
+        near = near.where(F.abs(F.col(f"a{c}") - F.col(c)) < within)
+    rivals = near.select(page, "u", "v", F.struct(page, "u", "v").alias("item"))
+    claims = cut_lineage(rivals.select(F.struct(page, F.col("u").alias("id")).alias("ref"), F.col("u").alias("place"), "item").unionByName(rivals.select(F.struct(page, F.col("v").alias("id")).alias("ref"), F.col("v").alias("place"), "item")))
+    asked = claims.select("ref").distinct()
+    free = first.select(F.struct(page, "id").alias("ref")).join(asked, "ref", "left_anti")
+    return free.unionByName(closure.first_come(claims).select("ref")).select("ref.*")
+
+
+def adjacent_runs(words: Column) -> Column:
+    """The number of runs in an array of (kind, near): a word goes on with the run before if it is near it and of the same kind."""
+    start = F.struct(F.lit(None).cast("boolean").alias("kind"), F.lit(0).cast("long").alias("n"))
+    done = F.aggregate(words, start, lambda a, w: F.struct(w["kind"].alias("kind"), (a["n"] + F.when(w["near"] & a["kind"].eqNullSafe(w["kind"]), 0).otherwise(1)).cast("long").alias("n")))
+    return done["n"]
 
 
 def linked(rows: DataFrame, key: str, order: list[str], row: str) -> DataFrame:

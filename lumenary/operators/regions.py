@@ -13,6 +13,7 @@ BAND_LABELS, BAND_APART, BAND_SLACK = ["KNOWN INFO", "TEST OPTIONS"], 15.0, 6.0
 COLUMN_RANK = ["left", "centre", "right", "wide", "unknown", "cross_column"]
 PANEL_HEADINGS = ["KNOWN INFO", "POSSIBLE PROBLEMS", "CONTINUITY (RESISTANCE)", "BATTERY VOLTAGE", "MULTIMETER"]
 HEADING_LENGTH, HEADING_GAP, HEADING_SHIFT, PANEL_WIDTH = 85, 18.0, 55.0, 50.0
+PROTECTED_CAPTION = r"(?i)WHEN CHECKING|DISCONNECT NEGATIVE|MAKING CONTINUITY|ALL CIRCUITS MUST RETURN|Figure\s+\d+\."
 CARD_MIDDLE, UNBOXED_MIDDLE, SEGMENT_GAP = 340.0, 335.0, 15.0
 
 
@@ -165,3 +166,13 @@ def spatial_groups(lines: DataFrame, zones: DataFrame, spans: DataFrame, rectang
     tops = moved.groupBy("page", "group", "segment").agg(F.min(_or_zero("y0")).alias("__top"))
     ranked = tops.withColumn("rank", F.row_number().over(W.partitionBy("page").orderBy("__top", "group", "segment"))).drop("__top")
     return moved.join(ranked, ["page", "group", "segment"])
+
+
+def in_figures(lines: DataFrame, figures: DataFrame, claimed: DataFrame) -> DataFrame:
+    """line, figure_id of the lines (page, line, text, x0, y0, x1, y1) that are parts of a figure (page, figure_id, x0, y0, x1, y1): the
+    middle lies in it, the sides at most 3 outside; of several the smallest. Blank lines, warnings and captions, lines
+    without a box and claimed lines are none."""
+    asked = lines.where((F.trim("text") != "") & F.col("x0").isNotNull() & ~F.col("text").rlike(PROTECTED_CAPTION)).join(claimed.select("line").distinct(), "line", "left_anti")
+    points = asked.select("page", "line", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), F.col("x0").alias("lx0"), F.col("x1").alias("lx1"))
+    inside = (F.col("lx0") >= F.col("x0") - 3) & (F.col("lx1") <= F.col("x1") + 3)
+    return grid.smallest_holding(points, figures, ["page"], "line", F.col("cx"), F.col("cy"), 0.0, 0.0, inside, "figure_id").drop("area")

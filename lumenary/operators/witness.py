@@ -3,12 +3,12 @@
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.io import cut_lineage
-from . import grid, layout, ledger
+from . import closure, grid, layout, ledger
 
 # How far two boxes have to overlap to be compared, and the least length of a text that proves the reverse.
 ACROSS, DOWN, LEAST_REVERSE = 0.45, 0.5, 4
@@ -118,22 +118,6 @@ def _within(pieces: DataFrame, spans: DataFrame) -> DataFrame:
     return layout.contain_join(outer, pieces.select("record", "ref", F.col("start").alias("b0"), F.col("end").alias("b1")), ["record"], 1_000)
 
 
-def _first_come(claims: DataFrame) -> DataFrame:
-    """Of claims (ref, place, item), the refs that get all their items if refs are served by place and an item is given once.
-
-    In rounds: a ref with no open rival before it on any of its items is served, and open rivals of the served are turned away."""
-    open_, served = cut_lineage(claims), None
-    while open_.limit(1).count():
-        first = F.min(F.struct("place", "ref")).over(W.partitionBy("item"))
-        ready = open_.withColumn("mine", F.struct("place", "ref") == first).groupBy("ref").agg(F.bool_and("mine").alias("ready")).where("ready").select("ref")
-        won = cut_lineage(ready)
-        served = won if served is None else served.union(won)
-        taken = open_.join(won, "ref", "left_semi").select("item").distinct()
-        lost = open_.join(taken, "item", "left_semi").select("ref").distinct()
-        open_ = cut_lineage(open_.join(lost, "ref", "left_anti"))
-    return served if served is not None else claims.select("ref")
-
-
 def select(pieces: DataFrame, claims: DataFrame, represented: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pieces with outcome, proofs): which layer's pieces are chosen, which stand for others, and which need review.
 
@@ -165,7 +149,7 @@ def select(pieces: DataFrame, claims: DataFrame, represented: DataFrame, decisio
     exact = asked.where("found is not null").select("ref", F.lit("EXACT_ALTERNATIVE_TEXT").alias("reason"), F.col("found").alias("parts"))
     order = rows.select("ref", F.struct("page", "record", "start").alias("place"))
     backed = asked.where("found is null and reverse is not null").select("ref", F.explode("reverse").alias("r")).select("ref", F.col("r.ref").alias("item"), F.col("r.parts").alias("parts"))
-    served = cut_lineage(_first_come(backed.select("ref", "item").join(order, "ref")))
+    served = cut_lineage(closure.first_come(backed.select("ref", "item").join(order, "ref")))
     fragments = backed.join(served, "ref", "left_semi").select(F.col("item").alias("ref"), F.lit("NATIVE_FRAGMENT_IN_IMAGE_TEXT").alias("reason"), "parts")
     proofs = by_claim.unionByName(exact).unionByName(fragments)
     named = lambda df, name: df.select("ref", F.lit(name).alias("late"))

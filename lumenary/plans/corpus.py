@@ -224,7 +224,7 @@ def list_endpoint_page(t: Tables):
     match = (F.lower("text").contains("the") | F.col("doc_id").cast("string").contains("7")) & F.col("source").isin("src1", "src2", "src3") & (F.col("lang") == "en")
     found = t.documents.where(match)
     page = found.select("doc_id", F.substring("text", 1, 180).alias("preview")).orderBy("doc_id").offset(10).limit(20)
-    return page.join(found.agg(F.count("*").alias("total")))
+    return page.withColumn("total", F.lit(found.count()))
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..operators import closure, greedy, intervals, layout, ledger
+from ..operators import closure, greedy, layout, ledger
 from .corpus import _DAYS, _spans
 from .registry import Tables, query
 
@@ -67,19 +67,13 @@ f AS (SELECT *, regexp_matches(w, '[0-9]') AS kind FROM e),
 k AS (SELECT *, i = 1 OR kind <> lag(kind) OVER (PARTITION BY conv_id, turn, role ORDER BY i) OR NOT regexp_full_match(gap, '[ \t]+') AS starts FROM f)
 SELECT conv_id, turn, role, count(*) AS n_words, count(*) FILTER (starts) AS n_runs FROM k GROUP BY ALL""")
 def adjacent_runs(t: Tables):
-    """Words of one kind that only blanks part, and no line end, are one run."""
-    from ..functions.text import matches
-
-    key = F.concat_ws("/", "conv_id", "turn", "role").alias("at")
-    words = t.conversations.select("conv_id", "turn", "role", key, "text", F.posexplode(matches(F.col("text"), "[A-Za-z]+|[0-9]+")).alias("i", "m"))
-    words = words.select("conv_id", "turn", "role", "at", "text", "i", F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.token")).alias("end"), F.col("m.token").rlike("[0-9]").alias("kind"))
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("at").orderBy("i")
-    gap = F.expr("substring(text, before + 1, start - before)")
-    rows = words.withColumn("before", F.lag("end").over(w)).withColumn("was", F.lag("kind").over(w)).withColumn("starts", F.col("before").isNull() | (F.col("kind") != F.col("was")) | ~gap.rlike(r"^[ \t]+$"))
-    runs = intervals.islands(rows.drop("text"), "at", ["i"], F.col("starts"))
-    return runs.groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n_words"), F.max("island").cast("long").alias("n_runs"))
+    """Words of one kind that only blanks part, and no line end, are one run; counted within each row, whose text goes nowhere."""
+    pattern = "[A-Za-z]+|[0-9]+"
+    hits, between = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1)), F.split("text", pattern)
+    words = F.transform(F.arrays_zip(hits.alias("word"), F.slice(between, 1, F.size(hits)).alias("gap")), lambda x: F.struct(x["word"].rlike("[0-9]").alias("kind"), x["gap"].rlike(r"^[ \t]+$").alias("near")))
+    return t.conversations.select("conv_id", "turn", "role", words.alias("w")).where("size(w) > 0").select("conv_id", "turn", "role", F.size("w").alias("n"), layout.adjacent_runs(F.col("w")).alias("runs")).groupBy("conv_id", "turn", "role").agg(
+        F.sum("n").alias("n_words"), F.sum("runs").alias("n_runs")
+    )
 
 
 @query("""WITH RECURSIVE c AS (SELECT p_brand, min(p_retailprice) AS anchor FROM part GROUP BY p_brand

@@ -171,3 +171,16 @@ def layer_selection(t: Tables):
     """What becomes of each piece of two layers, with the number of parts that prove it; the search for witnesses isn't SQL."""
     done, proofs = witness.select(*layers(t))
     return done.join(proofs.select("ref", F.size("parts").alias("n_parts")), "ref", "left").select("page", "layer", "record", "start", "outcome", "n_parts")
+
+
+_CAPTION = "CASE p_partkey % 9 WHEN 0 THEN concat('figure  ', p_size, '. of it') WHEN 1 THEN concat('When checking ', p_name) WHEN 2 THEN '  ' ELSE p_name END"
+
+
+@query(f"""WITH l AS (SELECT l.* REPLACE ({_CAPTION} AS text) FROM ({_DUCK}) l JOIN part ON p_partkey = line), f AS (SELECT page, 'F' || line AS figure_id, x0 - 20 AS a0, y0 - 30 AS b0, x0 + 200 AS a1, y0 + 120 AS b1 FROM l WHERE line % 10 = 3 AND x0 IS NOT NULL)
+SELECT line, (SELECT arg_min(figure_id, {{'a': (a1 - a0) * (b1 - b0), 'f': figure_id}}) FROM f WHERE f.page = l.page AND (x0 + x1) / 2 BETWEEN a0 AND a1 AND (y0 + y1) / 2 BETWEEN b0 AND b1 AND x0 >= a0 - 3 AND x1 <= a1 + 3) AS figure_id
+FROM l WHERE trim(text) <> '' AND line % 12 <> 0 AND NOT regexp_matches(text, '(?i)when checking|figure\\s+[0-9]+\\.') AND figure_id IS NOT NULL""")
+def figure_exclusion(t: Tables):
+    """Lines that are labels within figures, but for captions, warnings and what is claimed."""
+    rows = lines(t).join(t.part.select(F.col("p_partkey").alias("line"), F.expr(_CAPTION).alias("caption")), "line").withColumn("text", F.col("caption")).drop("caption")
+    figures = rows.where("line % 10 = 3 and x0 is not null").select("page", F.concat(F.lit("F"), "line").alias("figure_id"), (F.col("x0") - 20).alias("x0"), (F.col("y0") - 30).alias("y0"), (F.col("x0") + 200).alias("x1"), (F.col("y0") + 120).alias("y1"))
+    return regions.in_figures(rows, figures, rows.where("line % 12 = 0"))

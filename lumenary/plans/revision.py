@@ -1,11 +1,12 @@
 """Queries on revisions: gates, sensitivity, derived results, claims, reviews, ledgers' errors, matches and segments."""
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import boxes
 from ..functions.text import redact
-from ..operators import checks, evidence, ledger, recovery
+from ..operators import checks, evidence, grid, ledger, recovery
 from ..streaming.rollups import unfinished
 from .registry import Tables, query
 from .retrieval import _RECALL, _recalls
@@ -86,10 +87,11 @@ def unique_match_join(t: Tables):
 SELECT a.page, a.box_id AS one, c.box_id AS other FROM b a JOIN b c ON a.page = c.page AND a.box_id < c.box_id
 WHERE greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) / greatest(1, least(a.x1 - a.x0, c.x1 - c.x0)) >= 0.7 AND greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) / greatest(1, least(a.y1 - a.y0, c.y1 - c.y0)) >= 0.55""")
 def spatial_overlap_pairs(t: Tables):
-    b = t.part.groupBy(F.col("p_brand").alias("page"), F.col("p_type").alias("box_id")).agg(boxes.box(F.min("p_size"), F.min("p_retailprice"), F.max("p_size"), F.max("p_retailprice")).alias("box"))
-    pairs = b.select("page", F.col("box_id").alias("one"), F.col("box").alias("x")).join(b.select("page", F.col("box_id").alias("other"), F.col("box").alias("y")), "page").where("one < other")
-    across, down = boxes.overlap(F.col("x"), F.col("y"))
-    return pairs.where((across >= 0.7) & (down >= 0.55)).select("page", "one", "other")
+    sides = {"x0": F.min("p_size"), "y0": F.min("p_retailprice"), "x1": F.max("p_size"), "y1": F.max("p_retailprice")}
+    b = t.part.groupBy(F.col("p_brand").alias("page"), F.col("p_type").alias("box_id")).agg(*[v.cast("double").alias(c) for c, v in sides.items()])
+    side = lambda p, name: b.select("page", F.col("box_id").alias(name), *[F.col(c).alias(p + c) for c in sides])
+    pairs = grid.overlapping(side("a", "one"), side("b", "other"), ["page"], math.nextafter(0.7, 0), math.nextafter(0.55, 0))  # at least these shares
+    return pairs.where("one < other").select("page", "one", "other")
 
 
 @query("""WITH e AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events)

@@ -51,6 +51,24 @@ def write_text(records: DataFrame, path: str, header: str, body: str) -> None:
     records.select(F.concat(F.col(header), F.lit("\n"), F.col(body)).alias("value")).write.mode("errorifexists").text(path)
 
 
+def manifest(df: DataFrame, part: str, columns: list[str]) -> DataFrame:
+    """part, rows, digest: for each part its rows and the digest of these columns, whatever the order of rows. Repeated rows count in
+    pairs in an exclusive or, so sums of hashes go into it too."""
+    row = F.sha2(F.to_json(F.struct(*columns)), 256)
+    word = lambda i: F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("long")
+    parts = [F.bit_xor(word(i)).cast("string") for i in range(2)] + [F.sum(word(i).cast("decimal(38,0)")).cast("string") for i in (2, 3)]
+    return df.groupBy(part).agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("|", *parts), 256).alias("digest"))
+
+
+def against_manifest(df: DataFrame, frozen: DataFrame, part: str, columns: list[str]) -> DataFrame:
+    """part, state: SAME, CHANGED, MISSING or UNEXPECTED against a manifest."""
+    now = manifest(df, part, columns).withColumnsRenamed({part: "__part", "rows": "__rows", "digest": "__digest"})
+    both = frozen.join(now, F.col(part).eqNullSafe(F.col("__part")), "full_outer")
+    same = (F.col("rows") == F.col("__rows")) & (F.col("digest") == F.col("__digest"))
+    state = F.when(F.col("__rows").isNull(), "MISSING").when(F.col("rows").isNull(), "UNEXPECTED").when(same, "SAME").otherwise("CHANGED")
+    return both.select(F.coalesce(part, "__part").alias(part), state.alias("state"))
+
+
 def extend(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old rows as they are, and the new rows whose key is not there yet."""
     return old.unionByName(new.join(old.select(key), key, "left_anti"))

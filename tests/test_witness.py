@@ -4,7 +4,7 @@ import random
 import re
 from collections import defaultdict
 
-from lumenary.operators import grid, projection, witness
+from lumenary.operators import closure, grid, projection, witness
 from lumenary.plans import pages
 from lumenary.plans.registry import Tables
 
@@ -137,5 +137,5 @@ def test_selection_equals_the_plain_rule(spark, sf_dir):
 def test_first_come_in_a_chain(spark):
     """Rivals in a long chain: every second one is served."""
     claims = [(f"r{i:03d}", i, item) for i in range(41) for item in (i, i + 1)]
-    got = {r.ref for r in witness._first_come(spark.createDataFrame(claims, "ref string, place int, item int")).collect()}
+    got = {r.ref for r in closure.first_come(spark.createDataFrame(claims, "ref string, place int, item int")).collect()}
     assert got == {f"r{i:03d}" for i in range(0, 41, 2)}
