@@ -46,6 +46,10 @@ BAD_LAST = frozenset("ad ads advert adverts advertisement banner nav navbar navi
 BAD_HEADERS = frozenset("site page global top main".split())
 GOOD_NAMES = frozenset("article article-body article-content content main main-content post post-body post-content story story-body entry entry-content body-text".split())
 NAME_BAD, NAME_DOUBTFUL, NAME_GOOD, HIDDEN = -8.0, -3.0, 2.0, -12.0
+#: An element whose own markup says this or less stands for itself: what favours the landmarks around it doesn't reach into it.
+APART = -8.0
+#: A form around prose is no form: characters in paragraphs of PROSE or more, to each control and one more.
+CONTROLS, PROSE, PROSE_A_CONTROL = frozenset("input select textarea button".split()), 80, 100
 #: What the classifier's weights are before it has seen a page: constant, length, share of linked text, sentence end, points
 #: and commas, paragraph, heading, list item or cell, copyright line, capitalised words.
 PRIOR = np.array([-0.5, 2.5, -5.0, 0.3, 0.5, 1.2, 1.0, -0.2, -6.0, -0.2])
@@ -58,15 +62,16 @@ SMOOTH = 1.2
 _NEXT = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?/])")
 _ATTRIBUTES = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+|["'])*+""")
 _ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
+_SHORT_COMMENT, _COMMENT_END = re.compile("-?>"), re.compile("--!?>")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
 
 
 class Block:
-    __slots__ = ("own", "parts", "node", "links", "weight", "chars")
+    __slots__ = ("own", "parts", "node", "links", "weight", "chars", "form")
 
-    def __init__(self, node: int, own: str, weight: float):
-        self.node, self.own, self.weight = node, own, weight
+    def __init__(self, node: int, own: str, weight: float, form: int | None):
+        self.node, self.own, self.weight, self.form = node, own, weight, form
         self.parts: list[str] = []
         self.links = self.chars = 0
 
@@ -127,6 +132,8 @@ def blocks(page: str) -> tuple[list[tuple[str, Block]], Tree]:
     """(text, block) in page order, and their elements; markup, comments, scripts and styles are gone, character references
     decoded. Text of formulas, drawings and fallbacks (math, svg, object, canvas) is text like other."""
     stack: list[tuple[str, int, float]] = []  # tag, block element, weight so far
+    forms: list[int] = []  # the open forms
+    controls: list[int] = []  # of each form
     opened: dict[str, int] = {}
     tree, out = Tree(), []
     current: Block | None = None
@@ -140,7 +147,7 @@ def blocks(page: str) -> tuple[list[tuple[str, Block]], Tree]:
             if not s.strip():
                 return
             node = stack[-1][1] if stack else 0
-            current = Block(node, tree.tag[node], stack[-1][2] if stack else 0.0)
+            current = Block(node, tree.tag[node], stack[-1][2] if stack else 0.0, forms[-1] if forms else None)
             out.append(current)
         current.parts.append(s)
         size = len(s.strip())
@@ -153,6 +160,8 @@ def blocks(page: str) -> tuple[list[tuple[str, Block]], Tree]:
         for t, _, _ in stack[down_to:]:
             opened[t] -= 1
             links -= t == "a"
+            if t == "form":
+                forms.pop()
         del stack[down_to:]
 
     def nearest(tags, barriers) -> int:
@@ -174,9 +183,8 @@ def blocks(page: str) -> tuple[list[tuple[str, Block]], Tree]:
         if m.start() > at:
             text(page[at : m.start()])
         if m[3]:
-            short = re.compile("-?>").match(page, m.end())
-            end = short.end() if short else page.find("-->", m.end()) + 3
-            at = n if end < 3 else end
+            end = _SHORT_COMMENT.match(page, m.end()) or _COMMENT_END.search(page, m.end())
+            at = end.end() if end else n
             continue
         if m[2] is None:
             end = page.find(">", m.end())
@@ -193,6 +201,9 @@ def blocks(page: str) -> tuple[list[tuple[str, Block]], Tree]:
             if opened.get(tag):
                 close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
+        if tag in CONTROLS:
+            for form in forms:
+                controls[form] += 1
         if tag in _RAW:
             end = _END[tag].search(page, at)
             shut = page.find(">", end.end()) if end else -1
@@ -212,9 +223,15 @@ def blocks(page: str) -> tuple[list[tuple[str, Block]], Tree]:
         if tag in _VOID:
             continue
         node, weight = (stack[-1][1], stack[-1][2]) if stack else (0, 0.0)
-        weight += TAG_WEIGHT.get(tag, 0.0)
+        own = 0.0
+        if tag == "form":  # what it weighs is known when all of it has been read
+            forms.append(len(controls))
+            controls.append(0)
+        else:
+            own = TAG_WEIGHT.get(tag, 0.0)
         if attributes:
-            weight += _attributes_weight(tag, attributes)
+            own += _attributes_weight(tag, attributes)
+        weight = own + (min(0.0, weight) if own <= APART else weight)
         links += tag == "a"
         opened[tag] = opened.get(tag, 0) + 1
         stack.append((tag, tree.add(node, tag) if tag in _BLOCK else node, weight))
@@ -223,6 +240,13 @@ def blocks(page: str) -> tuple[list[tuple[str, Block]], Tree]:
         s = " ".join("".join(b.parts).split())
         if s:
             found.append((s, b))
+    prose = [0] * len(controls)
+    for s, b in found:
+        if b.form is not None and len(s) >= PROSE and b.own in ("p", "blockquote"):
+            prose[b.form] += len(s)
+    for _, b in found:
+        if b.form is not None and prose[b.form] <= PROSE_A_CONTROL * (controls[b.form] + 1):
+            b.weight = min(0.0, b.weight) + TAG_WEIGHT["form"]
     return found, tree
 
 

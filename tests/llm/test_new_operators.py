@@ -333,3 +333,22 @@ def test_licenses_of_the_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = QUERIES["op13_license_scan"](spark, sf_dir).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in got), key=str) == plain_licenses(rows)
+
+
+# main text: wrapped forms, comments, and boxes within articles
+
+PROSE = "<p>This is a long paragraph of prose about the pump, which runs, and about valves that open and close when the pressure falls.</p>"
+
+
+@pytest.mark.parametrize("page, kept", [
+    (f"<body><form id=aspnetForm><input type=hidden><article>{PROSE * 4}</article></form></body>", 4), (f"<body><main><form><input>{PROSE * 4}</form></main></body>", 4),
+    (f"<body><article>{PROSE}<!-- x --!>{PROSE}</article></body>", 2), (f"<body><article>{PROSE}<!-->{PROSE}<!--->{PROSE}<!-- a -- b --></article></body>", 3),
+    *[(f"<body><main><article>{PROSE}<div class='{c}'>{PROSE}</div>{PROSE}</article></main></body>", 2) for c in ("ad", "comments", "cookie-notice", "newsletter", "sidebar", "promo", "related")],
+    (f"<body><main><article>{PROSE}<aside>{PROSE}</aside>{PROSE}</article></main></body>", 2), (f"<body><div class=social><main><article>{PROSE * 3}</article></main></div></body>", 3),
+    (f"<body><article>{PROSE * 2}</article><form><p>Write to us and we will answer as soon as we can, which may take a day or two of work.</p><input><input><textarea></textarea><button>Go</button></form></body>", 2),
+])
+def test_boxes_and_forms(page, kept):
+    from lumenary.llm import html_extract
+
+    text = html_extract.main_text(page)
+    assert text.split("\n") == [re.sub("</?p>", "", PROSE)] * kept
