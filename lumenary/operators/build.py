@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .intervals import as_of
+from ..functions.text import covers
+from .intervals import as_of, overlap_join
 
 
 def runs(records: DataFrame, patches: DataFrame, key: str) -> DataFrame:
@@ -35,6 +36,38 @@ def raw_spans(refs: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("precision", F.when(F.col("n_patches") > 0, "correction_region").otherwise("line_or_cell"))
 
 
+def resolved(refs: DataFrame, found: DataFrame, lines: DataFrame, regions: DataFrame, words: DataFrame, key: str, width: int = 1_000) -> DataFrame:
+    """ref, precision, n_patches, n_blocks, boxes, box: where references (ref, key, s, e, text) to corrected text are on their page.
+
+    found: runs; lines: key, r0, r1 in raw text, x0, y0, x1, y1, block; regions and words: key, start, end in corrected text and a box.
+    Regions that were reviewed count if all that lies outside of them is blank, else words whose coordinates are known if
+    that holds for them, else the lines that the raw text touches: correction_region if a correction is among it, line_or_cell if
+    not. boxes are distinct, in order of y0, x0, y1, x1; box is the one around all, null without any.
+    """
+    sides = ["x0", "y0", "x1", "y1"]
+    place = F.struct("y0", "x0", "y1", "x1").alias("b")
+    both = refs.join(found.withColumnsRenamed({"r0": "__r0", "r1": "__r1"}), key).where("greatest(s, c0) < least(e, c1)")
+    kept = F.col("patch").isNotNull()
+    raw = both.select(key, "ref", "patch", F.when(kept, F.col("__r0")).otherwise(F.col("__r0") + F.greatest(F.lit(0), F.col("s") - F.col("c0"))).alias("a0"), F.when(kept, F.col("__r1")).otherwise(F.col("__r0") + F.least(F.col("e"), F.col("c1")) - F.col("c0")).alias("a1"))
+    patched = raw.groupBy("ref").agg(F.count("patch").alias("n_patches"))
+    touched = overlap_join(raw.select(key, "ref", "a0", "a1"), lines.select(key, F.col("r0").alias("b0"), F.col("r1").alias("b1"), *sides, "block"), [key], width)
+    by_line = touched.groupBy("ref").agg(F.array_sort(F.collect_set(F.when(F.col("x0").isNotNull(), place))).alias("line_boxes"), F.countDistinct("block").alias("n_blocks"))
+
+    def within(spans: DataFrame, name: str) -> DataFrame:
+        met = overlap_join(refs.select(key, "ref", F.col("s").alias("a0"), F.col("e").alias("a1")), spans.select(key, F.col("start").alias("b0"), F.col("end").alias("b1"), *sides), [key], width)
+        own = F.struct((F.greatest("a0", "b0") - F.col("a0")).cast("int").alias("start"), (F.least("a1", "b1") - F.col("a0")).cast("int").alias("end"))
+        return met.groupBy("ref").agg(F.collect_list(own).alias(f"{name}_spans"), F.array_sort(F.collect_set(place)).alias(f"{name}_boxes"))
+
+    rows = refs.select("ref", "text").join(patched, "ref", "left").join(by_line, "ref", "left").join(within(regions, "region"), "ref", "left").join(within(words, "word"), "ref", "left")
+    whole = lambda name: F.coalesce(covers(F.col("text"), F.col(f"{name}_spans")), F.lit(False))
+    tiers = [(whole("region"), "reviewed_pdf_region", "region"), (whole("word"), "frozen_word_coordinates", "word"), (F.col("n_patches") > 0, "correction_region", "line"), (F.lit(True), "line_or_cell", "line")]
+    first = lambda value: F.coalesce(*[F.when(c, value(name, kind)) for c, name, kind in tiers])
+    placed = rows.withColumn("precision", first(lambda name, kind: F.lit(name))).withColumn("boxes", first(lambda name, kind: F.coalesce(f"{kind}_boxes", F.array().cast(rows.schema["line_boxes"].dataType))))
+    end = lambda f, c: f(F.transform("boxes", lambda b: b[c]))
+    box = F.when(F.size("boxes") > 0, F.struct(end(F.array_min, "x0").alias("x0"), end(F.array_min, "y0").alias("y0"), end(F.array_max, "x1").alias("x1"), end(F.array_max, "y1").alias("y1")))
+    return placed.select("ref", "precision", F.coalesce("n_patches", F.lit(0)).alias("n_patches"), F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), "boxes", box.alias("box"))
+
+
 def migrated(points: DataFrame, patches: DataFrame, key: str, at: str) -> DataFrame:
     """The points with ``moved``: where a raw position comes to lie once all patches that end at or before it are applied."""
     w = W.partitionBy(key).orderBy("end").rowsBetween(W.unboundedPreceding, 0)

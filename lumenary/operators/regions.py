@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify
 from . import greedy, grid
+from .intervals import as_of
 from .schedule import numbered
 
 # Labels that begin a band and how far apart bands are, columns by rank, headings of panels, distances in points.
@@ -176,3 +177,27 @@ def in_figures(lines: DataFrame, figures: DataFrame, claimed: DataFrame) -> Data
     points = asked.select("page", "line", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), F.col("x0").alias("lx0"), F.col("x1").alias("lx1"))
     inside = (F.col("lx0") >= F.col("x0") - 3) & (F.col("lx1") <= F.col("x1") + 3)
     return grid.smallest_holding(points, figures, ["page"], "line", F.col("cx"), F.col("cy"), 0.0, 0.0, inside, "figure_id").drop("area")
+
+
+def prose_units(lines: DataFrame) -> DataFrame:
+    """page, section, kind, column, band, region, first_start, n_lines, reviews: units of a page's text, from lines (page, kind, record, layer,
+    start, text, bold, x0, y0, x1, y1).
+
+    A line belongs to the last section heading at or above its top; within a section lines are grouped into regions. Each region is a
+    unit (kind prose) whose boundary is for review, and its structure too if a line of it comes from OCR; lines across
+    columns or without a box are for review and no unit (kind none). A heading whose section has no lines is a unit by itself.
+    """
+    numbered_ = lines.withColumn("number", classify.section_number(F.col("text"), F.col("bold"))).withColumn("__y", _or_zero("y0"))
+    heads = numbered_.where("number is not null").select("page", "__y", F.struct("start", F.col("number").alias("section")).alias("head"), "start", "layer")
+    body = numbered_.where("number is null").drop("number")
+    dated = as_of(body, heads.select("page", "__y", "head"), "page", "__y", "head").withColumn("section", F.col("last_head.section")).drop("last_head", "__y")
+    whole = F.to_json(F.struct("page", "section"))
+    apart = grouped(dated.select(F.struct("page", "section").alias("of"), whole.alias("page"), "kind", "record", "layer", "start", "text", "x0", "y0", "x1", "y1"))
+    regions_ = apart.groupBy("of", "region").agg(F.first("column").alias("column"), F.first("band").alias("band"), F.min_by("start", "place").alias("first_start"), F.count("*").alias("n_lines"), F.bool_or(F.col("layer") == "ocr").alias("ocr"))
+    alone = F.col("column").isin("cross_column", "unknown")
+    reviews = F.when(alone, "CROSS_REGION_TEXT").when(F.col("ocr"), "STRUCTURE_BOUNDARY,OCR_REGION_STRUCTURE").otherwise("STRUCTURE_BOUNDARY")
+    prose = regions_.select("of.page", "of.section", F.when(alone, "none").otherwise("prose").alias("kind"), "column", "band", "region", "first_start", "n_lines", reviews.alias("reviews"))
+    bare = heads.select("page", "head.section", "start").join(prose.select("page", "section").where("section is not null").distinct(), ["page", "section"], "left_anti")
+    none = F.lit(None).cast("string")
+    single = bare.select("page", "section", F.lit("heading").alias("kind"), none.alias("column"), F.lit(None).cast("int").alias("band"), F.lit(None).cast("int").alias("region"), F.col("start").alias("first_start"), F.lit(1).cast("long").alias("n_lines"), none.alias("reviews"))
+    return prose.unionByName(single)

@@ -233,6 +233,26 @@ def span_references(t: Tables):
     return build.raw_spans(refs, found, "doc_id")
 
 
+_PLACED = "CASE WHEN no % 10 = 4 THEN 'reviewed_pdf_region' WHEN no % 10 = 7 AND no % 20 <> 7 THEN 'frozen_word_coordinates' WHEN n_patches > 0 THEN 'correction_region' ELSE 'line_or_cell' END"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS r, string_split(regexp_replace(text, '[0-9]+', '#', 'g'), chr(10)) AS c FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(r) AS raw, unnest(c) AS line, generate_subscripts(c, 1) - 1 AS no FROM d), k AS (SELECT *, len(regexp_extract_all(raw, '[0-9]+')) AS n_patches FROM l WHERE line <> ''), p AS (SELECT *, {_PLACED} AS precision FROM k)
+SELECT doc_id || ':' || no AS ref, precision, n_patches, 1::BIGINT AS n_blocks, 1 AS n_boxes, CASE WHEN precision LIKE '%region' AND no % 10 = 4 THEN 30.0 WHEN precision LIKE 'frozen%' THEN 45.0 ELSE 40.0 END::DOUBLE AS x0, (no * 12)::DOUBLE AS y0 FROM p""")
+def placed_references(t: Tables):
+    """Lines of the corrected text on their page: by reviewed regions, by words, or by the raw lines that they come from."""
+    c = F.col
+    docs = t.documents.where("text is not null")
+    found = build.runs(docs.select("doc_id", F.length("text").alias("length")), _patch_rows(t), "doc_id")
+    side = lambda x: [F.lit(x).alias("x0"), (c("line_no") * 12.0).alias("y0"), F.lit(240.0).alias("x1"), (c("line_no") * 12.0 + 10).alias("y1")]
+    raw = ledger.lines(docs, "doc_id", "text").where("end > start").select("doc_id", c("start").alias("r0"), (c("start") + F.length(F.regexp_replace("line", "\\n$", ""))).alias("r1"), c("line_no").alias("block"), *side(40.0))
+    rows = ledger.lines(docs.withColumn("text", F.regexp_replace("text", "[0-9]+", "#")), "doc_id", "text").withColumn("line", F.regexp_replace("line", "\\n$", "")).where("line <> ''")
+    refs = rows.select(F.concat_ws(":", "doc_id", "line_no").alias("ref"), "doc_id", c("start").alias("s"), (c("start") + F.length("line")).alias("e"), c("line").alias("text"))
+    span = lambda df, x: df.select("doc_id", "start", (c("start") + F.length("line") - F.when(c("line_no") % 20 == 7, 1).otherwise(0)).alias("end"), *side(x))
+    placed = build.resolved(refs, found, raw, span(rows.where("line_no % 10 = 4"), 30.0), span(rows.where("line_no % 10 = 7"), 45.0), "doc_id")
+    return placed.select("ref", "precision", "n_patches", "n_blocks", F.size("boxes").alias("n_boxes"), "box.x0", "box.y0")
+
+
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[0-9]+', '#', 'g'), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, no - 1 AS line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS moved FROM l""")
 def reference_migration(t: Tables):

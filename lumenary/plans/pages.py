@@ -184,3 +184,26 @@ def figure_exclusion(t: Tables):
     rows = lines(t).join(t.part.select(F.col("p_partkey").alias("line"), F.expr(_CAPTION).alias("caption")), "line").withColumn("text", F.col("caption")).drop("caption")
     figures = rows.where("line % 10 = 3 and x0 is not null").select("page", F.concat(F.lit("F"), "line").alias("figure_id"), (F.col("x0") - 20).alias("x0"), (F.col("y0") - 30).alias("y0"), (F.col("x0") + 200).alias("x1"), (F.col("y0") + 120).alias("y1"))
     return regions.in_figures(rows, figures, rows.where("line % 12 = 0"))
+
+
+_SECTIONED = "CASE WHEN p_partkey % 23 = 4 THEN concat('2-', p_size, '. CHECK THE PUMP') WHEN p_partkey % 29 = 3 THEN concat('3-', p_size, '.1. Bold heading') WHEN p_partkey % 7 = 0 THEN 'KNOWN INFO' WHEN p_partkey % 11 = 0 THEN 'TEST OPTIONS' ELSE p_name END"
+_NUMBER = "regexp_extract(text, '^([0-9]{1,2}-[0-9]{1,3}(?:\\.[0-9]+)*)\\. ', 1)"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT l.* REPLACE ({_SECTIONED} AS text) FROM ({_DUCK}) l JOIN part ON p_partkey = line), n AS (SELECT *, nullif({_NUMBER}, '') AS number, coalesce(y0, 0) AS y, coalesce(x0, 0) AS x FROM l),
+h AS (SELECT page, number, y, start FROM n WHERE number IS NOT NULL), d AS (SELECT n.*, (SELECT arg_max(h.number, {{'y': h.y, 's': h.start}}) FROM h WHERE h.page = n.page AND h.y <= n.y) AS section FROM n WHERE number IS NULL),
+g AS (SELECT *, page || '/' || coalesce(section, '-') AS part FROM d), m AS (SELECT DISTINCT part, round(y0, 1) AS y FROM g WHERE text IN ('KNOWN INFO', 'TEST OPTIONS') AND y0 IS NOT NULL),
+b AS (SELECT part, min(y) AS y FROM m GROUP BY part UNION ALL SELECT b.part, (SELECT min(y) FROM m WHERE m.part = b.part AND m.y - b.y > 15) FROM b WHERE b.y IS NOT NULL),
+c AS (SELECT *, {_BUCKET} AS bucket FROM g),
+k AS (SELECT *, CASE WHEN kind = 'diagnostic_flowchart' AND NOT bucket IN ('unknown', 'cross_column') AND y0 <> 0 THEN (SELECT count(*) FROM b WHERE b.part = c.part AND b.y <= c.y0 + 6) ELSE 0 END AS band FROM c),
+o AS (SELECT *, concat(bucket, '/', band, CASE WHEN bucket IN ('unknown', 'cross_column') THEN concat('/', record, '/', start) ELSE '' END) AS region_key,
+ CASE bucket WHEN 'left' THEN 0 WHEN 'centre' THEN 1 WHEN 'right' THEN 2 WHEN 'wide' THEN 3 WHEN 'unknown' THEN 4 WHEN 'cross_column' THEN 5 ELSE 0 END AS rank FROM k),
+p AS (SELECT *, row_number() OVER (PARTITION BY part, region_key ORDER BY y, x, start) AS place FROM o),
+r AS (SELECT page, section, bucket, band, min(start) FILTER (place = 1) AS first_start, count(*) AS n_lines, bool_or(layer = 'ocr') AS ocr, row_number() OVER (PARTITION BY part ORDER BY min(y), min(rank), min(start) FILTER (place = 1)) AS region FROM p GROUP BY part, page, section, bucket, band, region_key)
+SELECT page, section, CASE WHEN bucket IN ('unknown', 'cross_column') THEN 'none' ELSE 'prose' END AS kind, bucket AS "column", band, region, first_start, n_lines,
+ CASE WHEN bucket IN ('unknown', 'cross_column') THEN 'CROSS_REGION_TEXT' WHEN ocr THEN 'STRUCTURE_BOUNDARY,OCR_REGION_STRUCTURE' ELSE 'STRUCTURE_BOUNDARY' END AS reviews FROM r
+UNION ALL SELECT page, number, 'heading', NULL, NULL, NULL, start, 1, NULL FROM h WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.page = h.page AND r.section = h.number)""")
+def sectioned_units(t: Tables):
+    """Units of prose by section and region, with what is for review."""
+    texts = t.part.select(F.col("p_partkey").alias("line"), F.expr(_SECTIONED).alias("said"), (F.col("p_partkey") % 29 == 3).alias("bold"))
+    return regions.prose_units(lines(t).join(texts, "line").withColumn("text", F.col("said")).drop("said"))

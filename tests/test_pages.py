@@ -171,3 +171,49 @@ def test_spatial_groups_of_the_table(spark, sf_dir):
     named = regions.segments(regions.spatial_names(*args)).collect()
     check_groups(named, regions.spatial_groups(*args).collect())
     assert {g.split("-")[0] for g in {r.group for r in named}} >= {"callout", "span", "reviewed", "card", "rect", "native", "unboxed"}
+
+
+# references on pages, and units
+
+
+def test_references_resolve_to_boxes(spark):
+    """Reviewed regions before words before lines; a region that leaves a letter uncovered doesn't count; no line has no box."""
+    from lumenary.operators import build
+
+    refs = [("plain", "r", 0, 5, "one a"), ("fixed", "r", 6, 11, "two #"), ("region", "r", 12, 17, "three"), ("half", "r", 18, 22, "four"), ("words", "r", 23, 28, "f ive"), ("both", "r", 0, 11, "one a\ntwo #"), ("none", "s", 0, 3, "far")]
+    runs = [("r", 0, 10, 0, 10, None), ("r", 10, 11, 10, 14, "p1"), ("r", 11, 28, 14, 31, None), ("s", 0, 3, 0, 3, None)]
+    lines = [("r", 0, 5, 1.0, 10.0, 50.0, 20.0, 1), ("r", 6, 14, 1.0, 20.0, 60.0, 30.0, 2), ("r", 15, 20, 1.0, 30.0, 50.0, 40.0, 3), ("r", 21, 25, 1.0, 40.0, 50.0, 50.0, 4), ("r", 26, 31, 1.0, 50.0, 50.0, 60.0, 4)]
+    box = "x0 double, y0 double, x1 double, y1 double"
+    frames = [
+        (refs, "ref string, k string, s int, e int, text string"), (runs, "k string, c0 int, c1 int, r0 int, r1 int, patch string"), (lines, f"k string, r0 int, r1 int, {box}, block int"),
+        ([("r", 12, 17, 5.0, 5.0, 6.0, 6.0), ("r", 18, 21, 7.0, 7.0, 8.0, 8.0)], f"k string, start int, end int, {box}"), ([("r", 23, 24, 2.0, 2.0, 3.0, 3.0), ("r", 25, 28, 4.0, 1.0, 9.0, 3.0)], f"k string, start int, end int, {box}"),
+    ]
+    got = {r.ref: (r.precision, r.n_patches, r.n_blocks, len(r.boxes), tuple(r.box) if r.box else None) for r in build.resolved(*[spark.createDataFrame(*f) for f in frames], "k", 8).collect()}
+    assert got == {
+        "plain": ("line_or_cell", 0, 1, 1, (1, 10, 50, 20)), "fixed": ("correction_region", 1, 1, 1, (1, 20, 60, 30)), "region": ("reviewed_pdf_region", 0, 1, 1, (5, 5, 6, 6)), "half": ("line_or_cell", 0, 1, 1, (1, 40, 50, 50)),
+        "words": ("frozen_word_coordinates", 0, 1, 2, (2, 1, 9, 3)), "both": ("correction_region", 1, 2, 2, (1, 10, 60, 30)), "none": ("line_or_cell", 0, 0, 0, None),
+    }
+
+
+def test_prose_units(spark):
+    """A heading without lines is a unit, a line across columns is none, and sections don't share regions."""
+    kind = "diagnostic_flowchart"
+    rows = [
+        (1, kind, "r", "native", 0, "before", False, 10.0, 5.0, 100.0, 9.0), (1, kind, "r", "native", 1, "1-1. FIRST", False, 10.0, 10.0, 100.0, 19.0), (1, kind, "r", "ocr", 2, "left", False, 10.0, 20.0, 100.0, 29.0),
+        (1, kind, "r", "native", 3, "across", False, 10.0, 30.0, 400.0, 39.0), (1, kind, "r", "native", 4, "1-2. EMPTY", False, 10.0, 40.0, 100.0, 49.0), (1, kind, "r", "native", 5, "1-3. Third", True, 10.0, 50.0, 100.0, 59.0), (1, kind, "r", "native", 6, "left", False, 10.0, 60.0, 100.0, 69.0),
+        (2, "other", "q", "native", 0, "no box", False, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "page int, kind string, record string, layer string, start int, text string, bold boolean, x0 double, y0 double, x1 double, y1 double")
+    got = sorted(((r.page, r.section, r.kind, r.column, r.first_start, r.n_lines, r.reviews) for r in regions.prose_units(df).collect()), key=str)
+    assert got == sorted([
+        (1, None, "prose", "left", 0, 1, "STRUCTURE_BOUNDARY"), (1, "1-1", "prose", "left", 2, 1, "STRUCTURE_BOUNDARY,OCR_REGION_STRUCTURE"), (1, "1-1", "none", "cross_column", 3, 1, "CROSS_REGION_TEXT"),
+        (1, "1-2", "heading", None, 4, 1, None), (1, "1-3", "prose", "left", 6, 1, "STRUCTURE_BOUNDARY"), (2, None, "none", "unknown", 0, 1, "CROSS_REGION_TEXT"),
+    ], key=str)
+
+
+def test_figures_leave_captions(spark):
+    figures = spark.createDataFrame([(1, "big", 0.0, 0.0, 200.0, 200.0), (1, "small", 0.0, 0.0, 100.0, 100.0), (2, "other", 0.0, 0.0, 100.0, 100.0)], "page int, figure_id string, x0 double, y0 double, x1 double, y1 double")
+    lines = [(1, 1, "label", 10.0, 10.0, 50.0, 20.0), (1, 2, "figure 3. It", 10.0, 10.0, 50.0, 20.0), (1, 3, "When CHECKING it", 10.0, 10.0, 50.0, 20.0), (1, 4, " ", 10.0, 10.0, 50.0, 20.0), (1, 5, "wide", 90.0, 10.0, 104.0, 20.0), (1, 6, "claimed", 10.0, 10.0, 50.0, 20.0), (1, 7, "out", 190.0, 10.0, 206.0, 20.0), (1, 8, "edge", -3.0, 10.0, 103.0, 20.0), (3, 9, "label", 10.0, 10.0, 50.0, 20.0), (1, 10, "no box", None, None, None, None)]
+    df = spark.createDataFrame(lines, "page int, line int, text string, x0 double, y0 double, x1 double, y1 double")
+    got = {r.line: r.figure_id for r in regions.in_figures(df, figures, df.where("line = 6")).collect()}
+    assert got == {1: "small", 5: "big", 8: "small"}
