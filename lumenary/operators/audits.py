@@ -42,6 +42,21 @@ def blinded(rows: DataFrame, key: str, seed: str = "42") -> DataFrame:
     return numbered(h, ["h", key], "at").withColumn("blind_id", F.format_string("A%03d", F.col("at") + 1)).drop("h", "at")
 
 
+def blinded_strata(rows: DataFrame, key: str, kind: str, quotas: dict[str, int | None], seed: str = "42") -> tuple[DataFrame, DataFrame]:
+    """(sheet, keys): of each kind the first ``quotas[kind]`` rows in the order of a seeded hash, all where that is None; other kinds
+    have none. The sheet has blind ids in the order of another hash, and neither key nor kind; the keys are kept apart."""
+    from .schedule import numbered
+
+    hashed = lambda name: F.sha2(F.concat_ws("|", F.lit(name), F.lit(seed), F.col(key).cast("string")), 256)
+    quota = F.coalesce(*[F.when(F.col(kind) == k, F.lit((1 << 62) if n is None else n)) for k, n in quotas.items()], F.lit(0))
+    asked = rows.withColumn("__q", quota).where("__q > 0").withColumn("__h", hashed("draw"))
+    placed = numbered(asked, [kind, "__h", key], "__n")
+    first = placed.groupBy(kind).agg(F.min("__n").alias("__f"))
+    drawn = placed.join(first, kind).where(F.col("__n") - F.col("__f") < F.col("__q")).drop("__q", "__h", "__n", "__f").withColumn("__b", hashed("blind"))
+    blind = numbered(drawn, ["__b", key], "__at").withColumn("blind_id", F.format_string("A%03d", F.col("__at") + 1)).drop("__b", "__at")
+    return blind.drop(key, kind), blind.select("blind_id", key, kind)
+
+
 def page_of(rows: DataFrame, order: list, offset: int, limit: int = 50) -> DataFrame:
     """A page of a list: offset 0 or more, limit clamped to 1..100."""
     if offset < 0:

@@ -15,13 +15,13 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str = "n") -> Dat
     row's number is its place in its part and the count of the rows in earlier parts, of which there is one a task.
     """
     spark = rows.sparkSession
-    tied = rows.withColumn("__t", F.monotonically_increasing_id())
-    dealt = tied.repartitionByRange(*order, "__t").sortWithinPartitions(*order, "__t").drop("__t")
-    placed = cut_lineage(dealt.withColumn("__i", F.monotonically_increasing_id()))
-    part, at = F.shiftright("__i", 33), F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted(placed.groupBy(part.alias("__p")).agg(F.count("*").alias("c")).collect())
-    offsets = spark.createDataFrame([(r[0], sum_before) for r, sum_before in zip(sizes, accumulate((r.c for r in sizes), initial=0))], "__p long, __b long")
-    return placed.withColumn("__p", part.cast("long")).withColumn("__at", at).join(offsets, "__p").withColumn(name, F.col("__b") + F.col("__at")).drop("__p", "__at", "__b", "__i")
+    tied = rows.withColumn("__num_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(*order, "__num_tie").sortWithinPartitions(*order, "__num_tie").drop("__num_tie")
+    placed = cut_lineage(dealt.withColumn("__num_place", F.monotonically_increasing_id()))
+    part, at = F.shiftright("__num_place", 33), F.col("__num_place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted(placed.groupBy(part.alias("__num_part")).agg(F.count("*").alias("c")).collect())
+    offsets = spark.createDataFrame([(r[0], sum_before) for r, sum_before in zip(sizes, accumulate((r.c for r in sizes), initial=0))], "__num_part long, __num_before long")
+    return placed.withColumn("__num_part", part.cast("long")).withColumn("__num_at", at).join(offsets, "__num_part").withColumn(name, F.col("__num_before") + F.col("__num_at")).drop("__num_part", "__num_at", "__num_before", "__num_place")
 
 
 def paired_schedule(ids: DataFrame, rounds: int = 3, seed: str = "42") -> DataFrame:

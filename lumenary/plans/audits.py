@@ -109,6 +109,15 @@ def blinded_sample(t: Tables):
     return audits.blinded(t.nation.select("n_nationkey"), "n_nationkey")
 
 
+@query("""WITH h AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('draw|42|' || o_orderkey), o_orderkey) AS r FROM orders),
+d AS (SELECT * FROM h WHERE o_orderpriority = '1-URGENT' AND r <= 4 OR o_orderpriority = '2-HIGH' AND r <= 6 OR o_orderpriority = '5-LOW')
+SELECT printf('A%03d', row_number() OVER (ORDER BY sha256('blind|42|' || o_orderkey), o_orderkey)) AS blind_id, o_orderkey, o_orderpriority, o_totalprice FROM d""")
+def blinded_strata(t: Tables):
+    """Four of one kind, six of another and all of a third under blind ids, the sheet joined with its keys again."""
+    sheet, keys = audits.blinded_strata(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderkey", "o_orderpriority", {"1-URGENT": 4, "2-HIGH": 6, "5-LOW": None})
+    return sheet.join(keys, "blind_id")
+
+
 @query("SELECT role, count(*) AS n, round(avg(length(text)), 4) AS mean, round(median(length(text)), 4) AS median, count(*) FILTER (contains(text, '?')) AS asking FROM conversations GROUP BY role")
 def usage_descriptives(t: Tables):
     size = F.length("text")

@@ -18,7 +18,7 @@ from ..operators.schedule import numbered
 from .io import scratch
 
 TOLERANCE = 2e-6
-__all__ = ["build", "encoder", "fingerprint", "load", "scratch", "verify"]
+__all__ = ["build", "encoder", "fingerprint", "load", "progress", "scratch", "verify"]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -123,6 +123,15 @@ def build(docs: DataFrame, key: str, text: str, length: Column, encode: Callable
     return manifest
 
 
+def progress(spark: SparkSession, path: str) -> dict:
+    """How far a build has come, from its receipts: rows and batches completed, rows in all, whether the index is complete."""
+    total = _said(spark, f"{path}/state")["corpus"]["rows"] if _finished(spark, f"{path}/state") else None
+    waves = _said(spark, f"{path}/state")["waves"] if total is not None else 0
+    done = [f"{path}/receipts/wave={w}" for w in range(waves) if _finished(spark, f"{path}/receipts/wave={w}")]
+    found = spark.read.parquet(*done).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("batches")).first() if done else None
+    return {"total": total, "completed": found.rows if found else 0, "batches": found.batches if found else 0, "complete": _finished(spark, f"{path}/manifest")}
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """key, place, batch, vector, text_sha256 of a complete index."""
     if not _finished(spark, f"{path}/manifest"):

@@ -41,12 +41,16 @@ def test_killed_and_run_again(spark, docs, tmp_path):
 
     with pytest.raises(RuntimeError, match="killed"):
         built(docs, part, dying)
+    assert index.progress(spark, f"file://{tmp_path}/nothing") == {"total": None, "completed": 0, "batches": 0, "complete": False}
+    half = index.progress(spark, part)
+    assert half == {"total": 101, "completed": 8 * half["batches"], "batches": len(seen[0]) + len(seen[1]), "complete": False}
     with pytest.raises(ValueError, match="resume"):
         built(docs, part, encode)
     manifest = built(docs, part, dying, resume=True)
     assert manifest["batches_made"] + manifest["batches_reused"] == 13 and manifest["batches_reused"] == len(seen[0]) + len(seen[1])
     assert seen[2] == seen[3] and sum(len(s) for s in seen[:2] + seen[3:]) == 13 and len({b for s in seen for b in s}) == 13
     assert rows(spark, part) == rows(spark, whole)
+    assert index.progress(spark, part) == {"total": 101, "completed": 101, "batches": 13, "complete": True}
     found = rows(spark, whole)
     assert [r[0] for r in found] == sorted(i for i, _ in DOCS)
     order = sorted(DOCS, key=lambda d: (-len(d[1] or ""), d[0]))
