@@ -771,4 +771,4 @@ def test_sharding_brute(spark, sf_dir, awkward):
 
 
 def test_registered():
-    assert sorted(QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))[0].startswith("op1_") and len(QUERIES) == 10
+    assert sorted(QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))[0].startswith("op1_") and len(QUERIES) == 13
