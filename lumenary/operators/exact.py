@@ -84,7 +84,7 @@ def exact_units(rows: DataFrame, keys: list[str], value: str, bits: int = 60) ->
 # order statistics
 
 
-def percentiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, float], cells: int = 64, most: int = 100_000) -> DataFrame:
+def percentiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, float], cells: int = 64, most: int = 1_000_000) -> DataFrame:
     """keys, n and a column for each of ``points`` (name: share): percentiles with linear interpolation. Nulls are left out; a key with
     nothing else has n = 0 and nulls.
 
@@ -93,8 +93,8 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, points: dict[str,
     and again until few enough are. Borders follow the values, so neither strays nor crowds put all into one cell, and no task
     orders more than ``most`` values of a key.
     """
-    base = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
-    base = cut_lineage(base)
+    every = cut_lineage(rows.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c")))  # rows are read once
+    base = every.where("__v is not null")
     held = base.groupBy(*keys).agg(F.sum("__c").alias("n"), F.count("*").alias("__m"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     named = F.inline(F.array(*[F.struct(F.lit(name).alias("__point"), F.lit(p).alias("__p")) for name, p in points.items()]))
     place = (F.col("n") - 1) * F.col("__p")
@@ -123,7 +123,7 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, points: dict[str,
     found = last.groupBy(*whole).agg(at("__r0").alias("__x"), at("__r1").alias("__y"), F.max("__part").alias("__part"))
     mixed = found.withColumn("__q", F.col("__x") + (F.col("__y") - F.col("__x")) * F.col("__part"))
     wide = mixed.groupBy(*keys).agg(*[F.max(F.when(F.col("__point") == name, F.col("__q"))).alias(name) for name in points])
-    sizes = rows.groupBy(*keys).agg(F.count(value).alias("n"))
+    sizes = every.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("__v").isNotNull(), F.col("__c"))), F.lit(0)).alias("n"))
     return _matched(sizes, wide, keys, "left")
 
 

@@ -12,7 +12,8 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str = "n") -> Dat
     """The rows with ``name``: 0, 1, ... in this order, ties in any.
 
     Rows are dealt by range over the order and a number of their own, so that no value, however frequent, fills a task; a
-    row's number is its place in its part and the count of the rows in earlier parts, of which there is one a task.
+    row's number is its place in its part and the count of the rows in earlier parts, of which there is one a task. The ranges
+    are drawn from a first pass over the rows, so what is costly to make should have been written before.
     """
     spark = rows.sparkSession
     tied = rows.withColumn("__num_tie", F.monotonically_increasing_id())
