@@ -351,7 +351,8 @@ def token_chunks(t: Tables, file: str = "byte_bpe_50k.json", size: int = 500, ov
 
     import public_tokenizers
 
-    found = windows.unit_windows(token_units(t), "doc_id", partial(windows.bpe_counter, public_tokenizers.path(file)), size, overlap).where("error is null")
+    units = token_units(t).repartition("doc_id")  # tokenizing costs far more than the way there
+    found = windows.unit_windows(units, "doc_id", partial(windows.bpe_counter, public_tokenizers.path(file)), size, overlap).where("error is null")
     chunks = numbered(io.cut_lineage(found.drop("error")), ["doc_id", "window"], "at").withColumn("chunk", F.format_string("C%06d", F.col("at") + 1))
     lines = ledger.lines(t.documents, "doc_id", "text").select("doc_id", F.col("start").alias("b0"), F.col("end").alias("b1"))
     parts = intervals.overlap_join(chunks.select("doc_id", "chunk", F.col("start").alias("a0"), F.col("end").alias("a1")), lines, ["doc_id"], 2_000)

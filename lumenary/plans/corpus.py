@@ -1,7 +1,6 @@
 """Text, ledger, interval, window, layout and integrity queries."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import boxes, text
 from ..operators import checks, closure, greedy, intervals, ledger, windows

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import classify, diffs, text
-from ..operators import audits, evidence, exact
+from ..operators import evidence, exact
 from ..operators.schedule import numbered
 from .registry import Tables, query
 

@@ -179,6 +179,28 @@ def test_windows_of_a_real_tokenizer(name):
             assert outcomes[0] == outcomes[1], (body, prefix, size, overlap)
 
 
+def test_token_chunks_of_the_table(spark, sf_dir):
+    """The query's chunks of the shorter documents, by the plain rule, and the numbers of all."""
+    import hashlib
+
+    tokens = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from lumenary.plans.catalogue import QUERIES
+
+    model = Tokenizer.from_file(tokens.path("byte_bpe_50k.json"))
+    model.no_truncation()
+    model.no_padding()
+    model.encode_special_tokens = True
+    got = QUERIES["token_chunks"](spark, sf_dir).orderBy("chunk").collect()
+    assert [r.chunk for r in got] == [f"C{i + 1:06d}" for i in range(len(got))] and [(r.doc_id, r.window) for r in got] == sorted((r.doc_id, r.window) for r in got)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) between 1 and 1800").limit(25).collect()}
+    for doc, text in docs.items():
+        prefix = f"Document {doc}\n\n"
+        want = [(*w, hashlib.sha256((prefix + text[w[0] : w[1]]).encode()).hexdigest()) for w in plain_windows(text, prefix, model, 500, 100)]
+        assert [(r.start, r.end, r.token_count, r.overlap_tokens, r.overlap_chars, r.text_sha256) for r in got if r.doc_id == doc] == want
+
+
 def test_window_time_is_linear():
     """A window costs the same anywhere in a long text: the counter is never given more than a few windows at once."""
     longest, spans = [0], lambda s: [m.span() for m in re.finditer(r"\S+", s)]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenary.functions import classify, diffs, text
-from lumenary.operators import audits, build, checks, closure, evidence, exact, layout, metrics
+from lumenary.operators import audits, build, checks, closure, evidence, exact, layout
 from lumenary.operators.passages import contained
 from lumenary.sources import io
 
@@ -122,8 +122,6 @@ def test_smallest_container_and_containment(spark):
     boxes = [(f"b{i}", *sorted(rng.random() * 110 for _ in range(2)), *sorted(rng.random() * 110 for _ in range(2))) for i in range(40)]
     b = spark.createDataFrame([(n, (x0, y0, x1, y1)) for n, x0, x1, y0, y1 in boxes], "box_id string, box struct<x0:double,y0:double,x1:double,y1:double>")
     p = spark.createDataFrame(pts, "p int, x double, y double")
-    from lumenary.functions import boxes as bx
-
     got = {r.p: r.box_id for r in checks.smallest_container(p, b, "p", F.col("x"), F.col("y")).collect()}
     for i, x, y in pts:
         held = [((x1 - x0) * (y1 - y0), n) for n, x0, x1, y0, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1]
