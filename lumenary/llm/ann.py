@@ -1,13 +1,15 @@
 """Approximate nearest neighbours: coarse centroids, product-quantised residuals, exact reranking.
 
-A bounded sample fits the centroids and the residual codebooks and sets how many lists to probe for the
-wanted recall. Centroids come in two levels: up to LISTS coarse ones, and, once the square root of the vectors is beyond
+A bounded sample fits the centroids and the residual codebooks. How many lists to probe for the wanted recall is measured over
+all rows: a few of the queries themselves are compared with every vector, and the lists that hold their true neighbours are
+ranked. Centroids come in two levels: up to LISTS coarse ones, and, once the square root of the vectors is beyond
 that, a second codebook of as many centroids of what the first leaves, shared by all, as keeps the number of lists
 at the square root. Every vector goes to its nearest centroid's list as a code. Lists are dealt to cells of a few
 thousand vectors: long lists (a vector that is repeated a million times) are split, short ones share a
 cell. A query visits the cells of its lists, and more lists as long as those hold fewer than k others; asymmetric
-distance tables rank each cell's codes, the best are scored again on the original vectors, and only the k best of
-a cell go on to the merge.
+distance tables rank each cell's codes, the best are scored again on the original vectors, and so is every other vector whose
+code, with what it leaves out at most, allows for as much; only the k best of a cell go on to the merge. So nothing is lost
+within the lists that are visited.
 """
 
 import math
@@ -23,6 +25,10 @@ from .common import materialize
 #: Bounds of what is fitted on the driver: vectors in the sample, centroids of a level, probe queries.
 SAMPLE, LISTS, PROBES = 16_384, 1_024, 256
 CELL, BLOCK, VISITS, SHORTLIST, RECALL = 4_096, 2_048, 64, 128, 0.99
+#: How much of a list's radius may count for it, from not at all to the bound that no inner product exceeds.
+LIFTS = (0.0, 0.1, 0.2, 0.4, 0.7, 1.0)
+#: Rounding of an inner product over the product of the lengths, with room to spare.
+ROUNDING = 1e-12
 
 
 @dataclass
@@ -34,6 +40,8 @@ class Index:
     dim: int
     k: int = 1
     sizes: np.ndarray | None = None  # vectors of each list
+    radii: np.ndarray | None = None  # the longest residual of each list
+    lift: float = 0.0
 
     @property
     def lists(self) -> int:
@@ -50,18 +58,26 @@ class Index:
         n, w = self.books.shape[0], self.books.shape[2]
         return np.pad(x, ((0, 0), (0, n * w - x.shape[1]))).reshape(len(x), n, w)
 
-    def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, the length of what each code leaves out (rounding included) and that of the residual."""
         parts = self.parts(x - self.centre(lists))
-        return np.stack([_nearest(parts[:, j], b) for j, b in enumerate(self.books)], 1).astype(np.uint8)
+        codes = np.stack([_nearest(parts[:, j], b) for j, b in enumerate(self.books)], 1).astype(np.uint8)
+        left = parts - self.books[np.arange(len(self.books)), codes]
+        slack = np.sqrt((left**2).sum((1, 2))) + ROUNDING * (np.sqrt((x**2).sum(1)) + np.sqrt((self.centre(lists) ** 2).sum(1)))
+        return codes, slack, np.sqrt((parts**2).sum((1, 2)))
 
     def scores(self, q: np.ndarray) -> np.ndarray:
         """Queries x lists: the inner products with the lists' centres."""
         return ((q @ self.centroids.T)[:, :, None] + (q @ self.inner.T)[:, None]).reshape(len(q), -1)
 
-    def probed(self, scores: np.ndarray) -> np.ndarray:
-        """For each query, which lists it visits: those whose centres have the largest inner products, ``probes`` of them, or as
-        many as hold k vectors beside its own."""
-        order = np.argsort(-scores, axis=1, kind="stable")
+    def order(self, q: np.ndarray, scores: np.ndarray, lift: float) -> np.ndarray:
+        """For each query, the lists by their centres' inner products and as much of their radii as ``lift`` says."""
+        return np.argsort(-(scores + lift * np.sqrt((q**2).sum(1))[:, None] * self.radii), axis=1, kind="stable")
+
+    def probed(self, q: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """For each query, which lists it visits: the first ``probes`` in their order, or as many as hold k vectors beside its
+        own."""
+        order = self.order(q, scores, self.lift)
         held = np.cumsum(self.sizes[order], axis=1)
         count = np.maximum(self.probes, (held < self.k + 1).sum(axis=1) + 1)
         out = np.zeros(scores.shape, bool)
@@ -70,7 +86,7 @@ class Index:
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Queries x parts x codes: the inner product of each query part with each codeword."""
-        return np.einsum("qpw,pcw->qpc", self.parts(q), self.books).astype(np.float32)
+        return np.einsum("qpw,pcw->qpc", self.parts(q), self.books)
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -90,8 +106,8 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray
     return centroids
 
 
-def fit(sample: np.ndarray, total: int, k: int, recall: float = RECALL) -> Index:
-    """Centroids, codebooks and the number of probes that finds ``recall`` of the sample's true neighbours."""
+def fit(sample: np.ndarray, total: int, k: int) -> Index:
+    """Centroids and codebooks."""
     distinct = np.unique(sample, axis=0)
     dim, wanted = sample.shape[1], math.isqrt(total)
     centroids = k_means(distinct, max(1, min(LISTS, wanted, len(distinct))))
@@ -105,18 +121,29 @@ def fit(sample: np.ndarray, total: int, k: int, recall: float = RECALL) -> Index
     cut = index.parts(distinct - index.centre(lists))
     books = [k_means(cut[:, j], 256, 6, j) for j in range(parts)]
     index.books = np.stack([np.pad(b, ((0, 256 - len(b)), (0, 0)), mode="edge") for b in books])
-    queries = distinct[np.random.default_rng(3).permutation(len(distinct))[:PROBES]]
-    needed = []
-    for q in np.array_split(queries, max(1, len(queries) * index.lists >> 22)):
-        near = np.argsort(-(q @ distinct.T), axis=1)[:, : k + 1]
-        order = np.argsort(-index.scores(q), axis=1, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(order.shape[1])[None], 1)
-        needed.append(np.take_along_axis(rank, lists[near], 1).ravel())
-    index.probes = int(np.quantile(np.concatenate(needed), recall, method="higher")) + 1 if needed else 1
     return index
 
 
+def tune(index: Index, queries: np.ndarray, held: list[np.ndarray], recall: float = RECALL) -> None:
+    """Sets the lift and the number of probes that find ``recall`` of the queries' true neighbours, which lie in the lists
+    ``held``: of all lifts the one that visits the fewest vectors."""
+    least = None
+    for lift in LIFTS:
+        needed, sizes = [], []
+        for at in range(0, len(queries), step := max(1, (1 << 22) // index.lists)):
+            q = queries[at : at + step]
+            order = index.order(q, index.scores(q), lift)
+            rank = np.empty_like(order)
+            np.put_along_axis(rank, order, np.arange(order.shape[1])[None], 1)
+            needed += [rank[i, lists] for i, lists in enumerate(held[at : at + step])]
+            sizes.append(index.sizes[order].sum(0))
+        ranks = np.concatenate(needed)
+        probes = int(np.quantile(ranks, recall, method="higher")) + 1 if len(ranks) else 1
+        cost = int(np.sum(sizes, 0)[:probes].sum())
+        if least is None or cost < least:
+            least, index.lift, index.probes = cost, lift, probes
+
+
 def vectors(table: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """id, v (array of doubles) of the vectors that take part: not null, zero, or with null or non-finite parts.
 
@@ -157,21 +184,26 @@ def _search(index: Index, k: int):
         ids, lists = own.id.to_numpy(), own.list.to_numpy()
         x = np.frombuffer(b"".join(own.raw), np.float64).reshape(len(own), index.dim)
         codes = np.frombuffer(b"".join(own.codes), np.uint8).reshape(len(own), -1)
+        slack = own.slack.to_numpy()
         q_ids = asked.id.to_numpy()
         queries = np.frombuffer(b"".join(asked.raw), np.float64).reshape(len(asked), index.dim)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(asked), 128):
             q = queries[at : at + 128]
             table, scores = index.tables(q), index.scores(q)
-            guess = scores.astype(np.float32)[:, lists]
+            guess = scores[:, lists]
             for j in range(codes.shape[1]):
                 guess += table[:, j].take(codes[:, j], axis=1)
-            guess[~index.probed(scores)[:, lists]] = -np.inf
+            guess[np.isnan(guess)] = np.inf
+            guess[~index.probed(q, scores)[:, lists]] = -np.inf
             guess[q_ids[at : at + 128, None] == ids] = -np.inf
+            most = guess + np.sqrt((q**2).sum(1))[:, None] * slack
             depth = min(max(SHORTLIST, k), len(ids))
-            least = -np.partition(-guess, depth - 1, axis=1)[:, depth - 1]
+            first = np.argpartition(-guess, depth - 1, axis=1)[:, :depth]
             for i in range(len(q)):
-                found = np.flatnonzero((guess[i] >= least[i]) & (guess[i] > -np.inf))
+                short = first[i][guess[i, first[i]] > -np.inf]
+                least = np.sort((x[short] * q[i]).sum(1))[-k] if len(short) >= k else -np.inf
+                found = np.flatnonzero(~(most[i] < least) & (guess[i] > -np.inf))
                 exact = (x[found] * q[i]).sum(1)
                 best = np.lexsort((ids[found], -exact))[:k]
                 out.append((np.full(len(best), q_ids[at + i]), ids[found][best], exact[best]))
@@ -180,6 +212,33 @@ def _search(index: Index, k: int):
     return run
 
 
+def _true_lists(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each of a few queries, the lists of its k nearest others among all rows (id, list, raw). A task keeps k a query."""
+
+    def nearest(batches):
+        who, lists, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for b in batches:
+            x = np.frombuffer(b"".join(b.raw), np.float64).reshape(len(b), -1)
+            own = queries @ x.T
+            own[np.isnan(own)] = -np.inf
+            own[ids[:, None] == b.id.to_numpy()] = -np.inf
+            keep = np.argpartition(-own, min(k, len(b)) - 1, axis=1)[:, :k]
+            who = np.concatenate([who, np.repeat(np.arange(len(ids)), keep.shape[1])])
+            lists, scores = np.concatenate([lists, b.list.to_numpy()[keep].ravel()]), np.concatenate([scores, np.take_along_axis(own, keep, 1).ravel()])
+            order = np.lexsort((-scores, who))
+            begin = np.searchsorted(who[order], np.arange(len(ids)))
+            order = order[(np.arange(len(order)) - begin[who[order]] < k) & (scores[order] > -np.inf)]
+            who, lists, scores = who[order], lists[order], scores[order]
+        yield pd.DataFrame({"who": who, "list": lists, "score": scores})
+
+    found = rows.select("id", "list", "raw").mapInPandas(nearest, "who long, list long, score double")
+    best = found.withColumn("rank", F.row_number().over(W.partitionBy("who").orderBy(F.desc("score"), "list"))).where(F.col("rank") <= k).select("who", "list").collect()
+    held: list[list[int]] = [[] for _ in ids]
+    for r in best:
+        held[r["who"]].append(r["list"])
+    return [np.array(h, np.int64) for h in held]
+
+
 def search(table: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every``, its k nearest others.
 
@@ -203,19 +262,26 @@ def _search_one(rows: DataFrame, dim: int, total: int, every: int, k: int, recal
     """``search`` over vectors of one length."""
     share = min(1.0, 0.9 * SAMPLE / total)
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("v").limit(SAMPLE).collect() or rows.select("v").limit(SAMPLE).collect()
-    index = fit(np.array([r.v for r in drawn]), total, k, recall)
+    index = fit(np.array([r.v for r in drawn]), total, k)
 
     def encoded(batches):
         for b in batches:
             x = np.array(b.v.tolist()).reshape(len(b), dim)
             lists = index.assign(x)
-            codes = index.encode(x, lists)
-            yield pd.DataFrame({"id": b.id, "list": lists, "codes": [c.tobytes() for c in codes], "raw": [r.tobytes() for r in x]})
+            codes, slack, residual = index.encode(x, lists)
+            yield pd.DataFrame({"id": b.id, "list": lists, "codes": [c.tobytes() for c in codes], "slack": slack, "residual": residual, "raw": [r.tobytes() for r in x]})
 
-    index_rows = materialize(rows.select("id", "v").mapInPandas(encoded, "id long, list long, codes binary, raw binary"), "codes")
-    sizes = {r["list"]: r["count"] for r in index_rows.groupBy("list").count().collect()}  # one row a list: the square root of the vectors
+    index_rows = materialize(rows.select("id", "v").mapInPandas(encoded, "id long, list long, codes binary, slack double, residual double, raw binary"), "codes")
+    lists = index_rows.groupBy("list").agg(F.count("*").alias("n"), F.max("residual").alias("radius")).collect()  # one row a list: the square root of the vectors
+    sizes = {r["list"]: r["n"] for r in lists}
     first, parts, _ = _cells(sizes, index.lists)
-    index.sizes = np.array([sizes.get(n, 0) for n in range(index.lists)], np.int64)
+    index.sizes, index.radii = np.zeros(index.lists, np.int64), np.zeros(index.lists)
+    for r in lists:
+        index.sizes[r["list"]], index.radii[r["list"]] = r["n"], r["radius"]
+    asked_rows = index_rows.where(F.pmod("id", F.lit(every)) == 0)
+    probes = asked_rows.orderBy(F.xxhash64("id"), "id").select("id", "raw").limit(PROBES).collect()
+    probe_ids, probe_q = np.array([r["id"] for r in probes]), np.frombuffer(b"".join(r["raw"] for r in probes), np.float64).reshape(len(probes), dim)
+    tune(index, probe_q, _true_lists(index_rows, probe_ids, probe_q, k), recall)
 
     def placed(batches):
         for b in batches:
@@ -229,17 +295,17 @@ def _search_one(rows: DataFrame, dim: int, total: int, every: int, k: int, recal
                 b = batch.iloc[at : at + VISITS]
                 q = np.frombuffer(b"".join(b.raw), np.float64).reshape(len(b), dim)
                 who, cells = [], []
-                for i, lists in enumerate(index.probed(index.scores(q))):
+                for i, lists in enumerate(index.probed(q, index.scores(q))):
                     mine = np.unique(np.concatenate([np.arange(first[n], first[n] + parts[n]) for n in np.flatnonzero(lists)]))
                     who.append(np.full(len(mine), i))
                     cells.append(mine)
                 own = np.concatenate(who)
                 yield pd.DataFrame({"id": b.id.to_numpy()[own], "raw": b.raw.to_numpy()[own], "cell": np.concatenate(cells)})
 
-    own = index_rows.mapInPandas(placed, "id long, list long, codes binary, raw binary, cell long")
-    asked = index_rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "raw").mapInPandas(visits, "id long, raw binary, cell long")
+    own = index_rows.drop("residual").mapInPandas(placed, "id long, list long, codes binary, slack double, raw binary, cell long")
+    asked = asked_rows.select("id", "raw").mapInPandas(visits, "id long, raw binary, cell long")
     blocks = materialize(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
-    own = own.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "list", "codes", "raw")
+    own = own.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "list", "codes", "slack", "raw")
     asked = asked.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "raw")
     own = own.toDF(*own.columns)
     found = own.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInPandas(_search(index, k), "query_id long, vec_id long, score double")

@@ -661,6 +661,23 @@ def test_neighbours_recall(spark):
     assert all(abs(s - vectors[q] @ vectors[j]) < 1e-12 for q, g in got.items() for _, j, s in g)
 
 
+def test_neighbours_of_other_queries(spark):
+    """Queries unlike all other rows, which the fitted sample says little about; vectors of very different lengths; copies that differ
+    beyond single precision."""
+    rng = np.random.default_rng(5)
+    g = rng.standard_normal((4000, 16))
+    unlike = rng.standard_normal((40, 16))[np.arange(4000) % 40] * 5 + 0.05 * g
+    unlike[::20] = 0.3 * rng.standard_normal((200, 16))
+    long = g[:2000] * rng.lognormal(0, 2, (2000, 1))
+    alike = rng.standard_normal((3, 16))[np.arange(2000) % 3] + 1e-8 * g[:2000]
+    for vectors, least in ((unlike, 0.97), (long, 0.97), (alike, 0.99)):
+        rows = list(enumerate(vectors.tolist()))
+        want, got = brute_neighbours(rows), defaultdict(set)
+        for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+            got[r.query_id].add(r.vec_id)
+        assert sum(len(got[q] & {j for _, j in w}) for q, w in want.items()) / (20 * len(want)) >= least
+
+
 def test_neighbours_two_levels(spark, monkeypatch):
     """Few coarse centroids and a second level: recall holds, and every query gets its k rows though lists are tiny."""
     monkeypatch.setattr(ann, "LISTS", 12)
