@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..operators import closure, greedy, layout, ledger
+from ..operators import greedy, layout, ledger
 from .corpus import _DAYS, _spans
 from .registry import Tables, query
 
@@ -52,7 +52,7 @@ def _box_rows(t: Tables):
 r AS (SELECT u AS node, u AS reached FROM e UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.reached)
 SELECT node, min(reached) AS component FROM r GROUP BY node""")
 def touching_components(t: Tables):
-    return closure.components(layout.touching(_box_rows(t), "page", 2.5, 3.0))
+    return layout.touching_components(_box_rows(t), "page", 2.5, 3.0)
 
 
 @query("""SELECT p_partkey, lag(p_partkey) OVER w AS previous, lead(p_partkey) OVER w AS next FROM part WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_retailprice, p_partkey)""")

@@ -302,3 +302,20 @@ def test_stream_matches_batch(spark, sf_dir, tmp_path):
     rounded = F.round("total", 6).alias("total")
     batch = rollups.tumbling(events, "ts", "1 hour", "event_type").select("window_start", "event_type", "n", rounded)
     assert checks.same_rows(spark.table("rolled").select("window_start", "event_type", "n", rounded), batch)
+
+
+def test_touching_components_of_crowds(spark):
+    """Equal boxes, islands of boxes with the same sides, and sides that only nearly agree, against all pairs."""
+    from lumenary.operators import closure, layout
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(700):
+        x, y = rng.randrange(4) * 1.5, rng.randrange(400) * 1.0
+        rows.append((rng.randrange(3), i, x, y, x + rng.randrange(3), y + rng.choice([0.5, 4.0, 30.0, -1.0, -9.0])))
+    rows += [(9, 1000 + i, 0.0, 0.0, 1.0, 1.0) for i in range(20_000)] + [(9, 50_000, 100.0, 0.0, 101.0, 1.0), (0, 50_001, float("nan"), 0.0, 1.0, 1.0)]
+    boxes = spark.createDataFrame(rows, "page long, id long, x0 double, y0 double, x1 double, y1 double")
+    few = boxes.where("id < 1000 or id >= 50000")
+    want = {tuple(r) for r in closure.components(layout.touching(few, "page", 2.5, 3.0)).select("node", "component").collect()}
+    got = {tuple(r) for r in layout.touching_components(boxes, "page", 2.5, 3.0).select("node", "component").collect()}
+    assert got == want | {(1000 + i, 1000) for i in range(20_000)} and len(want) > 100
