@@ -7,7 +7,7 @@ from ..functions import text
 from ..functions.vectors import norm as length_of
 from ..functions.vectors import normalise
 from ..operators import audits, build, evidence, intervals, ledger, topk, windows
-from ..operators.schedule import numbered
+from ..operators.schedule import chunk_id, numbered
 from ..sources import index as index_files
 from ..sources import io
 from .registry import Tables, query
@@ -335,7 +335,7 @@ def chunk_map(t: Tables):
     pieces = build.sliced(windows.join(dealt, ["doc_id", "k"]), F.col("w0"), F.col("w1"), F.length(prefix))
     whole = pieces.groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("out0", "piece"))).alias("p"))
     chunks = whole.select("doc_id", "k", F.sha2(F.concat(prefix, F.array_join(F.transform("p", lambda x: x["piece"]), "")), 256).alias("sha"))
-    return numbered(chunks, ["doc_id", "k"], "at").select(F.format_string("C%06d", F.col("at") + 1).alias("chunk"), "doc_id", "sha")
+    return numbered(chunks, ["doc_id", "k"], "at").select(chunk_id(F.col("at") + 1).alias("chunk"), "doc_id", "sha")
 
 
 def token_units(t: Tables):

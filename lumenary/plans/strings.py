@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, diffs, text
 from ..operators import evidence, exact
-from ..operators.schedule import numbered
+from ..operators.schedule import chunk_id, numbered
 from .registry import Tables, query
 
 
@@ -80,7 +80,7 @@ def answer_outcomes(t: Tables):
 
 @query("SELECT 'C' || lpad(row_number() OVER (ORDER BY source, doc_id)::VARCHAR, 6, '0') AS chunk, doc_id FROM documents")
 def sequence_ids(t: Tables):
-    return numbered(t.documents.select("source", "doc_id"), ["source", "doc_id"], "at").select(F.format_string("C%06d", F.col("at") + 1).alias("chunk"), "doc_id")
+    return numbered(t.documents.select("source", "doc_id"), ["source", "doc_id"], "at").select(chunk_id(F.col("at") + 1).alias("chunk"), "doc_id")
 
 
 @query("""SELECT sum((regexp_matches(p, '^[A-Za-z0-9._/-]+$') AND NOT starts_with(p, '/') AND NOT regexp_matches(p, '(^|/)\\.\\.(/|$)'))::INT)::BIGINT AS safe_paths, sum(regexp_matches(split_part(p, '/', 1), '^[a-z0-9][a-z0-9-]{1,80}$')::INT)::BIGINT AS safe_names, count(*) AS n

@@ -319,3 +319,13 @@ def test_touching_components_of_crowds(spark):
     want = {tuple(r) for r in closure.components(layout.touching(few, "page", 2.5, 3.0)).select("node", "component").collect()}
     got = {tuple(r) for r in layout.touching_components(boxes, "page", 2.5, 3.0).select("node", "component").collect()}
     assert got == want | {(1000 + i, 1000) for i in range(20_000)} and len(want) > 100
+
+
+def test_chunk_ids_beyond_six_digits(spark):
+    import duckdb
+
+    from lumenary.operators.schedule import chunk_id
+
+    numbers = [1, 999_999, 1_000_000, 1_234_567, 12_345_678]
+    want = [duckdb.execute("SELECT 'C' || lpad(?::BIGINT::VARCHAR, 6, '0')", [n]).fetchone()[0] for n in numbers]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in numbers], "n long").select(chunk_id(F.col("n"))).collect()] == want
