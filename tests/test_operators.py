@@ -329,3 +329,18 @@ def test_chunk_ids_beyond_six_digits(spark):
     numbers = [1, 999_999, 1_000_000, 1_234_567, 12_345_678]
     want = [duckdb.execute("SELECT 'C' || lpad(?::BIGINT::VARCHAR, 6, '0')", [n]).fetchone()[0] for n in numbers]
     assert [r[0] for r in spark.createDataFrame([(n,) for n in numbers], "n long").select(chunk_id(F.col("n"))).collect()] == want
+
+
+def test_windows_tokenize_a_text_few_times():
+    """The characters that are tokenized for all windows stay within a small multiple of the text."""
+    words = re.compile(r" ?[a-z]+|\s+")
+    seen = [0]
+
+    def spans(part):
+        seen[0] += len(part)
+        return [m.span() for m in words.finditer(part)]
+
+    body = " ".join("abcdefghij"[: 1 + i * 7 % 10] + "klmn"[i % 4] for i in range(20_000))
+    found = windows.body_windows(body, "title ", windows.Counter(spans, spans), 500, 100)
+    assert len(found) == 50 and found[-1][1] == len(body)
+    assert seen[0] < 6 * len(body)
