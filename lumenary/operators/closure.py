@@ -12,8 +12,10 @@ def ancestors(edges: DataFrame, depth: int | None = None) -> DataFrame:
     A fixed point: each round joins the pairs found so far with themselves, so the number of rounds is the logarithm of the
     longest way; rounds end when no pair is new or nearer, so loops end too.
     """
-    found = edges.where("child is not null and parent is not null").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct()
-    found, reach, mark = cut_lineage(found), 1, None
+    found = cut_lineage(edges.where("child is not null and parent is not null").select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct())
+    if not found.groupBy("node").count().where("count > 1").limit(1).count():
+        return _chains(found, depth)
+    reach, mark = 1, None
     while (depth is None or reach < depth) and mark != (mark := tuple(found.agg(F.count("*"), F.sum("distance")).first())):
         onward = found.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"), F.col("distance").alias("more"))
         longer = found.join(onward, "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
@@ -23,6 +25,30 @@ def ancestors(edges: DataFrame, depth: int | None = None) -> DataFrame:
     return found
 
 
+def _chains(single: DataFrame, depth: int | None) -> DataFrame:
+    """``ancestors`` where no node has two parents: each has one chain, an array that grows by that of its last ancestor. So a pair
+    is one number in it, and is moved in no round but as part of it. A chain that comes to an ancestor again has met a loop and
+    ends there; chains that have ended wait aside.
+    """
+    held = cut_lineage(single.select("node", F.array("ancestor").alias("chain")))
+    open_, ended, reach = held, None, 1
+    while (depth is None or reach < depth) and open_.limit(1).count():
+        onward = held.select(F.col("node").alias("__last"), F.col("chain").alias("__more"))
+        met = open_.withColumn("__last", F.element_at("chain", -1)).join(onward, "__last", "left")
+        longer = F.concat("chain", "__more")
+        once = F.array_distinct(longer)
+        # a chain goes on if the one behind was as long as it could be by now
+        goes = F.col("__more").isNotNull() & (F.size("__more") == reach) & (F.size(once) == F.size(longer))
+        grown = cut_lineage(met.select("node", F.coalesce(once, "chain").alias("chain"), F.coalesce(goes, F.lit(False)).alias("__goes")))
+        done = grown.where("not __goes").drop("__goes")
+        ended = done if ended is None else ended.unionByName(done)
+        open_ = grown.where("__goes").drop("__goes")
+        held = open_.unionByName(ended)
+        reach *= 2
+    every = held if depth is None else held.withColumn("chain", F.slice("chain", 1, depth))
+    return every.select("node", F.posexplode("chain").alias("__place", "ancestor")).select("node", "ancestor", (F.col("__place") + 1).alias("distance"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component over undirected edges (u, v): the smallest node reachable. Each round every node takes the least label
     of its neighbours and then that label's own, until none changes."""

@@ -344,3 +344,22 @@ def test_windows_tokenize_a_text_few_times():
     found = windows.body_windows(body, "title ", windows.Counter(spans, spans), 500, 100)
     assert len(found) == 50 and found[-1][1] == len(body)
     assert seen[0] < 6 * len(body)
+
+
+def test_ancestors_of_chains(spark):
+    """Nodes with one parent each: long chains, loops, ways into loops, with and without a depth."""
+    rng = random.Random(8)
+    parent = {i: i // 2 for i in range(1, 40)} | {100 + i: 101 + i for i in range(37)} | {i: rng.randrange(200, 260) for i in range(200, 260)} | {300: 300}
+    want = set()
+    for node in parent:
+        at, distance, met = parent[node], 1, set()
+        while at is not None and at not in met:
+            want.add((node, at, distance))
+            met.add(at)
+            at, distance = parent.get(at), distance + 1
+    edges = spark.createDataFrame(list(parent.items()), "child long, parent long")
+    assert closure._chains(edges.toDF("node", "ancestor"), None).where("node = 300").count() == 1
+    got = [tuple(r) for r in closure.ancestors(edges).collect()]
+    assert len(got) == len(want) and set(got) == want
+    got = [tuple(r) for r in closure.ancestors(edges, 5).collect()]
+    assert len(got) == len(set(got)) and set(got) == {w for w in want if w[2] <= 5}
