@@ -49,10 +49,13 @@ def report(checks: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
 
 def smallest_container(points: DataFrame, boxes: DataFrame, point: str, x: Column, y: Column) -> DataFrame:
     """point, box_id, area: for each point (x, y) the box (box_id, box) of least area that holds it, ties to the smaller box_id;
-    nulls where none does. The grid's cells are as large as the boxes, so none is copied to more than a few."""
+    nulls where none does. The grid's cells are as large as the boxes, so none is copied to more than a few; points at one place
+    are looked for once."""
     flat = boxes.select("box_id", "box.x0", "box.y0", "box.x1", "box.y1")
-    found = grid.smallest_holding(points.select(point, x.cast("double").alias("__x"), y.cast("double").alias("__y")), flat, [], point, F.col("__x"), F.col("__y"), 0.0, 0.0, F.lit(True), "box_id")
-    return points.select(point).join(found, point, "left").select(point, "box_id", "area")
+    named = points.select(point, x.cast("double").alias("__x"), y.cast("double").alias("__y"))
+    places = named.where("__x is not null and __y is not null").select("__x", "__y").distinct().withColumn("__at", F.struct("__x", "__y"))
+    found = grid.smallest_holding(places, flat, [], "__at", F.col("__x"), F.col("__y"), 0.0, 0.0, F.lit(True), "box_id").select("__at.*", "box_id", "area")
+    return named.join(found, ["__x", "__y"], "left").select(point, "box_id", "area")
 
 
 def delta_gate(old: DataFrame, new: DataFrame, key: str, columns: list[str], declared: DataFrame) -> DataFrame:

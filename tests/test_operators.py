@@ -363,3 +363,15 @@ def test_ancestors_of_chains(spark):
     assert len(got) == len(want) and set(got) == want
     got = [tuple(r) for r in closure.ancestors(edges, 5).collect()]
     assert len(got) == len(set(got)) and set(got) == {w for w in want if w[2] <= 5}
+
+
+def test_points_at_one_place_are_looked_for_once(spark, monkeypatch):
+    from lumenary.operators import grid
+
+    asked, holding = [], grid.smallest_holding
+    monkeypatch.setattr(grid, "smallest_holding", lambda points, *more: asked.append(points.count()) or holding(points, *more))
+    points = spark.createDataFrame([(i, float(i % 4), 1.0) for i in range(2000)] + [(5000, None, 1.0), (5001, 99.0, 1.0)], "id long, x double, y double")
+    boxes = spark.sql("SELECT 'b' AS box_id, struct(0.0D AS x0, 0.0D AS y0, 3.0D AS x1, 2.0D AS y1) AS box UNION ALL SELECT 'a', struct(2.0D, 0.0D, 3.0D, 2.0D)")
+    got = {r.id: (r.box_id, r.area) for r in checks.smallest_container(points, boxes, "id", F.col("x"), F.col("y")).collect()}
+    assert got == {i: ("a", 2.0) if i % 4 >= 2 else ("b", 6.0) for i in range(2000)} | {5000: (None, None), 5001: (None, None)}
+    assert asked == [5]
