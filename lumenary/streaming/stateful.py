@@ -16,6 +16,7 @@ IDLE, ACTIVE = "idle", "request"
 SESSION = "key string, start_us long, end_us long, n long, n_idle long, n_active long, widest_us long, peak double, idle_peak double, valid boolean"
 ATTEMPT = "key string, status string, attempt int, parsed string, n_attempts long"
 MOST = 3
+DONE = -1
 
 
 def _begun(at: int) -> dict:
@@ -41,16 +42,19 @@ class Sessions(StatefulProcessor):
         self.open = handle.getValueState("open", "start_us long, end_us long, n long, n_idle long, n_active long, widest_us long, peak double, idle_peak double")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        self.waiting.appendList([(r.at_us, r.phase, r.level) for r in rows])
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() * 1_000)
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() * 1_000, [(r.at_us, r.phase, r.level) for r in rows])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self._advance(key, timerValues.getCurrentWatermarkInMs() * 1_000)
 
-    def _advance(self, key, until_us: int) -> Iterator[Row]:
-        samples = sorted(((s[0], s[1] or "", s[2]) for s in self.waiting.get()), key=lambda s: (s[0], s[1], s[2] is None, s[2] or 0.0)) if self.waiting.exists() else []
+    def _advance(self, key, until_us: int, new: list[tuple] = []) -> Iterator[Row]:
+        """Takes what is ready of the samples that waited and the new ones; the state is read and written once, as every call of it goes
+        to the JVM and back."""
+        waited = list(self.waiting.get()) if self.waiting.exists() else []
+        samples = sorted(((s[0], s[1] or "", s[2]) for s in [*waited, *new]), key=lambda s: (s[0], s[1], s[2] is None, s[2] or 0.0))
         ready, later = [s for s in samples if s[0] < until_us], [s for s in samples if s[0] >= until_us]
-        held = Row(*_begun(0))(*self.open.get()).asDict() if self.open.exists() else None
+        was = self.open.get()
+        held = Row(*_begun(0))(*was).asDict() if was is not None else None
         for at, phase, level in ready:
             if held is not None and at - held["end_us"] > self.gap_us:
                 yield self._row(key, held)
@@ -67,12 +71,12 @@ class Sessions(StatefulProcessor):
         if later:
             self.waiting.put(later)
             self.handle.registerTimer(later[0][0] // 1_000 + 1)
-        else:
+        elif waited:
             self.waiting.clear()
         if held is not None:
             self.open.update(tuple(held.values()))
             self.handle.registerTimer((held["end_us"] + self.gap_us) // 1_000 + 2)
-        else:
+        elif was is not None:
             self.open.clear()
 
     def _row(self, key, held: dict) -> Row:
@@ -104,31 +108,34 @@ def sessions_of(samples: DataFrame, gap_us: int) -> DataFrame:
 
 class Attempts(StatefulProcessor):
     """Of each key's attempts (attempt, status, parsed), the first OK among numbers 1 to 3, once all before it are known, or that they
-    are exhausted. An attempt that comes again is the same one; if it says something else, that is reported and the first stays."""
+    are exhausted. An attempt that comes again is the same one; if it says something else, that is reported and the first stays.
+
+    Every call of the state goes to the JVM and back, so a key's is one value: a mask of the numbers known, or that it is done, and
+    what they said. It is read once and written once a batch."""
 
     def init(self, handle) -> None:
-        self.known = handle.getMapState("known", "attempt int", "status string, parsed string")
-        self.done = handle.getValueState("done", "status string")
+        self.held = handle.getValueState("held", "mask int, " + ", ".join(f"s{n} string, p{n} string" for n in range(1, MOST + 1)))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self.done.exists():
+        held = self.held.get() or (0, *[None] * 2 * MOST)
+        if held[0] == DONE:
             return
-        known = {k[0]: tuple(v) for k, v in self.known.iterator()}
+        known = {n: (held[2 * n - 1], held[2 * n]) for n in range(1, MOST + 1) if held[0] >> n & 1}
         for r in sorted(rows, key=lambda r: (r.attempt, r.status, r.parsed or "")):
             if 1 <= r.attempt <= MOST:
                 own = (r.status, r.parsed)
                 if known.setdefault(r.attempt, own) != own:
                     yield Row(key=key[0], status="CACHED_ATTEMPT_CONTENT_CHANGED", attempt=r.attempt, parsed=r.parsed, n_attempts=len(known))
-                self.known.updateValue((r.attempt,), known[r.attempt])
         for n in range(1, MOST + 1):
             if n not in known:
-                return
+                break
             if known[n][0] == "OK" or n == MOST:
                 ok = known[n][0] == "OK"
-                self.done.update(("OK" if ok else "STAGE_ATTEMPTS_EXHAUSTED",))
-                self.known.clear()
+                self.held.update((DONE, *[None] * 2 * MOST))
                 yield Row(key=key[0], status="OK" if ok else "STAGE_ATTEMPTS_EXHAUSTED", attempt=n if ok else None, parsed=known[n][1] if ok else None, n_attempts=n)
                 return
+        if known:
+            self.held.update((sum(1 << n for n in known), *[x for n in range(1, MOST + 1) for x in known.get(n, (None, None))]))
 
     def close(self) -> None:
         pass
@@ -136,7 +143,7 @@ class Attempts(StatefulProcessor):
 
 def first_valid(attempts: DataFrame) -> DataFrame:
     """key, status, attempt, parsed, n_attempts of a stream (key, attempt, status, parsed), each key once."""
-    rows = attempts.select(F.col("key").cast("string").alias("key"), F.col("attempt").cast("int").alias("attempt"), "status", "parsed")
+    rows = attempts.where(F.col("attempt").between(1, MOST)).select(F.col("key").cast("string").alias("key"), F.col("attempt").cast("int").alias("attempt"), "status", "parsed")
     return rows.groupBy("key").transformWithState(statefulProcessor=Attempts(), outputStructType=ATTEMPT, outputMode="Append", timeMode="None")
 
 

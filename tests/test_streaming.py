@@ -72,3 +72,44 @@ def test_attempts_in_any_order(spark, store, tmp_path):
     assert rows(got) == rows(want) and {r.status for r in got.collect()} == {"OK", "STAGE_ATTEMPTS_EXHAUSTED"}
     again = run(spark, stateful.first_valid, schema, [[("x", 2, "OK", "p")], [("x", 2, "OK", "q")], [("x", 1, "ERROR", None)], [("x", 3, "OK", "r")]], tmp_path / "changed", restart_after={0, 1, 2})
     assert {(r.status, r.attempt, r.parsed) for r in again.collect()} == {("CACHED_ATTEMPT_CONTENT_CHANGED", 2, "q"), ("OK", 2, "p")}
+
+
+def test_state_is_called_few_times():
+    """One read and at most one write of a key's state a batch: each call goes to the JVM and back."""
+    from types import SimpleNamespace
+
+    from lumenary.streaming import stateful
+
+    class State:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                if name in ("update", "put"):
+                    self.value = args[0]
+                if name == "appendList":
+                    self.value = [*(self.value or []), *args[0]]
+                if name == "clear":
+                    self.value = None
+                return {"exists": self.value is not None, "get": self.value, "iterator": iter(())}.get(name)
+
+            return call
+
+    states = []
+    make = lambda *_: states.append(State()) or states[-1]
+    handle = SimpleNamespace(getValueState=make, getMapState=make, getListState=make, registerTimer=lambda at: None)
+    attempts = stateful.Attempts()
+    attempts.init(handle)
+    row = lambda n, status: SimpleNamespace(attempt=n, status=status, parsed=None)
+    assert list(attempts.handleInputRows(("k",), iter([row(2, "OK")]), None)) == []
+    assert [r.attempt for r in attempts.handleInputRows(("k",), iter([row(1, "RETRY")]), None)] == [2]
+    assert list(attempts.handleInputRows(("k",), iter([row(3, "OK")]), None)) == []
+    assert sum(s.calls for s in states) <= 5
+    states.clear()
+    sessions = stateful.Sessions(10)
+    sessions.init(handle)
+    sample = SimpleNamespace(at_us=5, phase="idle", level=1.0)
+    assert list(sessions.handleInputRows(("k",), iter([sample]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))) == []
+    assert sum(s.calls for s in states) <= 3
