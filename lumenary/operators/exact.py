@@ -35,16 +35,21 @@ def _carried(sums: Column) -> Column:
 
 
 def place_sums(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, n, odd (the sum of the values that are not finite, null if there is none), sums by place, from -58 on. Digits are summed
-    before they are shuffled, so a key that holds most rows sends a hundred numbers a task."""
+    """keys, n, odd (the sum of the values that are not finite, null if there is none), sums by place, from -58 on. Rows are read once
+    and none is copied for its digits: those of values with the same first place are summed side by side before they are shuffled,
+    so a key that holds most rows sends a hundred rows a task."""
     x = F.col(value).cast("double")
     finite = ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     there = rows.where(F.col(value).isNotNull()).select(*keys, x.alias("__x"), finite.alias("__finite"))
-    odd = there.groupBy(*keys).agg(F.sum(F.when(~F.col("__finite"), F.col("__x"))).alias("odd"), F.count("*").alias("n"))
-    each = there.where("__finite and __x <> 0").select(*keys, F.explode(digits(F.col("__x"))).alias("d")).select(*keys, "d.place", "d.digit")
-    placed = each.groupBy(*keys, "place").agg(F.sum("digit").alias("digit")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("place", "digit"))).alias("__by"))
-    sums = F.transform(F.sequence(F.lit(_LOW), F.lit(_HIGH)), lambda p: F.coalesce(F.try_element_at("__by", p), F.lit(0).cast("long")))
-    return _matched(odd, placed, keys, "left").select(*keys, "n", "odd", F.when(F.col("__by").isNotNull(), sums).otherwise(F.array_repeat(F.lit(0).cast("long"), _HIGH - _LOW + 1)).alias("sums"))
+    cut = there.select(*keys, "__x", "__finite", F.when(F.col("__finite") & (F.col("__x") != 0), digits(F.col("__x"))).alias("__d"))
+    side = [F.sum(F.col("__d")[i]["digit"]).alias(f"__s{i}") for i in range(4)]
+    first = cut.groupBy(*keys, F.col("__d")[0]["place"].alias("__p")).agg(F.sum(F.when(~F.col("__finite"), F.col("__x"))).alias("odd"), F.count("*").alias("n"), *side)
+    item = F.when(F.col("__p").isNotNull(), F.struct("__p", *[f"__s{i}" for i in range(4)]))
+    held = first.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"), F.sum("odd").alias("odd"), F.collect_list(item).alias("__l"))
+    zero = F.lit(0).cast("long")
+    own = lambda e, p: F.coalesce(*[F.when(e["__p"] - i == p, e[f"__s{i}"]) for i in range(4)], zero)
+    sums = F.transform(F.sequence(F.lit(_LOW), F.lit(_HIGH)), lambda p: F.aggregate("__l", zero, lambda a, e: a + own(e, p)))
+    return held.select(*keys, "n", "odd", sums.alias("sums"))
 
 
 def _rounded(sums: Column) -> Column:

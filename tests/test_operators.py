@@ -1,5 +1,6 @@
 """Small cases with known answers."""
 
+import math
 import random
 import re
 
@@ -375,3 +376,14 @@ def test_points_at_one_place_are_looked_for_once(spark, monkeypatch):
     got = {r.id: (r.box_id, r.area) for r in checks.smallest_container(points, boxes, "id", F.col("x"), F.col("y")).collect()}
     assert got == {i: ("a", 2.0) if i % 4 >= 2 else ("b", 6.0) for i in range(2000)} | {5000: (None, None), 5001: (None, None)}
     assert asked == [5]
+
+
+def test_exact_sums_copy_no_row(spark, tmp_path):
+    """Rows are read once and not exploded into their digits; without keys and rows there is one row with n = 0."""
+    spark.range(100).selectExpr("id % 3 AS k", "id / 7D AS v").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    summed = exact.exact_sum(rows, ["k"], "v")
+    plan = summed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("parquet") == 1
+    assert {r.k: r.total for r in summed.collect()} == {k: math.fsum(i / 7 for i in range(100) if i % 3 == k) for k in range(3)}
+    assert [(r.n, r.odd) for r in exact.place_sums(rows.where("v < 0"), [], "v").collect()] == [(0, None)]
