@@ -24,7 +24,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalise(v: Column) -> Column:
-    return F.when(norm(v) > 0, F.transform(_doubles(v), lambda x: x / norm(v)))
+    """Null for a zero vector. The vector and its norm are bound by arrays of one, so that neither is worked out anew for each component."""
+    over = lambda d: F.transform(F.array(norm(d)), lambda n: F.when(n > 0, F.transform(d, lambda x: x / n)))[0]
+    return F.transform(F.array(_doubles(v)), over)[0]
 
 
 def finite(v: Column) -> Column:

@@ -387,3 +387,10 @@ def test_exact_sums_copy_no_row(spark, tmp_path):
     assert "Generate" not in plan and plan.count("parquet") == 1
     assert {r.k: r.total for r in summed.collect()} == {k: math.fsum(i / 7 for i in range(100) if i % 3 == k) for k in range(3)}
     assert [(r.n, r.odd) for r in exact.place_sums(rows.where("v < 0"), [], "v").collect()] == [(0, None)]
+
+
+def test_normalise_reads_its_vector_once(spark):
+    """A vector that is worked out from a text is not worked out again for its norm or for each component."""
+    found = spark.createDataFrame([([4.0, 3.0],), ([0.0, 0.0],), (None,), ([1.0, None],)], "v array<double>").select(vectors.normalise(F.reverse("v")).alias("v"))
+    assert [r.v for r in found.collect()] == [[0.6, 0.8], None, None, None]
+    assert found._jdf.queryExecution().analyzed().toString().count("reverse(") == 1
