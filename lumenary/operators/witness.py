@@ -1,6 +1,7 @@
 """Choice between layers of a page by witnesses: literal proofs that one piece of text stands in others."""
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,18 +13,23 @@ from . import closure, grid, layout, ledger
 
 # How far two boxes have to overlap to be compared, and the least length of a text that proves the reverse.
 ACROSS, DOWN, LEAST_REVERSE = 0.45, 0.5, 4
-_RUNS = re.compile(r"\s+|\S")
+_WORD = re.compile(r"\S+")
 _EDGE = re.compile(r"[^\W_]|[._/+\-−±°%]")
 
 
-def _normal(text: str) -> tuple[str, list[tuple[int, int]]]:
-    """White space as single spaces, trimmed, with the (start, end) that each character comes from."""
-    found = [(" " if m[0].isspace() else m[0], m.span()) for m in _RUNS.finditer(text)]
-    while found and found[0][0] == " ":
-        del found[0]
-    while found and found[-1][0] == " ":
-        del found[-1]
-    return "".join(c for c, _ in found), [s for _, s in found]
+def _normal(text: str) -> str:
+    """White space as single spaces, trimmed."""
+    return " ".join(text.split())
+
+
+def _places(text: str, *at: int) -> list[int]:
+    """Where these characters of the normal text, no spaces, stand in the text; its words are only looked up where a text was found."""
+    starts, here = [], 0
+    for word in _WORD.finditer(text):
+        starts.append((here, word.start()))
+        here += word.end() - word.start() + 1
+    held = [starts[bisect_right(starts, i, key=lambda s: s[0]) - 1] for i in at]
+    return [begin + i - first for i, (first, begin) in zip(at, held)]
 
 
 def _joins(one: str, other: str) -> bool:
@@ -36,21 +42,24 @@ def find(wanted: str, targets: list[tuple[str, int, str, str, str]]) -> list[tup
     aside; None if it does nowhere. No word or value is cut, neither in the joined text nor in the records.
 
     A target is (record, start, text, the record's character before it, the one behind it)."""
-    wanted = _normal(wanted)[0]
+    wanted = _normal(wanted)
     if not wanted:
         return None
     joined, ends = "\n".join(t[2] for t in targets), []
+    actual = _normal(joined)
+    at = actual.find(wanted)
+    if at < 0:
+        return None
     for t in targets:
         begin = ends[-1][1] + 1 if ends else 0
         ends.append((begin, begin + len(t[2])))
-    actual, places = _normal(joined)
-    at = actual.find(wanted)
     while at >= 0:
         end = at + len(wanted)
         if not (at and _joins(actual[at - 1], wanted[0]) or end < len(actual) and _joins(wanted[-1], actual[end])):
-            lo, hi = places[at][0], places[end - 1][1]
+            lo, last = _places(joined, at, end - 1)
+            hi = last + 1
             parts = [(t, max(lo, a) - a, min(hi, b) - a) for t, (a, b) in zip(targets, ends) if max(lo, a) < min(hi, b)]
-            if all(not _cuts(t, a, b) for t, a, b in parts) and _normal(" ".join(t[2][a:b] for t, a, b in parts))[0] == wanted:
+            if all(not _cuts(t, a, b) for t, a, b in parts) and _normal(" ".join(t[2][a:b] for t, a, b in parts)) == wanted:
                 return [(t[0], t[1] + a, t[1] + b) for t, a, b in parts]
         at = actual.find(wanted, at + 1)
     return None
@@ -94,7 +103,7 @@ def _witnessed(rows: DataFrame) -> DataFrame:
                 found, reverse = first_found(r["text"], r["near"]), []
                 own = (r["record"], r["start"], r["text"], r["before"], r["behind"])
                 for n in r["near"] if not found else []:
-                    back = find(n["text"], [own]) if n["may"] and len(_normal(n["text"])[0]) >= LEAST_REVERSE else None
+                    back = find(n["text"], [own]) if n["may"] and len(_normal(n["text"])) >= LEAST_REVERSE else None
                     reverse.append(back and {"ref": n["ref"], "parts": parts(back)})
                 out.append({"ref": r["ref"], "found": found and parts(found), "reverse": reverse if reverse and all(reverse) else None})
             yield pa.RecordBatch.from_pylist(out, schema)

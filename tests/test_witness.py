@@ -139,3 +139,17 @@ def test_first_come_in_a_chain(spark):
     claims = [(f"r{i:03d}", i, item) for i in range(41) for item in (i, i + 1)]
     got = {r.ref for r in closure.first_come(spark.createDataFrame(claims, "ref string, place int, item int")).collect()}
     assert got == {f"r{i:03d}" for i in range(0, 41, 2)}
+
+
+def test_places_are_looked_up_only_where_a_text_is_found(monkeypatch):
+    """A text without the witness is searched as a whole; characters' places, white space of all kinds aside, are those of the plain rule."""
+    asked, places = [], witness._places
+    monkeypatch.setattr(witness, "_places", lambda text, *at: asked.append(at) or places(text, *at))
+    target = ("r", 100, " \t\x1c a  b \nc-1 de  ", "", "")
+    assert witness.find("not there", [target]) is None and asked == []
+    assert witness.find("b  c-1", [target]) == [("r", 107, 113)] and len(asked) == 1
+    text = target[2]
+    kept = [i for i, c in enumerate(text) if not c.isspace()]
+    plain = " ".join(text.split())
+    assert places(text, *[i for i, c in enumerate(plain) if c != " "]) == kept
+    assert witness.find("d", [target]) is None
