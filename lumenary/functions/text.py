@@ -115,31 +115,43 @@ def splice(text: Column, patches: Column) -> Column:
     return F.when(F.size(patches) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
-def hits(text: Column, pattern: str, after: str) -> Column:
-    """Patches that replace every match of ``pattern`` by ``after``."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern)
-    start = F.aggregate(
-        F.arrays_zip(found.alias("hit"), F.slice(between, 1, F.size(found)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,after:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), F.lit(after).alias("after"))).alias("out"),
-        ),
-    )
-    return start["out"]
+def _sums(lengths: Column) -> Column:
+    """Each number's sum with all before it, by doubling: an array that grew number by number would be copied each time."""
+
+    def step(done: Column, k: Column) -> Column:
+        shift = F.least(F.pow(F.lit(2), k).cast("int"), F.size(done))
+        return F.zip_with(done, F.concat(F.array_repeat(F.lit(0), shift), F.slice(done, 1, F.size(done) - shift)), lambda x, y: x + y)
+
+    over = lambda n: F.when(F.size(n) < 2, n).otherwise(F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(n))).cast("int")), n, step))
+    return F.transform(F.array(lengths), over)[0]
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, token) for every match of ``pattern``, in order."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern)
-    done = F.aggregate(
-        F.arrays_zip(found.alias("hit"), F.slice(between, 1, F.size(found)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,token:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["gap"])).alias("start"), x["hit"].alias("token"))).alias("out"),
-        ),
-    )
-    return done["out"]
+
+    def placed(found: Column) -> Column:
+        lengths = F.zip_with(found, F.slice(F.split(text, pattern), 1, F.size(found)), lambda hit, gap: F.length(hit) + F.length(gap))
+        return F.zip_with(_sums(lengths), found, lambda end, hit: F.struct((end - F.length(hit)).alias("start"), hit.alias("token")))
+
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))), placed)[0]
+
+
+def hits(text: Column, pattern: str, after: str) -> Column:
+    """Patches that replace every match of ``pattern`` by ``after``."""
+    return F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["token"])).alias("end"), F.lit(after).alias("after")))
+
+
+def tiles(text: Column, spans: Column) -> Column:
+    """Whether the spans (start, end) within the text hold all that isn't blank, and nothing that is. Runs without white space and
+    spans are met in one order, so a long text is read once."""
+    runs = F.transform(matches(text, r"(?U)\S+"), lambda m: F.struct(m["start"].cast("long").alias("at"), F.lit(0).alias("span"), (m["start"] + F.length(m["token"])).cast("long").alias("end")))
+    asked = F.transform(F.filter(spans, lambda s: s["end"] > s["start"]), lambda s: F.struct(s["start"].cast("long").alias("at"), F.lit(1).alias("span"), s["end"].cast("long").alias("end")))
+    none = F.lit(0).cast("long")
+
+    def meet(acc: Column, x: Column) -> Column:
+        run = x["span"] == 0
+        ok = F.when(run, acc["held"] >= acc["end"]).otherwise((x["at"] <= acc["held"]) & (x["end"] <= acc["end"]))
+        return F.struct((acc["ok"] & ok).alias("ok"), F.when(run, x["end"]).otherwise(acc["end"]).alias("end"), F.when(run, x["at"]).otherwise(F.greatest(acc["held"], x["end"])).alias("held"))
+
+    start = F.struct(F.lit(True).alias("ok"), none.alias("end"), none.alias("held"))
+    return F.aggregate(F.array_sort(F.concat(runs, asked)), start, meet, lambda acc: acc["ok"] & (acc["held"] >= acc["end"]))

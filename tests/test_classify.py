@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenary.functions import classify, diffs
-from lumenary.functions.text import covers
+from lumenary.functions.text import covers, hits, matches, tiles
 from lumenary.operators import audits, evidence, layout, recovery
 from lumenary.plans.catalogue import QUERIES
 
@@ -161,3 +161,15 @@ def test_revised_evidence(spark):
     covers_ = spark.createDataFrame([("q", 1, 0, 1), ("q", 1, 0, 2), ("q", 1, 1, 3), ("q", 2, 0, 3), ("r", 1, 0, 1), ("r", 1, 0, 2)], "question string, grp int, combo int, chunk long")
     more, other = spark.createDataFrame([("r", 1, 7, 9)], covers_.schema), spark.createDataFrame([("q", 1, 1, 8)], covers_.schema)
     assert sorted(map(tuple, evidence.revision(covers_, more, other).collect())) == [("q", 1, 2, "REPLACED"), ("r", 2, 1, "ADDED")]
+
+
+def test_matches_of_a_long_text_are_not_copied_for_each(spark):
+    """Starts are summed by doubling; spans and the text's runs meet in one order."""
+    text = " ".join(f"é{'x' * (i % 7)}{i}" for i in range(3_000))
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    df = spark.createDataFrame([(0, text, spans), (1, text, spans[:-1]), (2, text, [*spans, (0, 9)]), (3, " \t", []), (4, "", []), (5, "ab c", [(1, 2), (0, 1), (3, 4), (2, 2)])], "i int, t string, s array<struct<start:int,end:int>>")
+    got = df.select("i", "s", matches(F.col("t"), r"\S+").alias("m"), hits(F.col("t"), r"\S+", "#").alias("h"), tiles(F.col("t"), F.col("s")).alias("c"))
+    assert "array_append" not in got._jdf.queryExecution().analyzed().toString()
+    rows = got.orderBy("i").collect()
+    assert [m.start for m in rows[0].m] == [a for a, _ in spans] and [m.token for m in rows[0].m] == text.split() and [(h.start, h.end) for h in rows[0].h] == spans
+    assert [r.c for r in rows] == [True, False, False, True, True, True]
