@@ -36,15 +36,17 @@ def min_cover(evidence: DataFrame) -> DataFrame:
     """question, min_cover: the least size of the union of one combination from each group.
 
     After each group only distinct unions stay, and of those none that holds another one: a larger union can't end
-    smaller. So the work is that of the alternatives that really compete, not of the full product.
+    smaller. So the work is that of the alternatives that really compete, not of the full product. A question's rows come
+    together once, for its combinations, its groups and itself.
     """
-    combos = evidence.groupBy("question", "grp", "combo").agg(F.array_sort(F.collect_set("chunk")).alias("c"))
+    combos = evidence.select("question", "grp", "combo", "chunk").repartition("question").groupBy("question", "grp", "combo").agg(F.array_sort(F.collect_set("chunk")).alias("c"))
     groups = combos.groupBy("question", "grp").agg(F.collect_set("c").alias("cs"))
     rows = groups.groupBy("question").agg(F.collect_list("cs").alias("gs"))
 
     def least(unions: Column) -> Column:
-        distinct = F.array_distinct(unions)
-        return F.filter(distinct, lambda u: ~F.exists(distinct, lambda v: (F.size(v) < F.size(u)) & (F.size(F.array_except(v, u)) == 0)))
+        # bound by an array of one, else it is worked out anew for each union
+        kept = lambda d: F.filter(d, lambda u: ~F.exists(d, lambda v: (F.size(v) < F.size(u)) & (F.size(F.array_except(v, u)) == 0)))
+        return F.transform(F.array(F.array_distinct(unions)), kept)[0]
 
     none = F.array(F.array().cast("array<bigint>"))
     unions = F.aggregate("gs", none, lambda acc, cs: least(F.flatten(F.transform(acc, lambda a: F.transform(cs, lambda c: F.array_sort(F.array_union(a, c)))))))
@@ -60,9 +62,13 @@ def revised(evidence: DataFrame, added: DataFrame, replaced: DataFrame) -> DataF
 
 
 def revision(evidence: DataFrame, added: DataFrame, replaced: DataFrame) -> DataFrame:
-    """question, before, after, change: the least number of chunks that suffice, before and after, and what was changed."""
-    flag = lambda df, name: df.select("question", F.lit(True).alias(name)).distinct()
-    old, new = min_cover(evidence).withColumnRenamed("min_cover", "before"), min_cover(revised(evidence, added, replaced)).withColumnRenamed("min_cover", "after")
-    both = old.join(new, "question", "left").join(flag(added, "is_added"), "question", "left").join(flag(replaced, "is_replaced"), "question", "left")
+    """question, before, after, change: the least number of chunks that suffice, before and after, and what was changed. Only
+    questions with something added or replaced are worked out again."""
+    flags = added.select("question", F.lit(True).alias("is_added"), F.lit(False).alias("is_replaced")).union(replaced.select("question", F.lit(False), F.lit(True)))
+    flags = flags.where("question is not null").groupBy("question").agg(F.bool_or("is_added").alias("is_added"), F.bool_or("is_replaced").alias("is_replaced"))
+    touched = evidence.join(flags, "question", "left_semi")
+    old, new = min_cover(evidence).withColumnRenamed("min_cover", "before"), min_cover(revised(touched, added, replaced)).withColumnRenamed("min_cover", "after")
+    both = old.join(new, "question", "left").join(flags, "question", "left")
     change = F.when(F.col("is_added") & F.col("is_replaced"), "ADDED_AND_REPLACED").when(F.col("is_added"), "ADDED").when(F.col("is_replaced"), "REPLACED")
-    return both.select("question", "before", "after", change.alias("change"))
+    after = F.when(F.col("is_added").isNotNull(), F.col("after")).when(F.col("question").isNotNull(), F.col("before"))
+    return both.select("question", "before", after.alias("after"), change.alias("change"))

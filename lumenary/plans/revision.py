@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import redact
 from ..operators import checks, evidence, grid, ledger, recovery
+from ..sources.io import cut_lineage
 from ..streaming.rollups import unfinished
 from .registry import Tables, query
 from .retrieval import _RECALL, _recalls
@@ -155,6 +156,7 @@ SELECT x.question, x.size AS before, y.size AS after, CASE WHEN x.question % 6 =
 def gold_revision_cover(t: Tables):
     """The least number of chunks that suffice before and after combinations were added and replaced."""
     old = t.lineitem.select(F.col("l_orderkey").alias("question"), (F.col("l_suppkey") % 3).alias("grp"), (F.col("l_linenumber") % 2).alias("combo"), F.col("l_partkey").alias("chunk")).distinct()
+    old = cut_lineage(old)
     added = old.where("question % 4 = 0").select("question", "grp", F.lit(9).alias("combo"), F.lit(-1).cast("long").alias("chunk")).distinct()
     replaced = old.where("question % 6 = 1 and combo = 1").select("question", "grp", "combo", F.lit(-2).cast("long").alias("chunk")).distinct()
     return evidence.revision(old, added, replaced)

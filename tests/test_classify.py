@@ -173,3 +173,12 @@ def test_matches_of_a_long_text_are_not_copied_for_each(spark):
     rows = got.orderBy("i").collect()
     assert [m.start for m in rows[0].m] == [a for a, _ in spans] and [m.token for m in rows[0].m] == text.split() and [(h.start, h.end) for h in rows[0].h] == spans
     assert [r.c for r in rows] == [True, False, False, True, True, True]
+
+
+def test_a_question_comes_together_once(spark):
+    rows = spark.createDataFrame([("q", 1, 0, 1), ("q", 1, 1, 2), ("q", 1, 1, 3), ("q", 2, 0, 2), ("q", 2, 0, 3), (None, 1, 0, 1), ("s", 1, 0, 4)], "question string, grp int, combo int, chunk long")
+    cover = evidence.min_cover(rows)
+    assert cover._jdf.queryExecution().sparkPlan().toString().count("collect_set") > 0 and cover._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    assert {tuple(r) for r in cover.collect()} == {("q", 2), (None, 1), ("s", 1)}
+    more, other = spark.createDataFrame([("s", 2, 9, 5), (None, 1, 5, 5)], rows.schema), spark.createDataFrame([("q", 1, 1, 8)], rows.schema)
+    assert {tuple(r) for r in evidence.revision(rows, more, other).collect()} == {("q", 2, 3, "REPLACED"), ("s", 1, 2, "ADDED"), (None, 1, None, None)}
