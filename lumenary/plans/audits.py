@@ -144,9 +144,9 @@ _INDEX = f"""WITH d AS (SELECT doc_id, text, n_chars, {_COUNTS} AS c, row_number
 
 
 def _letters(rows):
-    """An encoder of rows by plain expressions."""
+    """An encoder of rows by plain expressions. A letter is one byte, and bytes needn't be read to be counted."""
     text = F.col("text")
-    counts = F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) + int(i == 0)).cast("double") for i, c in enumerate(_LETTERS)])
+    counts = F.array(*[(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) + int(i == 0)).cast("double") for i, c in enumerate(_LETTERS)])
     return rows.select("key", "place", "batch", normalise(counts).cast("array<float>").alias("vector"))
 
 

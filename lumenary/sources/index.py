@@ -97,7 +97,8 @@ def build(docs: DataFrame, key: str, text: str, length: Column, encode: Callable
         ordered = numbered(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), length.cast("long").alias("length")), [F.desc("length"), "key"], "place")
         batch, count = F.floor(F.col("place") / size), max(1, -(-rows // size))
         planned = ordered.withColumn("batch", batch).withColumn("wave", F.floor(F.col("batch") * waves / count).cast("int"))
-        planned.repartitionByRange("place").sortWithinPartitions("place").write.partitionBy("wave").mode("overwrite").parquet(f"{path}/input")
+        # whole batches are dealt by hash: by range a wave's texts, long or short ones, would lie in few files, of which each is one task's work
+        planned.repartition("batch").sortWithinPartitions("place").write.partitionBy("wave").mode("overwrite").parquet(f"{path}/input")
     made = reused = 0
     for wave in range(waves if rows else 0):
         at, receipt = f"{path}/vectors/wave={wave}", f"{path}/receipts/wave={wave}"

@@ -95,3 +95,17 @@ def test_verify_and_empty(spark, docs, tmp_path):
     assert {r.code: r.n for r in index.verify(docs, "id", "body", path, 7).collect()}.keys() == {"WRONG_BATCH"}
     none = docs.limit(0)
     assert built(none, f"file://{tmp_path}/none", index.encoder(letters))["rows"] == 0 and index.load(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_waves_lie_in_many_files(spark, tmp_path):
+    """Each wave is work for all tasks, whatever the lengths of its texts, and no batch is cut between two."""
+    path, key = f"file://{tmp_path}/deal", "spark.sql.adaptive.coalescePartitions.enabled"
+    many = spark.range(400).select("id", F.expr("repeat('w', cast(400 - id as int))").alias("body"))
+    spark.conf.set(key, "false")
+    try:
+        index.build(many, "id", "body", F.length("body"), index.encoder(letters), path, {}, size=4, waves=3)
+    finally:
+        spark.conf.unset(key)
+    files = spark.read.parquet(f"{path}/input").select("wave", "batch", F.input_file_name().alias("file"))
+    assert {r.wave: r.n for r in files.groupBy("wave").agg(F.countDistinct("file").alias("n")).collect()} == {0: 4, 1: 4, 2: 4}
+    assert files.groupBy("batch").agg(F.countDistinct("file").alias("n")).where("n > 1").count() == 0
