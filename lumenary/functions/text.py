@@ -115,7 +115,7 @@ def splice(text: Column, patches: Column) -> Column:
     return F.when(F.size(patches) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
-def _sums(lengths: Column) -> Column:
+def running(lengths: Column) -> Column:
     """Each number's sum with all before it, by doubling: an array that grew number by number would be copied each time."""
 
     def step(done: Column, k: Column) -> Column:
@@ -131,7 +131,7 @@ def matches(text: Column, pattern: str) -> Column:
 
     def placed(found: Column) -> Column:
         lengths = F.zip_with(found, F.slice(F.split(text, pattern), 1, F.size(found)), lambda hit, gap: F.length(hit) + F.length(gap))
-        return F.zip_with(_sums(lengths), found, lambda end, hit: F.struct((end - F.length(hit)).alias("start"), hit.alias("token")))
+        return F.zip_with(running(lengths), found, lambda end, hit: F.struct((end - F.length(hit)).alias("start"), hit.alias("token")))
 
     return F.transform(F.array(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))), placed)[0]
 

@@ -3,14 +3,18 @@
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import running
+
 
 def lines(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
-    """key, line_no, start, end, line: a text's lines with their line ends, a gap-free partition of its characters."""
-    split = F.split(F.col(text), "\n")
-    rows = docs.where(F.col(text).isNotNull()).select(key, *more, F.length(text).alias("length"), F.posexplode(split).alias("line_no", "line"))
-    w = W.partitionBy(key).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0))
-    return rows.withColumn("start", start).withColumn("end", F.least(F.col("start") + F.length("line") + 1, F.col("length").cast("long")))
+    """key, line_no, start, end, line: a text's lines with their line ends, a gap-free partition of its characters.
+    Places are worked out within the text's row, so that no line is shuffled for them."""
+    placed = lambda l: F.arrays_zip(l.alias("line"), running(F.transform(l, lambda x: F.length(x) + 1)).alias("next"))
+    split = F.transform(F.array(F.split(F.col(text), "\n")), placed)[0]
+    whole = docs.where(F.col(text).isNotNull()).select(key, *more, F.length(text).alias("length"), split.alias("__lines"))  # else the length is counted anew for each line
+    rows = whole.select(key, *more, "length", F.posexplode_outer("__lines").alias("line_no", "__at"))  # a text has a line; an inner one would filter by its size first
+    rows = rows.select(key, *more, "length", "line_no", F.col("__at")["line"].alias("line"), F.col("__at")["next"].cast("long").alias("next"))
+    return rows.select(key, *more, "length", "line_no", "line", (F.col("next") - F.length("line") - 1).alias("start"), F.least(F.col("next"), F.col("length").cast("long")).alias("end"))
 
 
 def disposition(out_of_scope: Column, blank: Column, claimed: Column, represented: Column, decision: Column) -> Column:

@@ -1,10 +1,13 @@
 """Projections, pieces of text by reference, and choice by witnesses, against plain versions."""
 
+import base64
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-from lumenary.operators import closure, grid, projection, witness
+from pyspark.sql import functions as F
+
+from lumenary.operators import closure, grid, ledger, projection, witness
 from lumenary.plans import pages
 from lumenary.plans.registry import Tables
 
@@ -33,6 +36,89 @@ def test_projection_errors_all_planted(spark):
     assert got == [("u1", "cross_column_mixing", 1), ("u2", "altered_source_text", 1), ("u3", "duplicated_source_span", 1), ("u5", "missing_record", 1), ("u5", "unrecorded_projection_change", 1), ("u5", "wrong_source_page", 1)]
 
 
+REFS = "ref string, unit string, place int, record string, start int, end int, text string, x0 double, x1 double"
+
+
+def test_projection_errors_of_odd_references(spark):
+    """Spans that are empty, begin before the text, end beyond it or lie over blocks, texts with line ends, null ones and missing records."""
+    rng = random.Random(3)
+    records = {f"r{k}": "".join(rng.choice("ab\n🛠é") if rng.random() < 0.03 else rng.choice("cdefgh ") for _ in range(n)) for k, n in enumerate([0, 5, 9_000, 8_192, 30])} | {"r5": None}
+    cut = lambda r, a, b: None if r not in records else (records[r] or "")[max(a, 0) : max(b, 0)] if b > max(a, 0) else ""
+    refs, units = [], []
+    for u in range(120):
+        mine = []
+        for place in range(rng.randrange(5)):
+            r, a = rng.choice(["r0", "r1", "r2", "r2", "r3", "r4", "r5", "gone"]), rng.choice([-3, 0, 2, 4_095, 8_191, 8_192, 20_000])
+            b = a + rng.choice([-2, 0, 1, 3, 60, 4_097, 9_000])
+            there = cut(r, a, b)
+            mine.append((f"f{u}/{place}", f"u{u}", place, r, a, b, rng.choice([there, there, there, "", "x", None]), 0.0, rng.choice([9.0, 900.0, None])))
+        refs += mine
+        text = "\n".join(cut(*m[3:6]) or "" for m in mine)
+        units.append((f"u{u}", u, u % 2, rng.choice(["left", "right", "none"]), rng.choice([text, text, text, text + "!", "\n" + text, None])))
+    page, first, want = {r: k % 2 for k, r in enumerate(records)}, {}, Counter()
+    for f in refs:
+        (_, u, _, r, a, b, text, x0, x1), there = f, cut(*f[3:6])
+        _, _, unit_page, half, _ = units[int(u[1:])]
+        said = {
+            "duplicated_source_span": (r, a, b) in first, "wrong_source_page": r in records and page[r] != unit_page, "missing_record": there is None, "altered_source_text": None not in (there, text) and there != text,
+            "cross_column_mixing": x1 is not None and (half == "left" and x0 + x1 >= 640 or half == "right" and x0 + x1 < 640),
+        }
+        first[r, a, b] = True
+        want.update((u, code) for code, wrong in said.items() if wrong)
+    for u, _, _, _, text in units:
+        want.update([(u, "unrecorded_projection_change")] * (text is not None and text != "\n".join(cut(*f[3:6]) or "" for f in refs if f[1] == u)))
+    got = projection.errors(
+        spark.createDataFrame(units, "unit string, seq int, page int, half string, text string"), spark.createDataFrame(refs, REFS).repartition(3), spark.createDataFrame([(r, page[r], t) for r, t in records.items()], "record string, page int, text string")
+    ).collect()
+    assert len(want) > 100 and len({c for _, c in want}) == 6
+    assert {(r.unit, r.code): r.n for r in got} == want
+
+
+def test_short_forms(spark):
+    """Of texts joined by line ends the short form is theirs, joined alike; none is longer than its text."""
+    texts = ["", "\n", "a\n" + "b" * 43, "é" * 44, "x" * 900 + "\n\n" + "y" * 44 + "\n"]
+    rows = spark.createDataFrame([(t, "\n".join([t, u])) for t in texts for u in texts] + [(None, None)], "one string, both string")
+    got = {r.both: (r.one, r.a, r.b) for r in rows.select("one", "both", projection.short(F.col("one")).alias("a"), projection.short(F.col("both")).alias("b")).collect()}
+    form = {one: a for one, a, _ in got.values()}
+    assert got[None] == (None, None, None) and form["\n"] == "\n" and form["a\n" + "b" * 43] == "a\n" + "b" * 43 and len(form["é" * 44]) == 44 and "é" not in form["é" * 44]
+    assert all(got["\n".join([t, u])][2] == "\n".join([form[t], form[u]]) for t in texts for u in texts) and all(len(a) <= len(t) for t, a in form.items() if t)
+
+
+def test_projection_shuffles_its_texts_once(spark):
+    """Of incompressible texts, that references and units repeat, one copy is shuffled."""
+    rng = random.Random(4)
+    line = lambda: base64.b64encode(rng.randbytes(750)).decode()
+    texts = {f"r{k}": "\n".join(line() for _ in range(30)) for k in range(40)}
+    refs = [(f"{r}/{i}", r, i, r, i * 1_001, i * 1_001 + 1_000, text[i * 1_001 : i * 1_001 + 1_000], 0.0, 0.0) for r, text in texts.items() for i in range(30)]
+    units, sources = spark.createDataFrame([(r, 1, 1, "left", text) for r, text in texts.items()], "unit string, seq int, page int, half string, text string"), spark.createDataFrame([(r, 1, text) for r, text in texts.items()], "record string, page int, text string")
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sum(sc.statusStore().executorList(False).apply(i).totalShuffleWrite() for i in range(sc.statusStore().executorList(False).size()))
+
+    key, before = "spark.sql.autoBroadcastJoinThreshold", written()
+    spark.conf.set(key, "-1")
+    try:
+        assert projection.errors(units, spark.createDataFrame(refs, REFS), sources).collect() == []
+    finally:
+        spark.conf.unset(key)
+    assert 1_000_000 < written() - before < 2_400_000
+
+
+def test_places_of_lines_need_no_shuffle(spark):
+    texts = {1: "", 2: "\n", 3: "a🛠\n\né b", 4: None, 5: "".join(f"{'x' * (i % 7)}\n" for i in range(300))}
+    rows = ledger.lines(spark.createDataFrame([(k, t, "m") for k, t in texts.items()], "k int, t string, m string"), "k", "t", "m")
+    want = []
+    for k, t in texts.items():
+        at = 0
+        for i, x in enumerate(t.split("\n") if t is not None else []):
+            want.append((k, "m", len(t), i, x, at, min(at + len(x) + 1, len(t))))
+            at += len(x) + 1
+    assert sorted(map(tuple, rows.select("k", "m", "length", "line_no", "line", "start", "end").collect())) == want
+    assert dict(rows.dtypes)["start"] == dict(rows.dtypes)["end"] == "bigint" and "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_projection_query_has_every_code(spark, sf_dir):
     from lumenary.plans.catalogue import QUERIES
 
