@@ -4,7 +4,8 @@ Both come with their batch form, whose rows the stream gives too, whatever the o
 RocksDB state store (``STORE``); state goes to the stream's checkpoint, from which a restart goes on.
 """
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, Window as W
 from pyspark.sql import functions as F
@@ -17,6 +18,14 @@ SESSION = "key string, start_us long, end_us long, n long, n_idle long, n_active
 ATTEMPT = "key string, status string, attempt int, parsed string, n_attempts long"
 MOST = 3
 DONE = -1
+#: Keys are dealt to so many groups, whose state is read whole; a checkpoint holds for one number only.
+GROUPS = 4_096
+#: So many texts of a group's state are written as one.
+TEXTS = 16
+#: So much input is held to join the texts of its groups.
+BYTES = 16 << 20
+#: A row to the state holds about so much at most, whatever one key has; Arrow batches have a number of rows.
+CELL = 16 << 10
 
 
 def _begun(at: int) -> dict:
@@ -106,6 +115,22 @@ def sessions_of(samples: DataFrame, gap_us: int) -> DataFrame:
     return found.drop("session").withColumn("valid", (F.col("n_idle") > 0) & (F.col("n_active") > 0))
 
 
+def _taken(key: str | None, known: dict[int, tuple], new: list[tuple]) -> tuple[list[Row], bool]:
+    """Takes a key's new attempts (attempt, status, parsed) into the known ones: the rows to give, and whether the key is done."""
+    out = []
+    for n, status, parsed in sorted(new, key=lambda a: (a[0], a[1] or "", a[2] or "")):
+        if 1 <= n <= MOST and known.setdefault(n, (status, parsed)) != (status, parsed):
+            out.append(Row(key=key, status="CACHED_ATTEMPT_CONTENT_CHANGED", attempt=n, parsed=parsed, n_attempts=len(known)))
+    for n in range(1, MOST + 1):
+        if n not in known:
+            break
+        if known[n][0] == "OK":
+            return [*out, Row(key=key, status="OK", attempt=n, parsed=known[n][1], n_attempts=n)], True
+        if n == MOST:
+            return [*out, Row(key=key, status="STAGE_ATTEMPTS_EXHAUSTED", attempt=None, parsed=None, n_attempts=n)], True
+    return out, False
+
+
 class Attempts(StatefulProcessor):
     """Of each key's attempts (attempt, status, parsed), the first OK among numbers 1 to 3, once all before it are known, or that they
     are exhausted. An attempt that comes again is the same one; if it says something else, that is reported and the first stays.
@@ -121,30 +146,95 @@ class Attempts(StatefulProcessor):
         if held[0] == DONE:
             return
         known = {n: (held[2 * n - 1], held[2 * n]) for n in range(1, MOST + 1) if held[0] >> n & 1}
-        for r in sorted(rows, key=lambda r: (r.attempt, r.status, r.parsed or "")):
-            if 1 <= r.attempt <= MOST:
-                own = (r.status, r.parsed)
-                if known.setdefault(r.attempt, own) != own:
-                    yield Row(key=key[0], status="CACHED_ATTEMPT_CONTENT_CHANGED", attempt=r.attempt, parsed=r.parsed, n_attempts=len(known))
-        for n in range(1, MOST + 1):
-            if n not in known:
-                break
-            if known[n][0] == "OK" or n == MOST:
-                ok = known[n][0] == "OK"
-                self.held.update((DONE, *[None] * 2 * MOST))
-                yield Row(key=key[0], status="OK" if ok else "STAGE_ATTEMPTS_EXHAUSTED", attempt=n if ok else None, parsed=known[n][1] if ok else None, n_attempts=n)
-                return
-        if known:
+        out, done = _taken(key[0], known, [(r.attempt, r.status, r.parsed) for r in rows])
+        if done:
+            self.held.update((DONE, *[None] * 2 * MOST))
+        elif known:
             self.held.update((sum(1 << n for n in known), *[x for n in range(1, MOST + 1) for x in known.get(n, (None, None))]))
+        yield from out
+
+    def close(self) -> None:
+        pass
+
+
+class AttemptsTogether(StatefulProcessor):
+    """The same of all keys of a group, whose attempts come as JSON texts (group, said): calls of the state, and of the group, and rows
+    cost much more than what an attempt does, so many keys share them.
+
+    The group's state is a list of JSON texts, [keys that are done, [key, its attempts] of the others], a later one before an earlier
+    one. A batch reads them all and appends one with the keys that it has changed; from ``TEXTS`` on they are written as one."""
+
+    def init(self, handle) -> None:
+        self.held = handle.getListState("held", "said string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new: dict = {}
+        for _, said in rows:
+            for one, n, status, parsed in json.loads(said):
+                new.setdefault(one, []).append((int(n), status, parsed))
+        texts = [said for said, in self.held.get()]
+        done, known = set(), {}
+        for over, begun in map(json.loads, texts):
+            done.update(over)
+            known |= {one: {n: (status, parsed) for n, status, parsed in said} for one, said in begun}
+        ended, changed = [], {}
+        for one, attempts in new.items():
+            if one in done:
+                continue
+            now = dict(known.get(one, {}))
+            out, over = _taken(one, now, attempts)
+            yield from out
+            if over:
+                ended.append(one)
+            elif now != known.get(one, {}):
+                changed[one] = now
+        if len(texts) + 1 >= TEXTS:
+            done.update(ended)
+            self.held.put([(_said(done, {one: now for one, now in (known | changed).items() if one not in done}),)])
+        elif ended or changed:
+            self.held.appendValue((_said(ended, changed),))
 
     def close(self) -> None:
         pass
 
 
+def _said(done: Iterable, known: dict) -> str:
+    return json.dumps([list(done), [[one, [[n, *said] for n, said in now.items()]] for one, now in known.items()]], separators=(",", ":"))
+
+
+def _together(batches: Iterator) -> Iterator:
+    """Rows (group, said) with the texts of one group as JSON lists of about ``CELL`` bytes at most, out of ``BYTES`` at a time."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def joined(waiting: list):
+        rows = pa.Table.from_batches(waiting)
+        groups = rows["group"].to_numpy()
+        order = np.argsort(groups, kind="stable")
+        said, groups = rows["said"].to_numpy()[order], groups[order]
+        cells = np.cumsum(pc.binary_length(rows["said"]).to_numpy()[order], dtype="int64") // CELL
+        starts = np.flatnonzero((np.diff(groups, prepend=-1) != 0) | (np.diff(cells, prepend=-1) != 0))
+        texts = ["[" + ",".join(said[a:b]) + "]" for a, b in zip(starts, [*starts[1:], len(said)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(groups[starts], pa.int64()), pa.array(texts, pa.string())], names=["group", "said"])
+
+    waiting, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            size += batch.nbytes
+        if size >= BYTES:
+            yield joined(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield joined(waiting)
+
+
 def first_valid(attempts: DataFrame) -> DataFrame:
     """key, status, attempt, parsed, n_attempts of a stream (key, attempt, status, parsed), each key once."""
     rows = attempts.where(F.col("attempt").between(1, MOST)).select(F.col("key").cast("string").alias("key"), F.col("attempt").cast("int").alias("attempt"), "status", "parsed")
-    return rows.groupBy("key").transformWithState(statefulProcessor=Attempts(), outputStructType=ATTEMPT, outputMode="Append", timeMode="None")
+    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(GROUPS)).alias("group"), F.to_json(F.array("key", F.col("attempt").cast("string"), "status", "parsed")).alias("said"))
+    return rows.mapInArrow(_together, "group long, said string").groupBy("group").transformWithState(statefulProcessor=AttemptsTogether(), outputStructType=ATTEMPT, outputMode="Append", timeMode="None")
 
 
 def first_valid_of(attempts: DataFrame) -> DataFrame:

@@ -113,3 +113,70 @@ def test_state_is_called_few_times():
     sample = SimpleNamespace(at_us=5, phase="idle", level=1.0)
     assert list(sessions.handleInputRows(("k",), iter([sample]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))) == []
     assert sum(s.calls for s in states) <= 3
+
+
+class Held:
+    """A state of one key in memory, with the number of calls to it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("update", "put"):
+                self.value = args[0]
+            if name == "appendValue":
+                self.value = [*(self.value or []), args[0]]
+            return self.value or [] if name == "get" and isinstance(self.value, list | None) else self.value
+
+        return call
+
+
+def test_keys_share_calls_of_the_state():
+    """A batch of many keys costs two calls of the state; over many batches the rows are those of each key for itself."""
+    import json
+    from types import SimpleNamespace
+
+    rng, together, lists, apart = random.Random(5), stateful.AttemptsTogether(), [], {}
+    together.init(SimpleNamespace(getListState=lambda *_: lists.append(Held()) or lists[-1]))
+    got, want = [], []
+    for _ in range(3 * stateful.TEXTS):
+        batch = [(rng.choice([None, *map(str, range(200))]), rng.choice([1, 2, 3, 3]), *rng.choice([("OK", "p"), ("ERROR", None), ("ERROR", None), ("RETRY", "é")])) for _ in range(rng.choice([0, 5, 30]))]
+        before = lists[0].calls
+        got += [tuple(r) for r in together.handleInputRows((0,), iter([(0, json.dumps(batch[:3])), (0, json.dumps(batch[3:]))]), None)]
+        assert lists[0].calls - before <= 2 and len(lists[0].value or []) < stateful.TEXTS
+        for key in dict.fromkeys(r[0] for r in batch):
+            if key not in apart:
+                apart[key], state = stateful.Attempts(), Held()
+                apart[key].init(SimpleNamespace(getValueState=lambda *_, s=state: SimpleNamespace(get=lambda: s.value, update=s.update)))
+            rows = [SimpleNamespace(attempt=n, status=status, parsed=parsed) for k, n, status, parsed in batch if k == key]
+            want += [tuple(r) for r in apart[key].handleInputRows((key,), iter(rows), None)]
+    assert got == want and {r[1] for r in got} == {"OK", "STAGE_ATTEMPTS_EXHAUSTED", "CACHED_ATTEMPT_CONTENT_CHANGED"}
+
+
+def test_attempts_go_to_the_state_by_groups(spark, store, tmp_path):
+    """Many keys, odd ones too, give their batch form's rows, and the state has no more entries than groups."""
+    schema = "key string, attempt int, status string, parsed string"
+    keys = [None, "null", "", 'a"b', "é\n,[", *(f"k{i}" for i in range(3 * stateful.GROUPS))]
+    attempts = [(k, n, "OK" if n == 2 else "ERROR", k if n == 2 else None) for k in keys for n in (2, 1)]
+    spark.createDataFrame(attempts, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = stateful.first_valid(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+    asked = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+    asked.awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(stateful.first_valid_of(spark.createDataFrame(attempts, schema)))
+    assert 0 < max(p["stateOperators"][0]["numRowsUpdated"] for p in asked.recentProgress) <= stateful.GROUPS
+
+
+def test_long_cells_are_cut():
+    """A group's texts go on in another row beyond some size, none is lost."""
+    import json
+
+    import pyarrow as pa
+
+    said = [json.dumps([str(i), "1", "OK", "x" * 1000]) for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 3] * 50, pa.int64()), pa.array(said)], names=["group", "said"])
+    cells = [(r["group"], json.loads(r["said"])) for b in stateful._together(iter([batch, batch])) for r in b.to_pylist()]
+    assert max(len(json.dumps(c)) for _, c in cells) < 2 * stateful.CELL and len(cells) > 4
+    for group in (3, 7):
+        assert sorted(a for g, c in cells if g == group for a in c) == sorted(json.loads(t) for i, t in enumerate([*said, *said]) if (3 if i % 2 else 7) == group)
